@@ -205,7 +205,7 @@ def search(
     blocks = spark.createDataFrame([(i, int(-(-s // POINT_BLOCK))) for i, s in enumerate(sizes.tolist()) if s], "leaf int, point_blocks int").join(asked_sizes, "leaf")
     blocks = F.broadcast(blocks)  # one row per leaf
     query_side = walked.join(blocks, "leaf").select("query_id", "query_hash", "q", "leaf", F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("point_blocks") - 1)).alias("pb"))
-    point_side = filed.join(blocks, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).cast("long").alias("qb"), F.pmod(F.xxhash64("vec_id"), "point_blocks").cast("int").alias("pb"))
+    point_side = filed.join(blocks, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks").cast("long") - 1)).alias("qb"), F.pmod(F.xxhash64("vec_id"), "point_blocks").cast("int").alias("pb"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], [], []]
