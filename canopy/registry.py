@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canopy import golden, kernels
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**golden.QUERIES, **kernels.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**golden.ORACLE, **kernels.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Directories of the page tree with their files."""
+    return kernels.k_tree_group(spark, sf_dir)

@@ -1,0 +1,5 @@
+"""Nothing here: every capability answers one question about a corpus at rest, so none is a stream.
+
+Tables of a corpus are DataFrames, and a caller can feed new trees through `Corpus.of_files` in a
+`foreachBatch` of a Structured Streaming query.
+"""
