@@ -1,0 +1,500 @@
+"""The corpus operators against SQL, brute force, the tokenizer's own library, or held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from canopy.llm import bpe, chat, decontaminate, language_id, near_dedup, neighbours, pii, queries, sharding, token_histogram, toxicity
+from tests.conftest import rows_of
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOC)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, duck, sf_dir, name):
+    assert rows_of(queries.QUERIES[name](spark, sf_dir).toPandas()) == rows_of(duck.execute(queries.ORACLE_SQL[name]).df())
+
+
+# -- 1 chat ------------------------------------------------------------------------------------------
+def test_chat_merges_runs_and_reads_back(spark):
+    evil = "### user ###\nhi</turn>\n<seg>\\s\\l\\h#<\\"
+    rows = [(1, 2, "assistant", "b"), (1, 0, "user", evil), (1, 3, "assistant", None), (1, 3, "assistant", "c"), (None, None, None, "x"), (2, 0, "user", ""), (2, 0, "user", "")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit(1))
+    out = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("user", evil), ("assistant", "b"), ("assistant", ""), ("assistant", "c")]
+    assert out[1]["loss_text"] == "bc" and out[1]["loss_mask"] == [False, True] and out[1]["formatted"].count("</turn>") == 2
+    assert [(t["role"], t["text"]) for t in out[None]["turns"]] == [("", "x")] and out[None]["loss_text"] == ""
+    assert [(t["role"], t["text"]) for t in out[2]["turns"]] == [("user", ""), ("user", "")]
+    assert chat.digests(chat.read_back(chat.format_conversations(turns.limit(0)))).count() == 0
+
+
+# -- 2 neighbours ------------------------------------------------------------------------------------
+def brute(ids, x, q, k):
+    s = (x * x[q]).sum(axis=1)
+    order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+    return [ids[i] for i in order]
+
+
+def test_neighbours_recall(spark, sf_dir):
+    frame = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
+    x, ids = np.stack(frame.embedding).astype(float), frame.vec_id.to_numpy()
+    got = queries.op2_nearest_neighbours(spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
+    assert set(got.query_id) == {i for i in ids if i % 20 == 0} and (got.groupby("query_id").size() == 20).all()
+    found = [len(set(g.vec_id) & set(brute(ids, x, int(np.flatnonzero(ids == q)[0]), 20))) for q, g in got.groupby("query_id")]
+    assert np.mean(found) / 20 >= 0.9
+    at = {i: k for k, i in enumerate(ids)}
+    exact = np.array([(x[at[q]] * x[at[v]]).sum() for q, v in zip(got.query_id, got.vec_id, strict=True)])
+    assert np.allclose(got.score, exact, rtol=1e-12) and (got.groupby("query_id").score.diff().dropna() <= 0).all()
+
+
+def test_neighbours_in_many_leaves(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    x = (centres[rng.integers(0, 20, 3000)] + 0.3 * rng.normal(size=(3000, 16))) * rng.uniform(0.5, 2, (3000, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = neighbours.search(frame, frame.where("vec_id % 50 = 0"), 10, leaf_rows=64).toPandas()
+    found = [len(set(g.vec_id) & set(brute(np.arange(3000), x, q, 10))) for q, g in got.groupby("query_id")]
+    assert len(found) == 60 and np.mean(found) / 10 >= 0.9
+
+
+def test_neighbours_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("leaf", F.lit("x"))
+    got = neighbours.search(frame, frame.where("vec_id in (0, 2, 3, 4)"), 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 9), (0, 3, 2), (2, 1, 0), (2, 2, 1), (2, 3, 9)]
+    assert neighbours.search(frame.limit(0), frame, 3).count() == 0 and neighbours.search(frame, frame.limit(0), 3).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500)], "vec_id bigint, embedding array<double>")
+    got = neighbours.search(same, same.where("vec_id in (3, 400)"), 4).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 4, 0, 1, 2, 3]
+
+
+# -- 3 decontamination -------------------------------------------------------------------------------
+ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Kurz und gut"), (10, "kurz, und GUT"), (3, None), (4, "..."), (None, "lone")]
+TEXTS = [
+    (1, "x Two three; four five six seven eight NINE ten eleven y"),
+    (1, "x Two three; four five six seven eight NINE ten eleven y"),
+    (2, "one two three four five six seven eight nine"),
+    (3, "so kurz und gut, kurz und gut - kurz und"),
+    (4, None),
+    (None, "a lone word"),
+    (5, ""),
+    (6, "one two three four five six seven eight nine ten eleven one two three four five six seven eight nine ten"),
+]
+
+
+def naive_hits(text, items):
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    own, hit, ids = words(text), set(), set()
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        runs = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if n else set()
+        for j in range(len(own) - n + 1):
+            if n and tuple(own[j : j + n]) in runs:
+                hit |= set(range(j, j + n))
+                ids.add("" if i is None else str(i))
+    return len(own), sorted(hit), sorted(ids)
+
+
+def test_decontamination_cases(spark):
+    docs, items = docs_of(spark, TEXTS).withColumn("hits", F.lit(0)), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["hits"], r["item_ids"]) for r in decontaminate.report(docs, items).collect()), key=str)
+    assert got == sorted(((i, *naive_hits(t, ITEMS)) for i, t in TEXTS), key=str)
+    assert decontaminate.report(docs.limit(0), items).count() == 0
+    assert all(r["hits"] == [] for r in decontaminate.report(docs, items.limit(0)).collect())
+    kept = decontaminate.remove(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5]
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove(docs, items, "span").collect()}
+    assert cut[1] == "x y" and cut[3] == "so kurz und" and cut[4] is None and cut[2] == TEXTS[2][1] and cut[6] == ""
+
+
+def test_decontamination_shuffles_a_large_benchmark(spark, monkeypatch):
+    docs, items = docs_of(spark, TEXTS), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    want = decontaminate.report(docs, items).toPandas().astype(str).sort_values(["doc_id", "n_words"]).to_numpy().tolist()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert decontaminate.report(docs, items).toPandas().astype(str).sort_values(["doc_id", "n_words"]).to_numpy().tolist() == want
+
+
+# -- 4 language --------------------------------------------------------------------------------------
+def test_language_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    truth = pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id", "lang"]).set_index("doc_id").lang
+    got = queries.op4_language_id(spark, folder).toPandas()
+    held = got[got.held_out]
+    assert len(got) == len(truth) and set(held.doc_id) == {i for i in truth.index if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert (held.lang_pred.to_numpy() == truth[held.doc_id].to_numpy()).mean() > 0.95 and got.score.between(0, 1).all()
+
+
+def test_code_lengths_are_those_of_the_definition():
+    samples = {"a": ["abab abba", "ab"], "b": ["ccc"]}
+    trees = language_id.ContextTrees(samples, order=2)
+
+    def bits(text, sample):
+        counts = {}
+        for t in sample:
+            padded = "\0\0" + t
+            for i in range(2, len(padded)):
+                for k in range(3):
+                    counts.setdefault(padded[i - k : i], {}).setdefault(padded[i], 0)
+                    counts[padded[i - k : i]][padded[i]] += 1
+        total, padded = 0.0, "\0\0" + text
+        for i in range(2, len(padded)):
+            for k in (2, 1, 0, -1):
+                if k < 0:
+                    total += 8
+                    break
+                seen = counts.get(padded[i - k : i])
+                if seen is None:
+                    continue
+                n, d = sum(seen.values()), len(seen)
+                if padded[i] in seen:
+                    total += np.log2((n + d) / seen[padded[i]])
+                    break
+                total += np.log2((n + d) / d)
+        return total
+
+    texts = ["abba", "cab", "", "zz", "abab abba" * 3]
+    got, sizes = trees.code_lengths(pa.array(texts), piece=5)
+    assert np.allclose(got, [[bits(t, samples["a"]), bits(t, samples["b"])] for t in texts], rtol=1e-5) and sizes.tolist() == [len(t) for t in texts]
+
+
+def test_language_cases(spark):
+    docs = docs_of(spark, [(i, t) for i, t in enumerate(["the the the", None, "", "123 !!", "the " * 50000, "the the the"])]).withColumn("score", F.lit("x"))
+    trees = language_id.fit(docs, language_id.Training(keep=F.lit(True)))
+    got = [(r["lang_pred"], r["score"] > 0) for r in language_id.identify(docs, trees).orderBy("doc_id").collect()]
+    assert got == [("en", True), ("und", False), ("und", False), ("und", False), ("en", True), ("en", True)]
+    assert [r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs.limit(0), language_id.Training(keep=F.lit(True)))).collect()] == ["und"] * 6
+    assert sorted(r["doc_id"] for r in language_id.reject_unknown(docs, trees).collect()) == [0, 4, 5]
+    assert language_id.identify(docs.limit(0), trees).count() == 0
+
+
+# -- 5 near duplicates -------------------------------------------------------------------------------
+def naive_classes(rows):
+    bags = {k: near_dedup.bag(t) if t else None for k, (_, t) in enumerate(rows)}
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if bags[a] is not None and bags[b] is not None and len(bags[a][0]) and near_dedup.similarity(bags[a], bags[b]) >= 0.8:
+                root[find(a)] = find(b)
+    groups: dict = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), []).append(rows[k][0])
+    return sorted(sorted(g) for g in groups.values())
+
+
+def varied(rng, n_groups=12, copies=9, words=120):
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(n_groups):
+        base = rng.choices(vocabulary, k=words)
+        rows.append(" ".join(base))
+        for _ in range(rng.randrange(copies)):
+            text = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append(" ".join(text))
+    shared = " ".join(rng.choices(vocabulary, k=60))
+    rows += [shared + " " + " ".join(rng.choices(vocabulary, k=40)) for _ in range(40)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = varied(random.Random(4))
+    rows += [(900 + i, rows[0][1].upper()) for i in range(30)]
+    got = near_dedup.classes(docs_of(spark, rows)).toPandas()
+    assert sorted(sorted(g) for g in got.groupby("class_id").doc_id.apply(list)) == naive_classes(rows)
+    assert (got.groupby("class_id").doc_id.min() == got.groupby("class_id").class_id.min()).all()
+
+
+def test_near_duplicate_cases(spark):
+    long = "alpha beta gamma delta epsilon zeta " * 4000
+    rows = [(5, "a b"), (3, "A, b!"), (4, "a c"), (None, None), (8, ""), (9, "..."), (7, long), (6, long + "omega"), (1, "x y z"), (1, "x y z"), (None, "q r s")]
+    docs = docs_of(spark, rows).withColumn("class_id", F.lit("x"))
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.classes(docs).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (4, 4), (None, None), (8, 8), (9, 9), (7, 6), (6, 6), (1, 1), (1, 1), (None, None)], key=str)
+    kept = near_dedup.representatives(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 4, None, 8, 9, 6, 1, None], key=str)
+    assert near_dedup.classes(docs.limit(0)).count() == 0 and near_dedup.representatives(docs.limit(0)).count() == 0
+
+
+def test_probability_jaccard_by_definition_and_by_registers():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        a = {int(k): int(c) for k, c in zip(rng.integers(0, 40, 30), rng.integers(1, 9, 30), strict=True)}
+        b = {int(k): int(c) for k, c in zip(rng.integers(0, 40, 30), rng.integers(1, 9, 30), strict=True)}
+        exact = sum(1 / sum(max(a.get(t, 0) / a[s], b.get(t, 0) / b[s]) for t in a.keys() | b.keys()) for s in a.keys() & b.keys())
+        plain = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+        packed = [tuple(np.array(x, dtype) for x, dtype in zip(zip(*sorted(d.items()), strict=True), (np.uint64, np.int64), strict=True)) for d in (a, b)]
+        assert near_dedup.similarity(*packed) == pytest.approx(max(exact, plain))
+        kept = [near_dedup.registers(np.zeros(len(p[0]), np.int64), near_dedup.mix(p[0]), p[1], 1, 4096)[0] for p in packed]
+        assert (kept[0] == kept[1]).mean() == pytest.approx(exact, abs=0.05)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(35)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = near_dedup.components(spark.createDataFrame(pairs, "a bigint, b bigint")).distinct().collect()
+    assert {r["node"]: r["root"] for r in got} == {a: find(a) for a in root}
+
+
+# -- 6 sharding --------------------------------------------------------------------------------------
+def test_sharding_laws(spark, sf_dir):
+    got = queries.op6_sharding(spark, sf_dir).toPandas()
+    raw = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in zip(raw.doc_id, raw.text, strict=True))
+    counts = got.groupby("shard").size()
+    assert len(counts) == 16 and counts.max() - counts.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    again = sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").repartition(7)).toPandas()
+    other = sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").repartition(2, "doc_id")).toPandas()
+    assert again.sort_values("doc_id").to_numpy().tolist() == other.sort_values("doc_id").to_numpy().tolist()
+    assert np.corrcoef(again.doc_id, again.slot)[0, 1] < 0.5
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 16, 17, 99, 1000, 4096])
+def test_permutation_is_one(spark, n):
+    placed = [r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n)).collect()]
+    assert sorted(placed) == list(range(n))
+
+
+def test_sharding_cases(spark):
+    rows = spark.createDataFrame([(1, None)] * 40 + [(None, "x"), (2, "y")], "doc_id bigint, shard string")
+    got = sharding.shard(rows.withColumnRenamed("shard", "text").withColumn("slot", F.lit("s")), 4).toPandas()
+    assert sorted(got.groupby("shard").size()) == [10, 10, 11, 11] and len(got) == 42
+    assert sharding.shard(rows.limit(0)).count() == 0
+
+
+# -- 7 token counts ----------------------------------------------------------------------------------
+def test_histogram_matches_brute_force(spark):
+    lengths = [0, 3, 3, 5, 2000, 1024, 1023, 7, 7, 7, 5000]
+    sums = token_histogram.suffix_sums(token_histogram.histogram(spark.createDataFrame([(n,) for n in lengths] + [(None,)], "n_tokens int")), block=64)
+    lengths.append(0)
+    for r in sums.collect():
+        n = r["length"]
+        assert r["n_docs"] == lengths.count(n) and r["n_tokens"] == n * lengths.count(n)
+        assert r["docs_at_least"] == sum(x >= n for x in lengths) and r["tokens_at_least"] == sum(x for x in lengths if x >= n)
+        assert r["truncated_total"] == sum(min(x, n) for x in lengths) and r["share_up_to"] == pytest.approx(sum(x <= n for x in lengths) / len(lengths))
+    assert {r["share"]: r["length"] for r in token_histogram.quantiles(sums, [0.5, 1.0]).collect()} == {0.5: sorted(lengths)[5], 1.0: 5000}
+    assert token_histogram.truncated_total(sums, 6).first()[0] == sum(min(x, 6) for x in lengths)
+    assert token_histogram.suffix_sums(token_histogram.histogram(spark.createDataFrame([], "n_tokens int"))).count() == 0
+
+
+def test_token_counts_match_the_library(spark, library, sf_dir):
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet").text.tolist()
+    want = pd.Series([len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]).value_counts()
+    got = queries.op7_token_counts(spark, sf_dir).toPandas().set_index("length").n_docs
+    assert got.sort_index().to_dict() == want.sort_index().to_dict()
+
+
+# -- 8 personal data ---------------------------------------------------------------------------------
+def naive_base(text):
+    """The rules as they are written, one plain pattern each."""
+    out = []
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0])):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(digits(m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def test_base_spans_match_the_plain_patterns(sf_dir):
+    rng = random.Random(5)
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.tolist()
+    texts += ["".join(rng.choices("a.@+-_% 0123456789()é\n", k=60)) for _ in range(4000)]
+    texts += ["4111 1111 1111 1111", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "256.1.1.1", "0255.001.0.1", "+1 (555) 010-9999.", "é@x.y a@x.yé", "@@a@b.c", "1.2.3.4" * 3]
+    for text in texts:
+        assert [(s.kind, s.start, s.end) for s in pii.find(text) if s.kind in pii.BASE] == naive_base(text), text
+
+
+def test_added_kinds_scores_and_redaction():
+    iban = "GB82 WEST 1234 5698 7654 32"
+    text = f'Pay to bank account {iban}, token = "abcd1234efgh" and mail a.b@c.org'
+    kinds = {s.kind: (text[s.start : s.end], s.score) for s in pii.find(text)}
+    assert kinds["iban"][0] == iban and kinds["secret"][0] == "abcd1234efgh" and kinds["iban"][1] > pii.PRIOR["iban"]
+    assert not [s for s in pii.find("GB83 WEST 1234 5698 7654 32") if s.kind == "iban"]
+    assert pii.redact(text) == 'Pay to bank account [IBAN], token = "[SECRET]" and mail [EMAIL]'
+    assert pii.mod97(iban.replace(" ", "")) and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_personal_data_cases(spark):
+    digits = "1" * 200000
+    docs = docs_of(spark, [(1, None), (2, ""), (3, "a@b.co"), (3, "a@b.co"), (4, digits), (None, "x" * 300000 + "@" + "y")]).withColumn("spans", F.lit(1))
+    got = sorted(((r["doc_id"], r["n_email"], r["spans"]) for r in pii.digests(docs).collect()), key=str)
+    assert got == sorted([(1, 0, ""), (2, 0, ""), (3, 1, "email:0:6"), (3, 1, "email:0:6"), (4, 0, ""), (None, 0, "")], key=str)
+    assert {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}[3] == "[EMAIL]" and pii.redacted(docs).columns == docs.columns
+    assert {r["doc_id"]: len(r["spans"]) for r in pii.detect(docs).collect()}[3] == 1 and pii.digests(docs.limit(0)).count() == 0
+    first = pii.digests(docs).where("doc_id = 3").first()
+    assert first["base_sha256"] == hashlib.sha256(b"email:0:6").hexdigest()
+
+
+# -- 9 toxicity --------------------------------------------------------------------------------------
+def synthetic(rng, n):
+    plain = ["".join(rng.choices("abdeilnorstu", k=rng.randrange(2, 9))) for _ in range(400)]
+    bad = ["vrk" + "".join(rng.choices("aeio", k=2)) + rng.choice(["", "st", "nd", "r"]) for _ in range(40)]
+    rows = []
+    for i in range(n):
+        words = rng.choices(plain, k=rng.randrange(5, 200))
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(rng.randrange(1, 6)):
+                words[rng.randrange(len(words))] = rng.choice(bad)
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_toxicity_held_out(spark):
+    rows = synthetic(random.Random(6), 1200)
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).withColumn("held", toxicity.held_out(F.col("doc_id"))).where("held").toPandas()
+    truth = {i: y for i, _, y in rows}
+    assert set(scored.doc_id) == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert (scored.predicted == scored.doc_id.map(truth)).mean() > 0.97 and scored.score.between(0, 1).all()
+
+
+def test_toxicity_cases(spark):
+    rows = synthetic(random.Random(7), 200)
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows] + [(None, None), (1000, ""), (1001, "... 12"), (1002, "vrkae " * 40000)]).withColumn("predicted", F.lit("x"))
+    labels = spark.createDataFrame([(i, None, y) for i, _, y in rows] + [(None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).where("doc_id is null or doc_id >= 1000").collect()}
+    assert got[1002] > 0.5 and got[None] == got[1000] < 0.5
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
+
+
+def test_top_ratios_are_the_largest():
+    model = toxicity.Classifier([t for _, t, y in synthetic(random.Random(8), 80) if y], [t for _, t, y in synthetic(random.Random(8), 80) if not y]).model
+    texts = ["vrkae stu vrkio ab", "ab", "", "vrkae vrkae vrkae vrkae", "a b c d e"]
+    got = toxicity.features(model, pa.array(texts))
+    for row, text in zip(got, texts, strict=True):
+        each = sorted((float(toxicity.features(model, pa.array([w]))[0, 1]) for w in text.split()), reverse=True)
+        assert np.allclose(row[1:], (each + [0] * toxicity.TOP)[: toxicity.TOP])
+
+
+# -- 10 BPE ------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
+ODD = [
+    "", " ", "<|endoftext|>a<|startoftext|> B", "'S it's we'll", "ΑΣ ΣΑΣ ς", "İstanbul ǅ ß", "a\x1cb\x1fc\x85d e​f", "é Å ½²³ Ⅷ ٣", "x" * 5000, "ab" * 3000 + "c",
+    "日本語テキスト 漢字", "🙂👍🏽 !!??...", "\0\x01", "<|endoftext|", "</w> a</w>", "ŉ ŀ ﬁ", "\0<|endoftext|>", "՘Ᲊ",
+]
+
+
+def test_bpe_equals_the_library(library, sf_dir):
+    rng = random.Random(9)
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet").text.tolist() + ODD
+    texts += ["".join(rng.choice("etaoinshrdluthinganderes'é ") for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(128, 0x2FF), rng.randrange(0x300, 0xD7FF)])) for _ in range(rng.randrange(1, 40))) for _ in range(1000)]
+    for text, e, got in zip(texts, library.encode_batch(texts, add_special_tokens=False), bpe.encoder(bpe.default_vocabulary()).encode(texts), strict=True):
+        assert got == (len(e.ids), " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)), text
+
+
+def test_compatibility_is_what_merging_gives():
+    e, rng = bpe.encoder(bpe.default_vocabulary()), np.random.default_rng(10)
+    ids = [i for i, n in e.names.items() if i not in e.special.values() and not n.endswith(e.end)]
+    ends = [i for i, n in e.names.items() if n.endswith(e.end)]
+    raw = lambda i: bytes(e._unletter[c] for c in e.names[i].removesuffix(e.end))
+    valid = lambda i, last: e.exact(raw(i), last) == [i]
+    pairs = [(int(a), int(b)) for a, b in zip(rng.choice(ids[:4000], 4000), rng.choice(ends[:6000], 4000), strict=True) if valid(a, False) and valid(b, True)]
+    got = e.compatible(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    assert got.tolist() == [e.exact(raw(a) + raw(b)) == [a, b] for a, b in pairs] and 0 < got.mean() < 1
+
+
+def test_exact_many_equals_exact():
+    e, rng = bpe.encoder(bpe.default_vocabulary()), random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlé") for _ in range(rng.randrange(1, 50))).encode() for _ in range(3000)]
+    assert e.exact_many(words) == [e.exact(w) for w in words]
+
+
+def test_bpe_cases(spark):
+    docs = docs_of(spark, [(1, None), (2, ""), (3, "Hello  world"), (3, "Hello  world"), (None, "a " * 100000)]).withColumn("n_tokens", F.lit("x"))
+    path = bpe.default_vocabulary()
+    got = {r["doc_id"]: r for r in bpe.encode(docs, path).collect()}
+    assert got[1]["token_ids"] == [] and got[2]["decoded"] == "" and got[None]["n_tokens"] == 100000
+    assert got[3]["decoded"] == "hello</w> world</w>" and bpe.decode(got[3]["token_ids"], path) == got[3]["decoded"]
+    shown = {r["doc_id"]: r for r in bpe.digests(docs, path).collect()}
+    assert shown[3]["ids_sha256"] == hashlib.sha256(" ".join(map(str, got[3]["token_ids"])).encode()).hexdigest()
+    assert shown[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest() and bpe.digests(docs.limit(0), path).count() == 0
+    assert isinstance(bpe.encode(docs, path).schema["token_ids"].dataType, T.ArrayType)
+
+
+# -- the pipeline ------------------------------------------------------------------------------------
+def test_pipeline_stages_act(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = docs_of(spark, [(-1, None), (-2, "123 456"), (-3, docs.where("doc_id = 3").first()["text"] + " encore"), (-4, spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]), (-5, "Der Mann schreibt an a.b@c.org und wartet auf eine Antwort von dort")])
+    stage = dict(corpus_pipeline.STAGES)
+    known = stage["language_id"](spark, docs.unionByName(extra), sf_dir)
+    ids = {r["doc_id"] for r in known.select("doc_id").collect()}
+    assert known.columns == docs.columns and not ids & {-1, -2} and ids >= {-3, -4, -5} and len(ids) >= docs.count()
+    single = stage["near_dedup"](spark, known, sf_dir)
+    found = near_dedup.classes(known).toPandas()
+    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) == sorted(found.class_id.unique())
+    assert found.set_index("doc_id").class_id[-3] == found.set_index("doc_id").class_id[3]
+    clean = stage["decontamination"](spark, single, sf_dir)
+    dirty = {r["doc_id"] for r in decontaminate.report(single, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("size(hits) > 0").collect()}
+    assert -4 in dirty and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - dirty
+    safe = stage["pii"](spark, clean, sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in safe.collect()}
+    assert safe.columns == docs.columns and "[EMAIL]" in texts[-5] and not any(pii.find(t) for t in texts.values())
+    assert {r["doc_id"]: len(r["token_ids"]) for r in stage["bpe"](spark, safe, sf_dir).collect()}.keys() == texts.keys()
+
+
+def test_pipeline_runs_whole(spark, sf_dir):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count() and "token_ids" in out.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "pii", "bpe"]
