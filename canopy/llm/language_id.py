@@ -170,9 +170,10 @@ def held_out(id_column: Column) -> Column:
     return id_hash_mod(id_column, 3) == 1
 
 
-def reject_unknown(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """The documents that some language explains: those that are `und`, or that the best tree codes no
-    shorter than a uniform code over bytes would, go. The columns stay as they were."""
-    scored = identify(docs, trees)
-    kept = scored.where((F.col("lang_pred") != UND) & (F.col("bits_per_byte") < 8))
-    return kept.select(*docs.columns)
+def reject_unknown(docs: DataFrame, trees: ContextTrees, lang_column: str = "lang") -> DataFrame:
+    """The documents that are not `und`, in the same columns; where the language is null, the found one is filled in."""
+    found = "__found"
+    scored = identify(docs.withColumnsRenamed({"score": "__score", "lang_pred": "__lang_pred", "bits_per_byte": "__bits"}), trees)
+    scored = scored.withColumnRenamed("lang_pred", found).where(F.col(found) != UND).drop("score", "bits_per_byte")
+    scored = scored.withColumnsRenamed({"__score": "score", "__lang_pred": "lang_pred", "__bits": "bits_per_byte"})
+    return scored.select(*[F.coalesce(c, F.col(found)).alias(c) if c == lang_column else F.col(c) for c in docs.columns])
