@@ -17,7 +17,7 @@ from canopy.llm.common import documents, ensure_checkpoint_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no learned language explains go; the others carry the language that was found."""
+    """Documents without a language (und) go; where lang is null, the language that was found is filled in."""
     trees = language_id.fit(docs, language_id.Training(keep=~language_id.held_out(F.col("doc_id"))))
     return language_id.reject_unknown(docs, trees)
 
