@@ -2,8 +2,9 @@
 
 Base kinds, leftmost and without overlap within a kind, a failing match being dropped and not retried:
 email; ip (four parts, each at most 255); card (13 to 19 digits, Luhn); phone (9 to 15 digits after +).
-Kinds that this method adds: iban (mod-97), secret (a named token, password or key in quotes) and
-access_key (a cloud key id). Every span has a score: its kind's prior, raised or lowered by words within
+Kinds that this method adds: iban (mod-97), secret (a named token, password or key), access_key (a cloud
+key id), and, where a base match fails because it runs on into its neighbour, card_run (an unbroken run of
+13 to 19 digits, Luhn) and phone_form (country code, area code in brackets, number). Every span has a score: its kind's prior, raised or lowered by words within
 CONTEXT characters before it. Base spans always stay; added ones need MIN_SCORE.
 
 Offsets are code points, the end exclusive. Cases: a null or empty text has no spans; texts of any length
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "secret", "access_key")
+ADDED = ("iban", "secret", "access_key", "card_run", "phone_form")
 CONTEXT = 48
 MIN_SCORE = 0.5
 #: What a kind is worth by itself, and the words near it that speak for or against it.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "secret": 0.8, "access_key": 0.9}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "secret": 0.8, "access_key": 0.9, "card_run": 0.7, "phone_form": 0.7}
 FOR = {
     "email": ("mail", "contact", "write", "@"),
     "ip": ("ip", "address", "host", "server", "login"),
@@ -36,6 +37,8 @@ FOR = {
     "iban": ("iban", "bank", "account", "transfer"),
     "secret": ("secret", "token", "password", "key"),
     "access_key": ("aws", "key", "access", "secret"),
+    "card_run": ("card", "visa", "credit", "payment", "pay"),
+    "phone_form": ("phone", "call", "tel", "mobile", "fax"),
 }
 AGAINST = {
     "email": ("example",),
@@ -45,6 +48,8 @@ AGAINST = {
     "iban": ("sample", "serial"),
     "secret": ("example", "placeholder"),
     "access_key": ("example", "placeholder"),
+    "card_run": ("isbn", "serial", "order", "invoice"),
+    "phone_form": ("ratio", "score", "total"),
 }
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -55,7 +60,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key)) ?[=:] ?\"([^\"\s]{8,256})\"")
+_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))(?: ?[=:] ?\"([^\"\s]{8,256})\"|=((?=[^\s\"]*[0-9])[^\s\",;]{8,256}))")
+_CARD_RUN = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+_PHONE_FORM = re.compile(r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ -][0-9]{3,4}(?![0-9])")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 
 
@@ -135,9 +142,13 @@ _FINDERS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
     "card": _cards,
     "phone": _phones,
     "iban": _ibans,
-    "secret": lambda text: (m.span(1) for m in _SECRET.finditer(text)),
+    "secret": lambda text: (m.span(m.lastindex) for m in _SECRET.finditer(text)),
     "access_key": lambda text: (m.span() for m in _ACCESS_KEY.finditer(text)),
+    "card_run": lambda text: (m.span() for m in _CARD_RUN.finditer(text) if luhn(m[0])),
+    "phone_form": lambda text: (m.span() for m in _PHONE_FORM.finditer(text)),
 }
+#: Added kinds that only count outside the spans of a base kind.
+_BEYOND = {"card_run": "card", "phone_form": "phone"}
 
 
 def _score(text: str, kind: str, start: int) -> float:
@@ -160,13 +171,18 @@ def find(text: str | None) -> list[Span]:
         if "+" in text:
             wanted.append("phone")
         wanted.append("iban")
-    if '"' in text:
+    if "=" in text or '"' in text:
         wanted.append("secret")
     if "AKIA" in text:
         wanted.append("access_key")
-    out = []
+    if numbers:
+        wanted += ["card_run", "phone_form"] if "+" in text else ["card_run"]
+    out: list[Span] = []
     for kind in wanted:
+        held = [s for s in out if s.kind == _BEYOND.get(kind)]
         for start, end in _FINDERS[kind](text):
+            if any(s.start < end and start < s.end for s in held):
+                continue
             score = _score(text, kind, start)
             if kind in BASE or score >= MIN_SCORE:
                 out.append(Span(kind, start, end, score))

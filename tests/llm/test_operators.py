@@ -359,6 +359,10 @@ def test_added_kinds_scores_and_redaction():
     assert kinds["iban"][0] == iban and kinds["secret"][0] == "abcd1234efgh" and kinds["iban"][1] > pii.PRIOR["iban"]
     assert not [s for s in pii.find("GB83 WEST 1234 5698 7654 32") if s.kind == "iban"]
     assert pii.redact(text) == 'Pay to bank account [IBAN], token = "[SECRET]" and mail [EMAIL]'
+    joined = "+1 (269) 555-3296 4524132264652876 password=562cadd56fde595aec token=plainword"
+    digits = "4111111111111111"
+    assert pii.redact(joined.replace("4524132264652876", digits)) == "[PHONE_FORM] [CARD_RUN] password=[SECRET] token=plainword"
+    assert [s.kind for s in pii.find(f"a {digits} b")] == ["card"]
     assert pii.mod97(iban.replace(" ", "")) and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
