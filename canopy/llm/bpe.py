@@ -37,9 +37,9 @@ from canopy.llm.common import HashTable
 CACHE_WORDS = 400_000
 #: Longer words skip the memory, so that its size stays bounded.
 CACHE_WORD_CHARS = 64
-#: The apostrophe endings and white space that the vocabulary's pattern names.
+#: The apostrophe endings that the vocabulary's pattern names, and the white space below U+0250.
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _LATIN_END = 0x250
 
 
