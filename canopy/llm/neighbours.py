@@ -7,6 +7,10 @@ is then filed in a leaf. A query walks the tree with a priority queue, nearest c
 leaves it visits is calibrated: for a bounded set of queries the true neighbours are found among all
 rows, and visits widen until TARGET of these neighbours lie in visited leaves (and k rows at least).
 
+Leaves are visited in phases: the FIRST_VISITS nearest ones, then PHASE times as many, and so on. After each
+phase a query knows its k-th best score so far, and later leaves only hand on rows that reach it, so that
+rows on the way grow with the queries and not with the leaves that they visit.
+
 Leaves meet their queries in blocks of at most about POINT_BLOCK rows by QUERY_BLOCK queries, so that a
 leaf with a third of the rows, or of the queries, is spread over many tasks. Of rows with equal vectors
 only the k + 1 with the smallest ids can be in an answer, and only these are filed.
@@ -38,6 +42,7 @@ SAMPLE_ROWS = 1 << 16
 CALIBRATION_QUERIES = 96
 TARGET = 0.96
 POINT_BLOCK, QUERY_BLOCK = 8192, 4096
+FIRST_VISITS, PHASE = 4, 4
 _OUT = "query_id bigint, query_hash bigint, vec_id bigint, score double"
 
 
@@ -199,28 +204,45 @@ def search(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
 
     walked = asked.mapInArrow(walk, T.StructType([*asked.schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))]))
-    walked = walked.select(F.col("vec_id").alias("query_id"), F.col("h").alias("query_hash"), F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
+    walked = walked.select(F.col("vec_id").alias("query_id"), F.col("h").alias("query_hash"), F.col("v").alias("q"), F.posexplode("leaves").alias("place", "leaf"))
     walked = checkpointed(walked)
-    asked_sizes = walked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    blocks = spark.createDataFrame([(i, int(-(-s // POINT_BLOCK))) for i, s in enumerate(sizes.tolist()) if s], "leaf int, point_blocks int").join(asked_sizes, "leaf")
+    longest = walked.agg(F.max("place").alias("p")).first()["p"]
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id"))
+    found = spark.createDataFrame([], _OUT)
+    low, high = 0, FIRST_VISITS
+    while longest is not None and low <= longest:
+        floors = found.groupBy("query_id", "query_hash").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).drop("n")
+        visits_now = walked.where((F.col("place") >= low) & (F.col("place") < high)).join(floors, ["query_id", "query_hash"], "left")
+        met = _scan_leaves(visits_now, filed, sizes, k).unionByName(found)
+        found = checkpointed(met.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
+        low, high = high, high * PHASE
+    return found.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
+
+
+def _scan_leaves(visits: DataFrame, filed: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
+    """The k best rows of each visited leaf block for each query, as far as they reach the query's floor."""
+    asked = visits.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("query_blocks"))
+    blocks = visits.sparkSession.createDataFrame([(i, int(-(-s // POINT_BLOCK))) for i, s in enumerate(sizes.tolist()) if s], "leaf int, point_blocks int").join(asked, "leaf")
     blocks = F.broadcast(blocks)  # one row per leaf
-    query_side = walked.join(blocks, "leaf").select("query_id", "query_hash", "q", "leaf", F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("point_blocks") - 1)).alias("pb"))
-    point_side = filed.join(blocks, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks").cast("long") - 1)).alias("qb"), F.pmod(F.xxhash64("vec_id"), "point_blocks").cast("int").alias("pb"))
+    query_block, point_block = F.pmod(F.xxhash64("query_id"), F.col("query_blocks")), F.pmod(F.xxhash64("vec_id"), F.col("point_blocks")).cast("int")
+    query_side = visits.join(blocks, "leaf").select("query_id", "query_hash", "q", "floor", "leaf", query_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.col("point_blocks") - 1)).alias("pb"))
+    point_side = filed.join(blocks, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("qb"), point_block.alias("pb"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             ids, own, hashes = (t.to_numpy() for t in (right["vec_id"], left["query_id"], left["query_hash"]))
+            floor = left["floor"].fill_null(-np.inf).to_numpy()
             for q, at, scores in best(matrix(left["q"]), matrix(right["v"]), ids, own, k):
+                good = scores >= floor[q]
+                at, scores = at[good], scores[good]
                 for column, part in zip(out, (np.full(len(at), own[q]), np.full(len(at), hashes[q]), ids[at], scores), strict=True):
                     column.append(part)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, kinds, strict=True)], names=["query_id", "query_hash", "vec_id", "score"])
 
     key = ["leaf", "qb", "pb"]
-    found = query_side.groupBy(*key).cogroup(point_side.groupBy(*key)).applyInArrow(scan, _OUT)
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return query_side.groupBy(*key).cogroup(point_side.groupBy(*key)).applyInArrow(scan, _OUT)
 
 
 def calibrate(filed: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray, k: int, target: float) -> int:
