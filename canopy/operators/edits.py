@@ -18,6 +18,7 @@ from canopy.functions import gotext as g
 from canopy.functions.edit_rules import Action, Outcome, Tree
 from canopy.plans import schemas
 from canopy.plans.corpus import Corpus
+from canopy.sources.gotree import write_tree
 
 _RESULT_SCHEMA = "repo string, kind string, path string, content binary, files_modified int, warnings array<string>, messages array<string>, failed_seq int, error_code string, error_message string"
 Edit = Callable[[Tree, list[tuple[int, Action]]], Outcome]
@@ -169,3 +170,44 @@ def unified_diff(corpus: Corpus, changed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.select("repo", "path", "old", "new").mapInArrow(run, schema).where("diff <> ''").orderBy("repo", "path")
+
+
+#: What a verb does to each kind of object.
+VERBS = {
+    "create": {"file": "create_file", "func": "add_func", "struct": "add_struct"},
+    "update": {"file": "replace_file", "func": "update_func", "struct": "update_struct"},
+    "delete": {"func": "delete_func", "struct": "delete_struct"},
+}
+
+
+def _verb(verb: str, kind: str) -> str:
+    if kind not in VERBS[verb]:
+        raise g.EngineError("INVALID_ACTION", f"cannot {verb} {kind!r}; one of {', '.join(VERBS[verb])}")
+    return VERBS[verb][kind]
+
+
+def create(corpus: Corpus, kind: str, path: str, content: str, package: str = "", repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Create a file, or add a func or struct."""
+    return run_action(corpus, Action(_verb("create", kind), path, package, content=content), repo)
+
+
+def update(corpus: Corpus, kind: str, path: str, content: str, identifier: str = "", doc: str = "", strip_doc: bool = False, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replace a file, func or struct."""
+    return run_action(corpus, Action(_verb("update", kind), path, "", identifier, content, doc=doc, strip_doc=strip_doc), repo)
+
+
+def delete(corpus: Corpus, kind: str, path: str, identifier: str, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Delete a func, or a struct with its methods in the same file."""
+    return run_action(corpus, Action(_verb("delete", kind), path, identifier=identifier), repo)
+
+
+def settle(corpus: Corpus, changed: DataFrame, mode: str = "plan", root: str = "") -> Corpus | DataFrame:
+    """What becomes of changed files: `plan` lays them over the corpus, `diff` shows them, `write` saves
+    them below a shared root (and lays them over)."""
+    if mode == "diff":
+        return unified_diff(corpus, changed)
+    if mode == "write":
+        write_tree(changed, root)
+    elif mode != "plan":
+        raise g.EngineError("INVALID_ACTION", f"unknown mode {mode!r}")
+    return overlay(corpus, changed)

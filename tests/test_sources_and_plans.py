@@ -170,3 +170,19 @@ def test_budget_levels_match_a_sequential_loop(spark):
             want.pop()
         got = [(r["repo"], r["path"], None if r["files"] is None else [f.asDict() for f in r["files"]], r["summary"], r["deps"]) for r in within_budget(frame, budget).orderBy("path").collect()]
         assert got == want, budget
+
+
+def test_verbs_and_modes(spark, tmp_path):
+    corpus = Corpus.of_texts(spark, {"a": fixtures.EDITS})
+    changed, outcome = edits.create(corpus, "struct", "a.go", "type U struct{}", repo="a")
+    assert outcome.first()["files_modified"] == 1
+    after = edits.settle(corpus, changed)
+    updated, _ = edits.update(after, "struct", "a.go", "type U struct{ X int }", "U", doc="U is new.", repo="a")
+    assert symbols.find_symbols(edits.settle(after, updated), symbols.SymbolQuery("U")).first()["doc"] == "U is new."
+    gone, _ = edits.delete(after, "func", "a.go", "T.M", repo="a")
+    assert "-func (t *T) M() {" in edits.settle(after, gone, "diff").first()["diff"]
+    edits.settle(corpus, changed, "write", str(tmp_path))
+    assert (tmp_path / "a.go").read_text().endswith("\ntype U struct{}\n")
+    for bad in (lambda: edits.delete(corpus, "file", "a.go", "x"), lambda: edits.settle(corpus, changed, "dance")):
+        with pytest.raises(g.EngineError, match="INVALID_ACTION"):
+            bad()
