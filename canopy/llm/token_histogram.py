@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.llm.common import checkpointed
+
 BLOCK = 1024
 
 
@@ -28,17 +30,20 @@ def histogram(counted: DataFrame, column: str = "n_tokens") -> DataFrame:
 def suffix_sums(lengths: DataFrame, block: int = BLOCK) -> DataFrame:
     """For every length that occurs: its documents and tokens, those of at least that length, and the
     total after truncation to it."""
+    lengths = checkpointed(lengths)  # a row per length; else every branch below would encode the corpus again
     rows = lengths.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = blocks.select(
         "block",
         F.coalesce(F.sum("block_docs").over(later), F.lit(0)).alias("later_docs"),
         F.coalesce(F.sum("block_tokens").over(later), F.lit(0)).alias("later_tokens"),
+        F.sum("block_docs").over(whole).alias("all_docs"),
+        F.sum("block_tokens").over(whole).alias("all_tokens"),
     )
-    totals = lengths.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("length") * F.col("n_docs")).alias("all_tokens"))
     inside = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(blocks, "block").crossJoin(F.broadcast(totals))  # totals: exactly one row
+    rows = rows.join(blocks, "block")
     docs_from, tokens_from = F.sum("n_docs").over(inside) + F.col("later_docs"), F.sum("n_tokens").over(inside) + F.col("later_tokens")
     return rows.select(
         "length", "n_docs", "n_tokens", docs_from.alias("docs_at_least"), tokens_from.alias("tokens_at_least"), "all_docs", "all_tokens"
