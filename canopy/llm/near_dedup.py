@@ -13,9 +13,10 @@ buckets, which in a group of copies is their original. Pairs are verified on who
 Jaccard, or plain Jaccard of the shingle sets, of at least THRESHOLD. Verified links join classes; only
 buckets that still hold several classes go on, with 2, 4, 8 ... leaders that have not led there, compared
 with nodes of other classes. A bucket of up to EXHAUSTED nodes goes on until every pair of its nodes is
-compared or in one class; a larger one until a round joins no two of its classes. So a group of n
-copies costs about n comparisons, and a link between two texts can only be missed if every bucket that
-they share is large, neither is near the middle of it, and no chain of other links joins them.
+compared or in one class. A larger one goes on until a round joins no two of its classes; the pairs that are
+then left in it are all compared in blocks of BLOCK nodes, where summaries (shingles by CELLS cells) bound the
+similarity of a pair from above, and what can reach the threshold is verified. So a group of n copies costs about
+n comparisons, the rim of a group a square of cheap ones, and no link between two texts of one bucket is missed.
 
 Classes are connected components, found by alternating large-star and small-star steps over checkpointed
 edges; links and labels never leave the executors.
@@ -44,6 +45,8 @@ BANDS, ROWS = 34, 6
 REGISTERS = BANDS * ROWS
 #: Buckets of so many nodes are compared to the last pair.
 EXHAUSTED = 32
+#: Cells of a summary, and nodes of a block of a larger bucket.
+CELLS, BLOCK = 128, 512
 #: Nodes of up to so many pairs (two numbers each) are broadcast to pick their texts; beyond, both sides are shuffled.
 BROADCAST_PAIRS = 1_000_000
 #: Rows of numbers, and pairs with their texts, that are worth a partition of their own.
@@ -195,6 +198,41 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+def summary(a: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a bag: the share of its weight in each cell of shingles, and its distinct shingles in each."""
+    cells = (a[0] % np.uint64(CELLS)).astype(np.int64)
+    weights = np.bincount(cells, a[1], CELLS)
+    return np.concatenate([weights / max(weights.sum(), 1), np.bincount(cells, minlength=CELLS)]).astype(np.float32)
+
+
+def bounds_above(a: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What similarity() of the bag of summary a and those of other summaries is at most.
+
+    Probability Jaccard is at most the sum over shingles of the smaller share, and that is at most the sum over
+    cells; in the same way the smaller numbers of the cells bound the common shingles.
+    """
+    least = np.minimum(a, others)
+    shares, common = least[:, :CELLS].sum(axis=1), least[:, CELLS:].sum(axis=1)
+    return np.maximum(shares, common / np.maximum(a[CELLS:].sum() + others[:, CELLS:].sum(axis=1) - common, 1))
+
+
+def similar(a: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Whether similarity() of bag a and each of the others is at least threshold."""
+    sizes = np.array([len(b[0]) for b in others])
+    starts, shingles = np.cumsum(sizes) - sizes, np.concatenate([b[0] for b in others])
+    at = np.minimum(np.searchsorted(a[0], shingles), len(a[0]) - 1)
+    hit = a[0][at] == shingles
+    common = np.add.reduceat(hit.astype(np.int64), starts)
+    ok = common / (len(a[0]) + sizes - common) >= threshold
+    # probability Jaccard is at most the sum of the smaller shares, and plain Jaccard where no shingle is repeated
+    shares = np.concatenate([b[1] / b[1].sum() for b in others])
+    least = np.add.reduceat(np.where(hit, np.minimum((a[1] / a[1].sum())[at], shares), 0), starts)
+    repeats = np.array([len(b[0]) < b[1].sum() for b in others]) | (len(a[0]) < a[1].sum())
+    for k in np.flatnonzero(~ok & repeats & (least >= threshold - 1e-6)).tolist():
+        ok[k] = similarity(a, others[k]) >= threshold
+    return ok
+
+
 def _signed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
     schema = rows.drop("text").schema.add("key", T.BinaryType()).add("buckets", T.ArrayType(T.LongType()))
@@ -261,6 +299,7 @@ def _links(nodes: DataFrame, texts: DataFrame, members: DataFrame, threshold: fl
     """node, root of every node that got a link; members: bucket, node, n (nodes in the bucket), score."""
     members = members.withColumn("root", F.col("node")).withColumn("led", F.lit(False))
     roots: DataFrame | None = None
+    left: DataFrame | None = None
     leaders, size = 1, members.count()
     while True:
         parts = _parts(size)
@@ -280,12 +319,64 @@ def _links(nodes: DataFrame, texts: DataFrame, members: DataFrame, threshold: fl
         now = now.select("bucket", "node", "n", "score", "old", F.coalesce("root", "node").alias("root"), (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
         free = now.where("not led")
         states = free.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count_distinct("root") < F.count_distinct("old")).alias("moved"), F.max("n").alias("n"))
-        open_buckets = states.where((F.col("low") != F.col("high")) & (F.col("moved") | (F.col("n") <= EXHAUSTED))).select("bucket").coalesce(parts)
-        members = checkpointed(free.drop("old").join(open_buckets, "bucket", "left_semi").coalesce(parts))
+        by_leaders = (F.col("moved") | (F.col("n") <= EXHAUSTED)).alias("by_leaders")
+        several = states.where("low <> high").select("bucket", by_leaders).coalesce(parts)
+        members = checkpointed(free.drop("old").join(several, "bucket").coalesce(parts))
+        rest = members.where("not by_leaders").select("bucket", "node")
+        left = rest if left is None else left.unionByName(rest)
+        members = members.where("by_leaders").drop("by_leaders")
         size = members.count()
         if not size:
-            return roots
+            break
         leaders *= 2
+    left = checkpointed(left.coalesce(_parts(left.count())))
+    if left.isEmpty():
+        return roots
+    edges = _linked_in_blocks(left, roots, texts, threshold)
+    return components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _linked_in_blocks(left: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all similar nodes of one bucket and different classes.
+
+    A bucket's nodes are dealt over blocks; each two blocks meet in one group. A pair of several buckets is
+    compared in the first of them.
+    """
+    rooted = left.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    states = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rooted = rooted.join(states.where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+    of_node = texts.join(rooted.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node").select("node", "buckets", "text")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rooted.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(of_node, "node").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "buckets", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, i, j = (group.column(k)[0].as_py() for k in range(3))
+        block, node, tree = (group.column(k).to_numpy().copy() for k in (3, 4, 5))  # tree: the class, as far as it is known here
+        bags = [bag(t.as_py()) for t in group.column(7)]
+        made = np.array([summary(b) for b in bags])
+        earlier = [[x for x in of if x < bucket] for of in group.column(6).to_pylist()]
+        place = {x: k for k, x in enumerate(sorted({x for of in earlier for x in of}))}
+        within = np.zeros((len(node), len(place)), bool)
+        for x, of in enumerate(earlier):
+            within[x, [place[y] for y in of]] = True
+        firsts, seconds = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        for x in firsts.tolist():
+            to = seconds[tree[seconds] != tree[x]]
+            if i == j:
+                to = to[to > x]
+            to = to[~within[to][:, within[x]].any(axis=1)]
+            to = to[bounds_above(made[x], made[to]) >= threshold - 1e-4]
+            if len(to):
+                to = to[similar(bags[x], [bags[y] for y in to.tolist()], threshold)]
+                trees, first = np.unique(tree[to], return_index=True)
+                a += [int(node[x])] * len(first)
+                b += node[to[first]].tolist()
+                tree[np.isin(tree, trees)] = tree[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -229,6 +229,51 @@ def test_near_duplicates_match_brute_force(spark):
     assert (got.groupby("class_id").doc_id.min() == got.groupby("class_id").class_id.min()).all()
 
 
+def rim(rng, ways=60, words=104):
+    """A middle, and for each way two texts that are under 0.8 to it and over 0.8 to each other."""
+    base = [f"b{i}" for i in range(words)]
+    rows = [" ".join(base)]
+    for k in range(ways):
+        text, at = list(base), rng.sample(range(5, words - 5), 4)
+        for n, x in enumerate(at):
+            text[x] = f"c{k}x{n}"
+        rows.append(" ".join(text))
+        text[at[0] + 1] = f"d{k}"
+        rows.append(" ".join(text))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def in_one_bucket(spark, rows):
+    frame = spark.createDataFrame(rows, "node bigint, text string")
+    members = frame.select(F.lit(7).cast("bigint").alias("bucket"), "node", F.lit(len(rows)).cast("bigint").alias("n"), F.lit(len(rows)).cast("bigint").alias("score"))
+    roots = dict(near_dedup._links(frame, frame, members, 0.8).collect())
+    groups: dict = {}
+    for node, _ in rows:
+        groups.setdefault(roots.get(node, node), []).append(node)
+    return sorted(sorted(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("block", [512, 32])
+def test_every_pair_of_a_large_bucket_is_met(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = rim(random.Random(6), ways=100)
+    want = naive_classes(rows)
+    assert len(rows) > 200 and sum(len(g) > 1 for g in want) > 50
+    assert in_one_bucket(spark, rows) == want
+
+
+def test_summaries_bound_similarity():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        bags = [(x, rng.choice([1, 1, 1, 9], len(x))) for x in (np.unique(rng.integers(0, 60, 150)).astype(np.uint64) for _ in range(20))]
+        bags += [(x, np.ones_like(n)) for x, n in bags]
+        assert near_dedup.similar(bags[0], bags[1:], 0.8).tolist() == [near_dedup.similarity(bags[0], b) >= 0.8 for b in bags[1:]]
+        a, b = ((np.unique(rng.integers(0, 300, 200)).astype(np.uint64), None) for _ in range(2))
+        a, b = ((x[0], rng.integers(1, 9, len(x[0]))) for x in (a, b))
+        assert near_dedup.bounds_above(near_dedup.summary(a), near_dedup.summary(b)[None])[0] >= near_dedup.similarity(a, b) - 1e-5
+
+
 def test_near_duplicate_cases(spark):
     long = "alpha beta gamma delta epsilon zeta " * 4000
     rows = [(5, "a b"), (3, "A, b!"), (4, "a c"), (None, None), (8, ""), (9, "..."), (7, long), (6, long + "omega"), (1, "x y z"), (1, "x y z"), (None, "q r s")]
