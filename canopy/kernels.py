@@ -93,7 +93,7 @@ def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer columns as struct parts: on one line up to five, else one a line (nations as structs)."""
-    parts = _table(spark, sf_dir, "customer").where("c_custkey <= 400").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.array("c_name").alias("names"), F.col("c_mktsegment").alias("type_src")))).alias("fields"))
+    parts = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.array("c_name").alias("names"), F.col("c_mktsegment").alias("type_src")))).alias("fields"))
     rows = parts.select(F.struct(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("name"), "fields").alias("d"))
     return rows.select(F.col("d.name").alias("name"), c.struct_signature(F.col("d")).alias("signature"))
 
