@@ -60,7 +60,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))(?: ?[=:] ?\"([^\"\s]{8,256})\"|=((?=[^\s\"]*[0-9])[^\s\",;]{8,256}))")
+_SECRET_NAME = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))(?: ?[=:] ?(\")|=)")
+_QUOTED = re.compile(r"[^\"\s]{8,}+(?=\")")
+_UNQUOTED = re.compile(r"[^\s\",;]{8,}+")
+_RUN = re.compile(r"[^\s\"]*+")
 _CARD_RUN = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
 _PHONE_FORM = re.compile(r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ -][0-9]{3,4}(?![0-9])")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
@@ -136,13 +139,30 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values of any length; one without quotes needs a digit in the run up to the next space or quote."""
+    at = run_end = last_digit = 0
+    while m := _SECRET_NAME.search(text, at):
+        at = m.end()
+        if m[1]:
+            value = _QUOTED.match(text, at)
+        else:
+            if at >= run_end:  # a run of many names is measured once
+                run_end = _RUN.match(text, at).end()
+                last_digit = max(text.rfind(d, at, run_end) for d in "0123456789")
+            value = _UNQUOTED.match(text, at) if at <= last_digit else None
+        if value:
+            yield value.span()
+            at = value.end()
+
+
 _FINDERS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
     "email": emails,
     "ip": _ips,
     "card": _cards,
     "phone": _phones,
     "iban": _ibans,
-    "secret": lambda text: (m.span(m.lastindex) for m in _SECRET.finditer(text)),
+    "secret": _secrets,
     "access_key": lambda text: (m.span() for m in _ACCESS_KEY.finditer(text)),
     "card_run": lambda text: (m.span() for m in _CARD_RUN.finditer(text) if luhn(m[0])),
     "phone_form": lambda text: (m.span() for m in _PHONE_FORM.finditer(text)),

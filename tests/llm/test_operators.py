@@ -411,6 +411,16 @@ def test_added_kinds_scores_and_redaction():
     assert pii.mod97(iban.replace(" ", "")) and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_secrets_of_any_length():
+    value = "a1B2" * 100
+    for text in (f'token="{value}" x', f"token={value}, x", f"see password={value}"):
+        assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "secret"] == [value]
+        assert "a1B2" not in pii.redact(text)
+    assert not [s for s in pii.find(f'n 1 token={"plain" * 100} token="{value}') if s.kind == "secret"]
+    both = 'token=abcdefgh/password="abcd1234" secret=abcdefgh,1'
+    assert [both[s.start : s.end] for s in pii.find(both) if s.kind == "secret"] == ["abcd1234", "abcdefgh"]
+
+
 def test_personal_data_cases(spark):
     digits = "1" * 200000
     docs = docs_of(spark, [(1, None), (2, ""), (3, "a@b.co"), (3, "a@b.co"), (4, digits), (None, "x" * 300000 + "@" + "y")]).withColumn("spans", F.lit(1))
