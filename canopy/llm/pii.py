@@ -59,7 +59,8 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _SECRET_NAME = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))(?: ?[=:] ?(\")|=)")
 _QUOTED = re.compile(r"[^\"\s]{8,}+(?=\")")
 _UNQUOTED = re.compile(r"[^\s\",;]{8,}+")
@@ -134,9 +135,15 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield m.span()
+    """The longest run of whole words from each start whose check digits hold."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        for end in range(m.end(), m.start() + 14, -1):
+            if _WORD_END.match(text, end) and 15 <= len(code := text[m.start() : end].replace(" ", "")) <= 34 and mod97(code):
+                yield m.start(), end
+                at = end
+                break
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:

@@ -421,6 +421,14 @@ def test_secrets_of_any_length():
     assert [both[s.start : s.end] for s in pii.find(both) if s.kind == "secret"] == ["abcd1234", "abcdefgh"]
 
 
+def test_account_numbers_before_and_after_other_words():
+    number = "GB82 WEST 1234 5698 7654 32"
+    for text in (f"IBAN {number} BIC ABCDGB2L", f"{number.replace(' ', '')} 2024", f"AB12 {number} X", f"{number} {number}", f"{number}."):
+        found = [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+        assert found and {f.replace(" ", "") for f in found} == {number.replace(" ", "")} and len(found) == text.replace(" ", "").count("GB82")
+    assert not [s for s in pii.find(f"{number}a x{number}") if s.kind == "iban"]
+
+
 def test_personal_data_cases(spark):
     digits = "1" * 200000
     docs = docs_of(spark, [(1, None), (2, ""), (3, "a@b.co"), (3, "a@b.co"), (4, digits), (None, "x" * 300000 + "@" + "y")]).withColumn("spans", F.lit(1))
