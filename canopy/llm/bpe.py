@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from canopy.llm.common import HashTable
+from canopy.llm.common import HashTable, small_batches
 
 #: Words remembered per worker; beyond it the memory is emptied, which costs time only.
 CACHE_WORDS = 400_000
@@ -327,7 +327,7 @@ class WordBpe:
         low = 0
         while low < len(texts):
             high, size = low, 0
-            while high < len(texts) and (high == low or size < 1 << 21):
+            while high < len(texts) and (high == low or size < 1 << 20):
                 size += len(texts[high] or "")
                 high += 1
             yield from self._encode_some(texts[low:high])
@@ -372,6 +372,7 @@ def default_vocabulary() -> str:
 
 def _extend(docs: DataFrame, added: list[tuple[str, T.DataType]], make, text_column: str) -> DataFrame:
     """Append columns that make(texts) gives as arrays; columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     new = [name for name, _ in added]
     names = [c for c in docs.columns if c not in new]
     schema = T.StructType([*docs.select(*names).schema.fields, *[T.StructField(n, t) for n, t in added]])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.plans.lineage import checkpointed, ensure_checkpoint_dir  # noqa: F401
+
 #: A slot of a HashTable that holds no key.
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -20,18 +21,20 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a private one only where none is named (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="canopy-checkpoint-"))
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in small batches, unless the session says otherwise: whole texts are long rows, and a worker
+    and its executor hold a few batches each."""
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", f"{64 << 20}b", "4m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def id_hash_mod(id_column: Column, modulus: int) -> Column:
@@ -39,7 +42,7 @@ def id_hash_mod(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def text_blocks(texts: pa.Array, pad: int, limit: int = 1 << 20, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, pad: int, limit: int = 1 << 18, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about `limit` bytes.
 
     Yields (first row, offsets, bytes): row r of the run starts at offsets[r] with `pad` zero bytes

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, low_bits, per_context, text_blocks
+from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, low_bits, per_context, small_batches, text_blocks
 
 ORDER = 4
 #: About so many documents of each language, chosen by a hash of the id, teach its tree.
@@ -86,7 +86,7 @@ class ContextTrees:
         out[missed] = step + self._costs(low_bits(left, 8 * k), k - 1)
         return out
 
-    def code_lengths(self, texts: pa.Array, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    def code_lengths(self, texts: pa.Array, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each whole text under each language, and its bytes."""
         bits = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts), np.int64)
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, training: Training, id_column: str = "doc_id", text_col
 
 def identify(docs: DataFrame, trees: ContextTrees, text_column: str = "text") -> DataFrame:
     """All columns of docs, with lang_pred, score (0 to 1) and bits_per_byte of the best code."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by the sample
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")

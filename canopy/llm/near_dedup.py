@@ -5,31 +5,34 @@ as it occurs. Each shingle sends exponential arrivals at a rate of its weight to
 register keeps the shingle that came first. A document stops drawing arrivals at the time by which all
 its registers are filled (early termination). The share of equal registers of two documents estimates
 their probability Jaccard similarity. BANDS bands of ROWS registers are hashed to buckets; a pair at
-similarity 0.8 misses all of them with a chance of 3e-5.
-
-Exact copies (equal word sequences) become one node first, whatever their number. In a bucket, nodes are
-not compared pairwise but with leaders: the first is the node that meets most others over all its
-buckets, which in a group of copies is their original. Pairs are verified on whole texts: exact probability
-Jaccard, or plain Jaccard of the shingle sets, of at least THRESHOLD. Verified links join classes; only
-buckets that still hold several classes go on, with 2, 4, 8 ... leaders that have not led there, compared
-with nodes of other classes. A bucket of up to EXHAUSTED nodes goes on until every pair of its nodes is
-compared or in one class. A larger one goes on until a round joins no two of its classes; the pairs that are
-then left in it are all compared in blocks of BLOCK nodes, where summaries (shingles by CELLS cells) bound the
-similarity of a pair from above, and what can reach the threshold is verified. So a group of n copies costs about
-n comparisons, the rim of a group a square of cheap ones, and no link between two texts of one bucket is missed.
-
-Classes are connected components, found by alternating large-star and small-star steps over checkpointed
-edges; links and labels never leave the executors.
+similarity 0.8 misses all of them with a chance of 3.2e-5. Pairs are verified by the exact probability
+Jaccard of the whole texts (plain Jaccard where no shingle is repeated), of at least THRESHOLD.
+
+Exact copies (equal word sequences) become one node first, whatever their number, and buckets with the same
+nodes become one. Then every two nodes of a bucket that are not in one class already are compared, in two steps:
+
+1. Each node is compared with the leader of its bucket, the node that meets most others over all its
+   buckets; in a group of copies this is their original, so that a group of n copies costs n comparisons. The texts
+   that a leader is compared with stream past it, spread over tasks by their bytes.
+2. In buckets that still hold several classes, the nodes are dealt over blocks of about BLOCK_BYTES of text, a
+   class larger than that over blocks of its own, and each two blocks meet once unless both are of one class. Inside
+   two blocks a prefix filter finds the pairs: ordered from rare to frequent, shingles with less than the threshold of a
+   text's weight behind them must hold one that both texts have. It is exact, so no link in a bucket is lost, and
+   texts that share a long passage do not meet through the passage. What grows with the square of a bucket without
+   classes is the shipping of its texts, divided by the size of a block.
+
+Classes are connected components: partitions contract their links first, then alternating large-star and
+small-star steps over checkpointed links; links and labels never leave the executors.
 
 Cases: a text with fewer than SHINGLE words is one shingle; a null or wordless text is a class by itself;
 the class id is the smallest doc_id of the class (null only if all are null); repeated rows are exact
-copies; an empty table gives no rows; other columns are not looked at, and representatives() keeps them.
+copies; a text of any length is compared whole; an empty table gives no rows; other columns are not looked at, and
+representatives() keeps them whatever their names and types.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +40,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm.common import checkpointed, text_blocks
+from canopy.llm.common import checkpointed, small_batches, text_blocks, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 34, 6
 REGISTERS = BANDS * ROWS
-#: Buckets of so many nodes are compared to the last pair.
-EXHAUSTED = 32
-#: Cells of a summary, and nodes of a block of a larger bucket.
-CELLS, BLOCK = 128, 512
-#: Nodes of up to so many pairs (two numbers each) are broadcast to pick their texts; beyond, both sides are shuffled.
-BROADCAST_PAIRS = 1_000_000
-#: Rows of numbers, and pairs with their texts, that are worth a partition of their own.
-ROWS_A_TASK, PAIRS_A_TASK = 50_000, 2_000
+#: Text bytes of a block of nodes, and of what one task compares with a leader.
+BLOCK_BYTES = 8 << 20
+#: Rows of numbers, and bytes of text, that are worth a partition of their own.
+ROWS_A_TASK, BYTES_A_TASK = 100_000, 16 << 20
+#: Links that a partition contracts at a time.
+CONTRACTED = 400_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -169,247 +170,271 @@ def signatures(texts: pa.Array) -> tuple[list[bytes | None], np.ndarray]:
     return keys, buckets
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of probability Jaccard and plain Jaccard of two bags (ascending shingles, counts)."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = len(a[0]) + len(b[0]) - len(common)
-    if not union:
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def similarity(a: Bag, b: Bag) -> float:
+    """Probability Jaccard of two bags (ascending shingles, counts)."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][at] == a[0])
+    if not len(i):
         return 0.0
-    plain = len(common) / union
-    if plain >= THRESHOLD or not len(common):
-        return plain
+    weight_a, weight_b = int(a[1].sum()), int(b[1].sum())
+    if weight_a == len(a[0]) and weight_b == len(b[0]):
+        return len(i) / (weight_a + weight_b - len(i))
     # sum over common s of 1 / sum over t of max(a_t / a_s, b_t / b_s), by the order of the ratios a_t / b_t
-    x, y = a[1][i].astype(float), b[1][j].astype(float)
-    only_a, only_b = a[1].sum() - x.sum(), b[1].sum() - y.sum()
+    x, y = a[1][i].astype(float), b[1][at[i]].astype(float)
+    only_a, only_b = weight_a - x.sum(), weight_b - y.sum()
     ratio = x / y
     order = np.argsort(ratio, kind="stable")
     x, y, ratio = x[order], y[order], ratio[order]
     place = np.searchsorted(ratio, ratio, side="left")
     more_a = x.sum() - np.r_[0, np.cumsum(x)][place] + only_a  # shingles whose ratio is at least that of s
     more_b = np.r_[0, np.cumsum(y)][place] + only_b
-    return max(plain, float((1 / (more_a / x + more_b / y)).sum()))
+    return float((1 / (more_a / x + more_b / y)).sum())
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct shingles of one text, with counts."""
-    for _, offsets, data in text_blocks(pa.array([text], pa.large_string()), 0, lower=True):
-        _, shingles, counts = shingle_bags(*word_hashes(offsets, data))
-        return shingles, counts
-    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def bags(texts: pa.Array) -> Iterator[Bag]:
+    """Of each text: ascending distinct shingles, with counts."""
+    for _, offsets, data in text_blocks(texts, 0, limit=1 << 18, lower=True):
+        rows, shingles, counts = shingle_bags(*word_hashes(offsets, data))
+        ends = np.searchsorted(rows, np.arange(len(offsets)))
+        yield from ((shingles[low:high], counts[low:high]) for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
 
-def summary(a: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of a bag: the share of its weight in each cell of shingles, and its distinct shingles in each."""
-    cells = (a[0] % np.uint64(CELLS)).astype(np.int64)
-    weights = np.bincount(cells, a[1], CELLS)
-    return np.concatenate([weights / max(weights.sum(), 1), np.bincount(cells, minlength=CELLS)]).astype(np.float32)
+def bag(text: str) -> Bag:
+    return next(bags(pa.array([text], pa.large_string())))
 
 
-def bounds_above(a: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """What similarity() of the bag of summary a and those of other summaries is at most.
+def links_between(of: list[Bag], tree: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of similar bags that join all similar ones of different trees and sides; bags of side -1 are on both.
 
-    Probability Jaccard is at most the sum over shingles of the smaller share, and that is at most the sum over
-    cells; in the same way the smaller numbers of the cells bound the common shingles.
+    Probability Jaccard is at most the common weight, the sum of the smaller shares. With the shingles of every bag in
+    one order, the common weight of two bags lies at and behind their first common shingle, so this one is in the
+    prefix of both: the shingles that have the threshold of the bag's weight at and behind them.
     """
-    least = np.minimum(a, others)
-    shares, common = least[:, :CELLS].sum(axis=1), least[:, CELLS:].sum(axis=1)
-    return np.maximum(shares, common / np.maximum(a[CELLS:].sum() + others[:, CELLS:].sum(axis=1) - common, 1))
-
-
-def similar(a: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
-    """Whether similarity() of bag a and each of the others is at least threshold."""
-    sizes = np.array([len(b[0]) for b in others])
-    starts, shingles = np.cumsum(sizes) - sizes, np.concatenate([b[0] for b in others])
-    at = np.minimum(np.searchsorted(a[0], shingles), len(a[0]) - 1)
-    hit = a[0][at] == shingles
-    common = np.add.reduceat(hit.astype(np.int64), starts)
-    ok = common / (len(a[0]) + sizes - common) >= threshold
-    # probability Jaccard is at most the sum of the smaller shares, and plain Jaccard where no shingle is repeated
-    shares = np.concatenate([b[1] / b[1].sum() for b in others])
-    least = np.add.reduceat(np.where(hit, np.minimum((a[1] / a[1].sum())[at], shares), 0), starts)
-    repeats = np.array([len(b[0]) < b[1].sum() for b in others]) | (len(a[0]) < a[1].sum())
-    for k in np.flatnonzero(~ok & repeats & (least >= threshold - 1e-6)).tolist():
-        ok[k] = similarity(a, others[k]) >= threshold
-    return ok
+    sizes = np.array([len(b[0]) for b in of])
+    owner, shingles = np.repeat(np.arange(len(of)), sizes), np.concatenate([b[0] for b in of])
+    share = np.concatenate([b[1] / b[1].sum() for b in of])
+    _, which, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, often[which], owner))
+    which, share = which[order], share[order]
+    before = np.cumsum(share) - share
+    begins = np.cumsum(sizes) - sizes
+    kept = np.flatnonzero(1 - (before - np.repeat(before[begins], sizes)) >= threshold - 1e-9)
+    which, owner = which[kept], owner[kept]  # the prefixes, by owner
+    starts = np.searchsorted(owner, np.arange(len(of) + 1))
+    by_shingle = np.argsort(which, kind="stable")
+    listed, lows = owner[by_shingle], np.searchsorted(which[by_shingle], np.arange(len(often) + 1))
+    tree = tree.copy()
+    names, members = np.unique(tree, return_counts=True)
+    for x in np.flatnonzero(tree != names[members.argmax()]).tolist():  # one of two trees is not the largest
+        own = which[starts[x] : starts[x + 1]]
+        own = own[lows[own + 1] - lows[own] > 1]
+        if not len(own):
+            continue
+        met = np.concatenate([listed[lows[s] : lows[s + 1]] for s in own.tolist()])
+        met = np.unique(met[(tree[met] != tree[x]) & ((side[met] != side[x]) | (side[x] < 0))])
+        for y in met.tolist():
+            if tree[y] != tree[x] and similarity(of[x], of[y]) >= threshold:
+                yield x, y
+                tree[tree == tree[y]] = tree[x]
 
 
 def _signed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.octet_length(text_column).cast("long").alias("size"), F.col(text_column).alias("text"))
     schema = rows.drop("text").schema.add("key", T.BinaryType()).add("buckets", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                keys, buckets = signatures(part.column(2))
+                keys, buckets = signatures(part.column(3))
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(buckets.astype(np.int64, casting="unsafe").ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), lists], names=["doc_id", "text_hash", "key", "buckets"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.binary()), lists], names=["doc_id", "text_hash", "size", "key", "buckets"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b, text_a, text_b) that are similar enough."""
+def _parts(n: int, each: int) -> int:
+    """Partitions for so many rows or bytes: a small table in many partitions costs files and tasks."""
+    return max(1, -(-n // each))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-
-        def bag_of(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if node not in recent:
-                recent[node] = bag(text)
-                if len(recent) > 256:
-                    recent.popitem(last=False)
-            return recent[node]
-
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = [similarity(bag_of(x, s.as_py()), bag_of(y, t.as_py())) >= threshold for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+def contract(links: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the same nodes as those that come in, each node to the smallest of its component."""
 
+    def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, ends = np.unique(np.r_[a, b], return_inverse=True)
+        x, y, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+        while True:  # every root takes the smallest root that it is linked with, and paths are halved
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            if (low == high).all():
+                break
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
 
-def _parts(rows: int, each: int = ROWS_A_TASK) -> int:
-    """Partitions for a table of so many rows: a small table in many partitions costs files and tasks."""
-    return max(1, -(-rows // each))
+    held: list[pa.RecordBatch] = []
+    for batch in links:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CONTRACTED:
+            yield star(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
+            held = []
+    if held:
+        yield star(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of its component, for every node of the edges (a, b)."""
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    parts = _parts(edges.count())
     while True:
-        edges = edges.coalesce(parts)
+        n = edges.count()
+        parts = _parts(n, ROWS_A_TASK)
+        edges = checkpointed(edges.coalesce(parts).mapInArrow(contract, edges.schema))
         # an edge always points from the larger to the smaller node; done when all point to roots
-        inner = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
-        several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        if inner.unionByName(several).isEmpty():
+        if n > ROWS_A_TASK:
+            inner = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
+            several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+            done = inner.unionByName(several).isEmpty()
+        if n <= ROWS_A_TASK or done:  # one partition is contracted to the end
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = checkpointed(small.coalesce(parts).distinct())
+        edges = checkpointed(small.distinct())
 
 
-def _links(nodes: DataFrame, texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """node, root of every node that got a link; members: bucket, node, n (nodes in the bucket), score."""
-    members = members.withColumn("root", F.col("node")).withColumn("led", F.lit(False))
-    roots: DataFrame | None = None
-    left: DataFrame | None = None
-    leaders, size = 1, members.count()
-    while True:
-        parts = _parts(size)
-        members = members.coalesce(parts)
-        rank = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-        lead = members.where("not led").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= leaders)
-        lead = lead.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root")).coalesce(parts)
-        met = members.where("not led").join(lead, "bucket").where("root <> leader_root")
-        pairs = checkpointed(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).coalesce(parts).distinct().coalesce(parts))
-        edges = _verified(_with_texts(pairs, texts), threshold)
-        if roots is not None:
-            edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(edges)
-        # go on with buckets that hold several classes and two or more nodes that have not led there
-        leads = lead.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
-        now = members.withColumnRenamed("root", "old").join(roots, "node", "left").coalesce(parts).join(leads, ["bucket", "node"], "left").coalesce(parts)
-        now = now.select("bucket", "node", "n", "score", "old", F.coalesce("root", "node").alias("root"), (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led"))
-        free = now.where("not led")
-        states = free.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count_distinct("root") < F.count_distinct("old")).alias("moved"), F.max("n").alias("n"))
-        by_leaders = (F.col("moved") | (F.col("n") <= EXHAUSTED)).alias("by_leaders")
-        several = states.where("low <> high").select("bucket", by_leaders).coalesce(parts)
-        members = checkpointed(free.drop("old").join(several, "bucket").coalesce(parts))
-        rest = members.where("not by_leaders").select("bucket", "node")
-        left = rest if left is None else left.unionByName(rest)
-        members = members.where("by_leaders").drop("by_leaders")
-        size = members.count()
-        if not size:
-            break
-        leaders *= 2
-    left = checkpointed(left.coalesce(_parts(left.count())))
-    if left.isEmpty():
-        return roots
-    edges = _linked_in_blocks(left, roots, texts, threshold)
-    return components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+def _one_of_equals(members: DataFrame) -> DataFrame:
+    """Of buckets with several nodes one for each set of nodes, with how many there are: bucket, copies."""
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return sets.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("copies")).select("bucket", (F.col("n") * F.col("copies")).alias("meets"))
 
 
-def _linked_in_blocks(left: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join all similar nodes of one bucket and different classes.
+def _in_order(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Rows with texts of `size` bytes, dealt by the first two keys and sorted by all."""
+    parts = max(_parts(size, BYTES_A_TASK), 2 * rows.sparkSession.sparkContext.defaultParallelism if size > BYTES_A_TASK else 1)
+    return rows.repartition(parts, *keys[:2]).sortWithinPartitions(*keys)
 
-    A bucket's nodes are dealt over blocks; each two blocks meet in one group. A pair of several buckets is
-    compared in the first of them.
-    """
-    rooted = left.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    states = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    rooted = rooted.join(states.where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    of_node = texts.join(rooted.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node").select("node", "buckets", "text")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rooted.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(of_node, "node").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "buckets", "text")
-
-    def run(group: pa.Table) -> pa.Table:
-        bucket, i, j = (group.column(k)[0].as_py() for k in range(3))
-        block, node, tree = (group.column(k).to_numpy().copy() for k in (3, 4, 5))  # tree: the class, as far as it is known here
-        bags = [bag(t.as_py()) for t in group.column(7)]
-        made = np.array([summary(b) for b in bags])
-        earlier = [[x for x in of if x < bucket] for of in group.column(6).to_pylist()]
-        place = {x: k for k, x in enumerate(sorted({x for of in earlier for x in of}))}
-        within = np.zeros((len(node), len(place)), bool)
-        for x, of in enumerate(earlier):
-            within[x, [place[y] for y in of]] = True
-        firsts, seconds = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in firsts.tolist():
-            to = seconds[tree[seconds] != tree[x]]
-            if i == j:
-                to = to[to > x]
-            to = to[~within[to][:, within[x]].any(axis=1)]
-            to = to[bounds_above(made[x], made[to]) >= threshold - 1e-4]
-            if len(to):
-                to = to[similar(bags[x], [bags[y] for y in to.tolist()], threshold)]
-                trees, first = np.unique(tree[to], return_index=True)
-                a += [int(node[x])] * len(first)
-                b += node[to[first]].tolist()
-                tree[np.isin(tree, trees)] = tree[x]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs with the texts of both nodes."""
-    n = pairs.count()
-    parts = _parts(n, PAIRS_A_TASK)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if n <= BROADCAST_PAIRS:
-        wanted = F.broadcast(wanted)  # then the other texts are not shuffled
-    needed = texts.join(wanted, "node", "left_semi").coalesce(parts)
-    one = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").coalesce(parts)
-    return one.join(needed.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").coalesce(parts)
+
+def _linked_to_leaders(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the nodes of each bucket and its leader."""
+    lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("leader"))
+    pairs = checkpointed(members.join(lead, "bucket").where("node <> leader").select("leader", "node", "size").distinct())
+    loads = pairs.groupBy("leader").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("parts"))
+    total = pairs.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
+    nodes = pairs.join(loads, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("place"))
+    itself = loads.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"))
+    rows = nodes.unionByName(itself).join(texts, "node").select("leader", "part", "place", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, None  # the row of a leader comes before those that are compared with it
+        for batch in batches:
+            a, b = [], []
+            for which, place, node, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), bags(batch.column(4)), strict=True):
+                if not place:
+                    leader, own = which, (found[0].copy(), found[1].copy())
+                elif which == leader and similarity(own, found) >= threshold:
+                    a.append(which)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _in_order(rows, total, "leader", "part", "place").mapInArrow(run, "a bigint, b bigint")
+
+
+def _linked_in_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all similar nodes of different roots of each bucket (bucket, node, root, size)."""
+    # a class with more than a block of text gets blocks of its own; all others of a bucket share blocks
+    loads = members.groupBy("bucket", "root").agg(F.sum("size").alias("bytes"))
+    big = loads.where(F.col("bytes") > BLOCK_BYTES).select("bucket", "root", F.col("root").alias("own"))
+    placed = members.join(big, ["bucket", "root"], "left")
+    groups = placed.groupBy("bucket", "own").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    groups = groups.withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    along = Window.partitionBy("bucket").orderBy("own")  # one row for each block's worth of text, at most
+    groups = groups.withColumns({"end": F.sum("blocks").over(along), "all": F.sum("blocks").over(Window.partitionBy("bucket"))})
+    groups = groups.select(F.col("bucket").alias("of_bucket"), F.col("own").alias("of_own"), "blocks", "end", "all")
+    dealt = placed.join(groups, (F.col("bucket") == F.col("of_bucket")) & F.col("own").eqNullSafe(F.col("of_own")))
+    dealt = dealt.withColumn("block", (F.col("end") - F.col("blocks") + F.pmod(F.xxhash64("node"), "blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all").cast("int") - 1), lambda y: F.col("own").isNull() | (y < F.col("end") - F.col("blocks")) | (y >= F.col("end")))
+    dealt = checkpointed(dealt.select("bucket", "node", "root", "size", "block", F.explode(others).alias("other")))
+    total = dealt.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
+    rows = dealt.join(texts, "node").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "text")
+
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        i, j, block, node, root = (group.column(k).to_numpy() for k in range(1, 6))
+        side = np.full(len(block), -1) if i[0] == j[0] else block
+        found = []
+        if len(np.unique(root)) > 1:
+            found = list(links_between(list(bags(group.column(6).combine_chunks())), root, side, threshold))
+        return pa.RecordBatch.from_arrays([pa.array([int(node[p[k]]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_group(batches, 3, compare)
+
+    return _in_order(rows, total, "bucket", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """work() of each run of rows with equal numbers in the first `keys` columns; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != columns[k][0] for k in range(keys)):
+            yield work(pa.Table.from_batches(held))
+            held = []
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if low:
+                yield work(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield work(pa.Table.from_batches(held))
+
+
+def _links(texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """node, root of every node that got a link; members: bucket, node, size, score; texts: node, text."""
+    roots = checkpointed(components(_linked_to_leaders(members, texts, threshold)))
+    rooted = members.select("bucket", "node", "size").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
+    left = checkpointed(rooted.join(several, "bucket"))
+    if left.isEmpty():
+        return roots
+    edges = _linked_in_blocks(left, texts, threshold)
+    return components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _classified(docs: DataFrame, id_column: str, text_column: str, threshold: float) -> DataFrame:
     """doc_id, text_hash, class_id, class_hash (id and text of the representative) of every document."""
+    small_batches(docs.sparkSession)
     signed = checkpointed(_signed(docs, id_column, text_column))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.min(rank).alias("first"), F.first("buckets").alias("buckets"))
+    nodes = signed.where("key is not null").groupBy("key").agg(F.min(rank).alias("first"), F.max("size").alias("size"), F.first("buckets").alias("buckets"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    entries = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpointed(entries.join(shared, "bucket"))
+    entries = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
+    met = checkpointed(entries.join(_one_of_equals(entries), "bucket"))
     if met.isEmpty():
         classes = nodes.select("key", "first")
     else:
-        scores = met.groupBy("node").agg(F.sum("n").alias("score"))
-        members = checkpointed(met.select("bucket", "node", "n").join(scores, "node"))
+        scores = met.groupBy("node").agg(F.sum("meets").alias("score"))
+        members = checkpointed(met.drop("meets").join(scores, "node"))
         firsts = nodes.join(scores.select("node"), "node", "left_semi").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.text_hash").alias("want_hash"))
         source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
         found = source.join(firsts, source["doc_id"].eqNullSafe(firsts["want_id"]) & (source["text_hash"] == firsts["want_hash"]))
         texts = checkpointed(found.select("node", "text").dropDuplicates(["node"]))
-        roots = _links(nodes, texts, members, threshold)
+        roots = _links(texts, members, threshold)
         rooted = nodes.select("key", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         of_root = rooted.groupBy("root").agg(F.min("first").alias("class_first"))
         classes = rooted.join(of_root, "root").select("key", F.col("class_first").alias("first"))
@@ -433,8 +458,9 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """One document of each class, with all columns of docs; wordless documents all stay."""
     found = _classified(docs, id_column, text_column, threshold)
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
-    kept = found.where(own).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("wordless").alias("__wordless"))
-    joined = docs.join(kept, docs[id_column].eqNullSafe(kept["__id"]) & (F.xxhash64(text_column) == kept["__hash"]))
-    copy = Window.partitionBy("__id", "__hash").orderBy(*[c for c in docs.columns if c not in (id_column, text_column)] or [F.lit(1)])
-    numbered = joined.withColumn("__copy", F.when(F.col("__wordless"), F.lit(1)).otherwise(F.row_number().over(copy)))
-    return numbered.where("__copy = 1").select(*docs.columns)
+    key, text_hash, wordless, copy = (unused(docs, c) for c in ("kept_id", "kept_hash", "kept_wordless", "kept_copy"))
+    kept = found.where(own).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash)).agg(F.max("wordless").alias(wordless))
+    joined = docs.join(kept, docs[id_column].eqNullSafe(kept[key]) & (F.xxhash64(docs[text_column]) == kept[text_hash]))
+    others = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema if f.name not in (id_column, text_column)]
+    numbered = joined.withColumn(copy, F.row_number().over(Window.partitionBy(key, text_hash).orderBy(*others, F.lit(1))))
+    return numbered.where(F.col(copy).eqNullSafe(1) | F.col(wordless)).select(*docs.columns)

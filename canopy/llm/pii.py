@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from canopy.llm.common import small_batches
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret", "access_key", "card_run", "phone_form")
 CONTEXT = 48
@@ -267,6 +269,7 @@ def digests(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The same columns, the text with its spans replaced and, if docs counts characters, n_chars anew."""
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +286,7 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def _map_texts(docs: DataFrame, text_column: str, added: list[tuple[str, T.DataType]], make: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    small_batches(docs.sparkSession)
     new = [name for name, _ in added]
     names = [c for c in docs.columns if c not in new]
     schema = T.StructType([*docs.select(*names).schema.fields, *[T.StructField(n, t) for n, t in added]])

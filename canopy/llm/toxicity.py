@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, low_bits, per_context, text_blocks
+from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, low_bits, per_context, small_batches, text_blocks
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
 
 def score(docs: DataFrame, classifier: Classifier, text_column: str = "text") -> DataFrame:
     """All columns of docs, with score (0 to 1) and predicted (1 if the score is 0.5 or more)."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # its size is bounded by the sample
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")

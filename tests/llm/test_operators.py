@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,8 +127,28 @@ def test_decontamination_cases(spark):
 def test_decontamination_shuffles_a_large_benchmark(spark, monkeypatch):
     docs, items = docs_of(spark, TEXTS), spark.createDataFrame(ITEMS, "item_id bigint, text string")
     want = decontaminate.report(docs, items).toPandas().astype(str).sort_values(["doc_id", "n_words"]).to_numpy().tolist()
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    kept = sorted(map(str, decontaminate.remove(docs, items, "span").collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_MATCHES", 0)
     assert decontaminate.report(docs, items).toPandas().astype(str).sort_values(["doc_id", "n_words"]).to_numpy().tolist() == want
+    assert sorted(map(str, decontaminate.remove(docs, items, "span").collect())) == kept
+
+
+def test_decontamination_grows_with_the_words_of_a_text(spark, monkeypatch):
+    rng, seconds = random.Random(12), {}
+    passage = "one two three four five six seven eight nine ten eleven"
+    for limit in (1 << 26, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+        for n in (2_000, 20_000, 160_000):
+            text = " ".join(rng.choices("abcdefgh", k=n)) + " " + passage
+            docs = docs_of(spark, [(1, text), (2, passage)]).withColumns({"hit_runs": F.lit(1), "__key": F.lit(2)})
+            began = time.perf_counter()
+            got = {r["doc_id"]: r for r in decontaminate.report(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect()}
+            seconds[n] = time.perf_counter() - began
+            assert got[1]["n_words"] == n + 11 and got[1]["hits"] == list(range(n, n + 11)) and got[2]["item_ids"] == ["1"]
+        assert seconds[160_000] < 8 * seconds[20_000] + 2
+    cut = decontaminate.remove(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"), "span")
+    assert cut.columns == docs.columns and {r["doc_id"]: len(r["text"]) for r in cut.collect()} == {1: 2 * 160_000, 2: 0}
 
 
 # -- 4 language --------------------------------------------------------------------------------------
@@ -246,32 +267,66 @@ def rim(rng, ways=60, words=104):
 
 def in_one_bucket(spark, rows):
     frame = spark.createDataFrame(rows, "node bigint, text string")
-    members = frame.select(F.lit(7).cast("bigint").alias("bucket"), "node", F.lit(len(rows)).cast("bigint").alias("n"), F.lit(len(rows)).cast("bigint").alias("score"))
-    roots = dict(near_dedup._links(frame, frame, members, 0.8).collect())
+    members = frame.select(F.lit(7).cast("bigint").alias("bucket"), "node", F.octet_length("text").cast("bigint").alias("size"), F.lit(len(rows)).cast("bigint").alias("score"))
+    roots = dict(near_dedup._links(frame, members, 0.8).collect())
     groups: dict = {}
     for node, _ in rows:
         groups.setdefault(roots.get(node, node), []).append(node)
     return sorted(sorted(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("block", [512, 32])
+@pytest.mark.parametrize("block", [1 << 23, 1 << 14, 1 << 11])
 def test_every_pair_of_a_large_bucket_is_met(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
     rows = rim(random.Random(6), ways=100)
     want = naive_classes(rows)
     assert len(rows) > 200 and sum(len(g) > 1 for g in want) > 50
     assert in_one_bucket(spark, rows) == want
 
 
-def test_summaries_bound_similarity():
-    rng = np.random.default_rng(3)
-    for _ in range(100):
-        bags = [(x, rng.choice([1, 1, 1, 9], len(x))) for x in (np.unique(rng.integers(0, 60, 150)).astype(np.uint64) for _ in range(20))]
-        bags += [(x, np.ones_like(n)) for x, n in bags]
-        assert near_dedup.similar(bags[0], bags[1:], 0.8).tolist() == [near_dedup.similarity(bags[0], b) >= 0.8 for b in bags[1:]]
-        a, b = ((np.unique(rng.integers(0, 300, 200)).astype(np.uint64), None) for _ in range(2))
-        a, b = ((x[0], rng.integers(1, 9, len(x[0]))) for x in (a, b))
-        assert near_dedup.bounds_above(near_dedup.summary(a), near_dedup.summary(b)[None])[0] >= near_dedup.similarity(a, b) - 1e-5
+def test_a_large_class_gets_blocks_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1 << 12)
+    rng, base = random.Random(13), [f"b{i}" for i in range(104)]
+    rows = rim(rng, ways=20)
+    for k in range(150):
+        text = list(base)
+        text[rng.randrange(104)] = f"e{k}"
+        rows.append((1000 + k, " ".join(text)))
+    want = naive_classes(rows)
+    assert max(map(len, want)) > 150 and in_one_bucket(spark, rows) == want
+
+
+def test_pairs_beneath_a_common_passage_are_found(spark):
+    rng = random.Random(14)
+    words = lambda k, n: [f"{k}x{rng.randrange(10**9)}" for _ in range(n)]
+    common, rows = words("c", 604), []
+    for k in range(200):
+        shared = words("s", 12)
+        rows += [(2 * k + i, " ".join(common + shared + words("o", 66))) for i in (0, 1)]
+    a, b, c = (near_dedup.bag(rows[i][1]) for i in (0, 1, 2))
+    assert near_dedup.similarity(a, b) >= 0.8 > near_dedup.similarity(a, c) > 0.78
+    rng.shuffle(rows)
+    got = near_dedup.classes(docs_of(spark, rows)).toPandas()
+    assert sorted(sorted(g) for g in got.groupby("class_id").doc_id.apply(list)) == [[2 * k, 2 * k + 1] for k in range(200)]
+
+
+def test_prefixes_find_all_links():
+    rng, links = np.random.default_rng(3), 0
+    for sides in (False, True):
+        for _ in range(40):
+            shingles = [np.unique(rng.integers(0, 40 if k % 2 else 400, 60)).astype(np.uint64) for k in range(12)]
+            of = [(x, rng.choice([1, 1, 1, 9], len(x)) if k % 3 else np.ones(len(x), np.int64)) for k, x in enumerate(shingles)]
+            of += [(np.delete(x, 3), np.delete(n, 3)) for x, n in of]
+            side = rng.integers(0, 2, len(of)) if sides else np.full(len(of), -1)
+            tree = rng.integers(0, 20, len(of))
+            roots = [np.arange(20), np.arange(20)]
+            true = [(x, y) for x in range(len(of)) for y in range(x) if (side[x] != side[y] or not sides) and near_dedup.similarity(of[x], of[y]) >= 0.8]
+            for root, pairs in zip(roots, (true, near_dedup.links_between(of, tree, side, 0.8)), strict=True):
+                for x, y in pairs:
+                    root[root == root[tree[x]]] = root[tree[y]]
+            links += len(true)
+            assert all(((roots[0] == a) == (roots[1] == roots[1][i])).all() for i, a in enumerate(roots[0]))
+    assert links > 100
 
 
 def test_near_duplicate_cases(spark):
@@ -291,14 +346,16 @@ def test_probability_jaccard_by_definition_and_by_registers():
         a = {int(k): int(c) for k, c in zip(rng.integers(0, 40, 30), rng.integers(1, 9, 30), strict=True)}
         b = {int(k): int(c) for k, c in zip(rng.integers(0, 40, 30), rng.integers(1, 9, 30), strict=True)}
         exact = sum(1 / sum(max(a.get(t, 0) / a[s], b.get(t, 0) / b[s]) for t in a.keys() | b.keys()) for s in a.keys() & b.keys())
-        plain = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
         packed = [tuple(np.array(x, dtype) for x, dtype in zip(zip(*sorted(d.items()), strict=True), (np.uint64, np.int64), strict=True)) for d in (a, b)]
-        assert near_dedup.similarity(*packed) == pytest.approx(max(exact, plain))
+        assert near_dedup.similarity(*packed) == pytest.approx(exact)
         kept = [near_dedup.registers(np.zeros(len(p[0]), np.int64), near_dedup.mix(p[0]), p[1], 1, 4096)[0] for p in packed]
         assert (kept[0] == kept[1]).mean() == pytest.approx(exact, abs=0.05)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [100_000, 20])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_dedup, "ROWS_A_TASK", rows)
+    monkeypatch.setattr(near_dedup, "CONTRACTED", 4 * rows)
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(35)]
     root = {}
