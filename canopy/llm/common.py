@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.plans.lineage import checkpointed, ensure_checkpoint_dir  # noqa: F401
@@ -42,6 +42,30 @@ def id_hash_mod(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def labelled_passages(rows: DataFrame, docs: int, chars: int, total: int, most_labels: int) -> dict[object, list[str]]:
+    """A bounded sample of rows (id, label, text) to learn from: for each label the passages of `docs` rows, or of as many
+    fewer as keep all of them below `total` characters, chosen by a hash of the id whatever the order of the rows. A
+    passage is the text, or `chars` of it from a place that the hash chooses. More labels than most_labels are an error.
+    """
+    rows = rows.where("label is not null and text is not null")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_labels + 1).collect()}
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} different labels")
+    if not counts:
+        return {}
+    each = max(1, min(docs, total // (chars * len(counts))))
+    scale, draw = 1 << 30, F.xxhash64("id", F.lit("sample"))
+    share = F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(min(scale, 2 * each * scale // n + 1)))])
+    drawn = rows.where(F.pmod(draw, F.lit(scale)) < share[F.col("label")])
+    start = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    drawn = drawn.select("label", draw.alias("draw"), F.xxhash64("text").alias("key"), F.substr("text", start.cast("int"), F.lit(chars)).alias("text"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw", "key"))).where(F.col("rank") <= each)
+    out: dict[object, list[str]] = {}
+    for row in ranked.select("label", "rank", "text").orderBy("label", "rank").collect():  # at most `total` characters
+        out.setdefault(row["label"], []).append(row["text"])
+    return out
+
+
 def text_blocks(texts: pa.Array, pad: int, limit: int = 1 << 18, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about `limit` bytes.
 

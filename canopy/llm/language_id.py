@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching (PPM).
 
 Each language gets a variable-order context tree over bytes, up to ORDER bytes of context, grown from a
-bounded sample and then frozen. A text's code length under a language is exact: a symbol that the
+bounded sample of passages and then frozen. A text's code length under a language is exact: a symbol that the
 longest context has seen costs -log2(count / (total + distinct)); one that it has not costs the escape
 -log2(distinct / (total + distinct)) and is coded by the next shorter context, down to a uniform code
 over 256 bytes (escape method C, without exclusion). The shortest code names the language.
@@ -12,7 +12,8 @@ byte is one probe in nearly all cases.
 
 Cases: a null, empty or letterless text is `und` with score 0; with nothing to learn from, every text
 is; ties go to the language first in alphabetical order; rows are scored one by one, so repeated rows
-and repeated ids just repeat the answer; columns other than those named are not looked at.
+and repeated ids just repeat the answer; texts of any length are scored whole; an empty table gives no rows; other
+columns pass through, and of those named like a result identify() replaces them, reject_unknown() keeps them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, low_bits, per_context, small_batches, text_blocks
+from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, labelled_passages, low_bits, per_context, small_batches, text_blocks, unused
 
 ORDER = 4
-#: About so many documents of each language, chosen by a hash of the id, teach its tree.
+#: Passages of so many documents of each language, chosen by a hash of the id, teach its tree.
 SAMPLE_DOCS = 500
-#: Documents above this size are not sampled (they are scored whole like all others).
-SAMPLE_DOC_BYTES = 1 << 16
-#: So many languages, the most frequent ones, are learned at most.
-MAX_LANGUAGES = 200
+#: Characters of a passage (texts are scored whole), and of all passages together.
+PASSAGE, SAMPLE_CHARS = 1 << 14, 1 << 24
+#: More languages are an error: every cost is held for each of them.
+MOST_LANGUAGES = 32
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -68,21 +69,21 @@ class ContextTrees:
             costs = escapes[np.searchsorted(contexts, pairs >> np.uint64(8))] + self._costs(low_bits(pairs, 8 * k), k - 1) if len(pairs) else np.zeros((0, width))
             for i, ((own, counts), (at, _, totals, distinct)) in enumerate(zip(counted, grouped, strict=True)):
                 costs[np.searchsorted(pairs, own), i] = np.log2((totals + distinct)[at] / counts)
-            self.tables.append((HashTable(pairs), costs.astype(np.float32), HashTable(contexts), escapes.astype(np.float32)))
+            self.tables.append((HashTable(pairs), costs, HashTable(contexts), escapes))
 
     def _costs(self, keys: np.ndarray, k: int) -> np.ndarray:
         """Bits under each language of the low byte of each key after the k bytes above it."""
         if k < 0:
-            return np.full((len(keys), len(self.languages)), 8.0, np.float32)
+            return np.full((len(keys), len(self.languages)), 8.0)
         pairs, costs, contexts, escapes = self.tables[k]
         rows = pairs.lookup(keys)
         missed = np.flatnonzero(rows < 0)
         if not len(missed):
             return costs[rows]
-        out = costs[np.maximum(rows, 0)] if len(costs) else np.zeros((len(keys), len(self.languages)), np.float32)
+        out = costs[np.maximum(rows, 0)] if len(costs) else np.zeros((len(keys), len(self.languages)))
         left = keys[missed]
         at = contexts.lookup(left >> np.uint64(8))
-        step = np.where((at >= 0)[:, None], escapes[np.maximum(at, 0)], np.float32(0)) if len(escapes) else np.float32(0)
+        step = np.where((at >= 0)[:, None], escapes[np.maximum(at, 0)], 0.0) if len(escapes) else 0.0
         out[missed] = step + self._costs(low_bits(left, 8 * k), k - 1)
         return out
 
@@ -109,28 +110,19 @@ class ContextTrees:
 
 @dataclass(frozen=True)
 class Training:
-    """What may be learned from: rows where `keep` holds, at most about `docs` of each language."""
+    """What may be learned from: rows where `keep` holds; the bounds of the sample."""
 
     keep: Column
     docs: int = SAMPLE_DOCS
-    doc_bytes: int = SAMPLE_DOC_BYTES
+    passage: int = PASSAGE
+    chars: int = SAMPLE_CHARS
+    languages: int = MOST_LANGUAGES
 
 
 def fit(docs: DataFrame, training: Training, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> ContextTrees:
     """Grow the trees from a sample whose size does not depend on the corpus."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), training.keep.alias("keep"))
-    rows = rows.where("keep and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return ContextTrees({})
-    scale = 1 << 30
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(scale, training.docs * scale // n + 1)))])
-    drawn = rows.where(F.col("lang").isin(list(counts)) & (F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(scale)) < share[F.col("lang")]))
-    drawn = drawn.where(F.octet_length("text") <= training.doc_bytes).select("lang", "text").limit(2 * training.docs * len(counts))
-    samples: dict[str, list[str]] = {}
-    for row in drawn.toLocalIterator(prefetchPartitions=True):
-        samples.setdefault(row["lang"], []).append(row["text"])
-    return ContextTrees({lang: sorted(texts)[: 2 * training.docs] for lang, texts in samples.items()})
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("label"), training.keep.alias("keep"))
+    return ContextTrees(labelled_passages(rows.where("keep"), training.docs, training.passage, training.chars, training.languages))
 
 
 def identify(docs: DataFrame, trees: ContextTrees, text_column: str = "text") -> DataFrame:
@@ -173,8 +165,9 @@ def held_out(id_column: Column) -> Column:
 
 def reject_unknown(docs: DataFrame, trees: ContextTrees, lang_column: str = "lang") -> DataFrame:
     """The documents that are not `und`, in the same columns; where the language is null, the found one is filled in."""
-    found = "__found"
-    scored = identify(docs.withColumnsRenamed({"score": "__score", "lang_pred": "__lang_pred", "bits_per_byte": "__bits"}), trees)
-    scored = scored.withColumnRenamed("lang_pred", found).where(F.col(found) != UND).drop("score", "bits_per_byte")
-    scored = scored.withColumnsRenamed({"__score": "score", "__lang_pred": "lang_pred", "__bits": "bits_per_byte"})
-    return scored.select(*[F.coalesce(c, F.col(found)).alias(c) if c == lang_column else F.col(c) for c in docs.columns])
+    names = {c: unused(docs, f"own_{c}") for c in ("score", "lang_pred", "bits_per_byte")}
+    back = {own: c for c, own in names.items() if c in docs.columns}
+    scored = identify(docs.withColumnsRenamed(names), trees).where(F.col("lang_pred") != UND)
+    lang = names.get(lang_column, lang_column)
+    kept = [names.get(c, c) for c in docs.columns]
+    return scored.select(*[F.coalesce(c, F.col("lang_pred")).alias(c) if c == lang else F.col(c) for c in kept]).withColumnsRenamed(back)
