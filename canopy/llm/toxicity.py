@@ -1,18 +1,23 @@
-"""Toxicity by class-conditional Kneser-Ney models over the bytes of words.
-
-Two models, one of toxic and one of ordinary documents, spell out each word byte by byte. At the
-longest context (ORDER bytes, never beyond the word's start) each class has its own discounted counts;
-what the discount frees goes to one Kneser-Ney distribution over shorter contexts whose continuation
-counts both classes share. So an expression that neither class has seen cancels out of the ratio, and a
-rare inflection of a known expression is judged by the part that is known.
-
-A word's log-likelihood ratio, divided by its length, is compared within a document: the document's
-mean and its largest ratios feed a logistic curve that is fitted on documents which the counts were not
-taken from (two folds), and gives a score between 0 and 1.
-
-Cases: a null or wordless text scores as the curve does with all ratios 0; with no labelled rows of one
-class every score is 0; rows are scored one by one, so repeated rows repeat the answer; of several
-labels of one document the highest counts.
+"""Toxicity by class-conditional Kneser-Ney models of words.
+
+Two models, one of toxic and one of ordinary documents, give every word a likelihood after the word before it.
+Each interpolates its own discounted bigrams with its own discounted continuation counts (the number of
+different words that a word was seen after), and these with a base that both share: the continuation
+counts of both classes together. The discounts are large (several counts, fitted), and as large a share of each
+class's counts in both, so that the base gets the same weight in both. So a word that neither class has often cancels out
+of the comparison, instead of telling which class happened to have it in its sample, and a rare expression counts
+only by what the two classes differ in.
+
+What is compared are the two log-likelihoods of the whole text, divided by its words, and those of each passage of
+PASSAGE words in it, divided by these: a text of 20,000 words with one toxic passage is as toxic as this passage, which
+vanishes in the mean. A logistic curve over the text's and the largest passage's difference, fitted on documents whose counts
+were not taken (two folds; near copies fall into the same one), gives a score between 0 and 1. The discounts with
+the least loss on these documents are taken.
+
+Cases: a null or wordless text scores as the curve does at no difference; with no labelled rows of one class every
+score is 0; rows are scored one by one, so repeated rows repeat the answer; of several labels of one document the
+highest counts; texts of any length are scored whole; an empty table gives no rows; other columns pass through, and of
+those named score or predicted the new ones replace the old.
 """
 
 from __future__ import annotations
@@ -24,122 +29,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import HashTable, count_pairs, gram_keys, id_hash_mod, low_bits, per_context, small_batches, text_blocks
+from canopy.llm.common import HashTable, id_hash_mod, labelled_passages, small_batches, text_blocks
+from canopy.llm.near_dedup import mix, word_hashes
 
-ORDER = 5
-DISCOUNT = 0.75
-#: About so many labelled documents of each class, chosen by a hash of the id, are learned from.
+#: Passages of so many labelled documents of each class, chosen by a hash of the id, are learned from.
 SAMPLE_DOCS = 3000
-SAMPLE_DOC_BYTES = 1 << 15
-#: The largest word ratios of a document that the curve looks at.
-TOP = 3
-_END = 1
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-
-
-def word_grams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each byte of each word and of its end mark, start of each word in the keys, its row)."""
-    inside = _WORD[data]
-    before = np.r_[False, inside[:-1]]
-    at_start = np.zeros(len(data) + 1, bool)
-    at_start[offsets[:-1]] = True
-    before &= ~at_start[:-1]
-    begins = np.flatnonzero(inside & ~before)
-    if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    stops = np.flatnonzero(inside & ~(np.r_[inside[1:], False] & ~at_start[1:])) + 1
-    sizes = stops - begins + 1
-    starts = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(begins)), sizes)
-    place = np.arange(len(word)) - starts[word]
-    spelled = data[np.minimum(begins[word] + place, len(data) - 1)]
-    spelled[starts + sizes - 1] = _END
-    keys = gram_keys(spelled, order)
-    room = np.uint64(8) * (np.minimum(place, order) + 1).astype(np.uint64)
-    keys &= (np.uint64(1) << room) - np.uint64(1)
-    return keys, starts, np.searchsorted(offsets, begins, side="right") - 1
+#: Characters of such a passage (texts are scored whole), and of all together.
+SAMPLE_PASSAGE, SAMPLE_CHARS = 1 << 14, 1 << 26
+#: Words that are compared together.
+PASSAGE = 4
+#: What is tried: discounts of the words (in the class with fewer counts) and how much larger those of bigrams are; an
+#: infinite one leaves words alone. The discount of the shared base.
+DISCOUNTS, SHARED_DISCOUNT = ((1.0, np.inf), (2.0, np.inf), (4.0, np.inf), (8.0, np.inf), (4.0, 8.0)), 0.75
+_BEGIN = np.uint64(0x5BD1E9955BD1E995)
+_LEFT = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words, the words before them, words before each row) of blocks of texts."""
+    for first, offsets, data in text_blocks(texts, 0, lower=True):
+        words, bounds = word_hashes(offsets, data)
+        before = np.r_[_BEGIN, words[:-1]] if len(words) else words
+        before[bounds[:-1][np.diff(bounds) > 0]] = _BEGIN
+        yield first, words, before, bounds
 
 
-class KneserNey:
-    """Log ratios of the two classes for every (context, byte) that either has seen."""
-
-    def __init__(self, toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER):
-        top = 8 * (order + 1)
-        counted = [count_pairs(low_bits(g, top)) for g in (toxic, ordinary)]
-        pairs = np.unique(np.concatenate([c[0] for c in counted]))
-        shared = self._shared(pairs, order)
-        contexts = np.unique(pairs >> np.uint64(8))
-        own = np.searchsorted(contexts, pairs >> np.uint64(8))
-        logs, frees = [], []
-        for keys, counts in counted:
-            _, seen, totals, distinct = per_context(keys, counts)
-            total, free = np.zeros(len(contexts)), np.ones(len(contexts))
-            at = np.searchsorted(contexts, seen)
-            total[at], free[at] = totals, DISCOUNT * distinct / totals
-            count = np.zeros(len(pairs))
-            count[np.searchsorted(pairs, keys)] = counts
-            logs.append(np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total[own], 1) + free[own] * shared))
-            frees.append(np.log(free))
-        self.order = order
-        self.pairs, self.ratios = HashTable(pairs, 0.5), (logs[0] - logs[1]).astype(np.float32)
-        self.contexts, self.free = HashTable(contexts, 0.5), (frees[0] - frees[1]).astype(np.float32)
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * _LEFT + words)
 
-    @staticmethod
-    def _shared(pairs: np.ndarray, order: int) -> np.ndarray:
-        """The Kneser-Ney probability, from continuation counts of both classes together, of each
-        pair's byte after its context without the farthest byte."""
-        chance = np.full(1, 1 / 256)
-        level_pairs = np.zeros(0, np.uint64)
-        grams = [np.unique(pairs)]
-        for k in range(order - 1, -1, -1):
-            grams.append(np.unique(low_bits(grams[-1], 8 * (k + 1))))
-        grams.reverse()  # grams[k]: distinct pairs of order k
-        for k in range(order):
-            keys, counts = np.unique(low_bits(grams[k + 1], 8 * (k + 1)), return_counts=True)
-            at, _, totals, distinct = per_context(keys, counts)
-            lower = chance[np.searchsorted(level_pairs, low_bits(keys, 8 * k))] if k else np.full(len(keys), 1 / 256)
-            chance = np.maximum(counts - DISCOUNT, 0) / totals[at] + DISCOUNT * (distinct / totals)[at] * lower
-            level_pairs = keys
-        return chance[np.searchsorted(level_pairs, low_bits(pairs, 8 * order))]
-
-    def word_ratios(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each word, the log ratio of toxic to ordinary."""
-        rows = self.pairs.lookup(keys)
-        out = self.ratios[np.maximum(rows, 0)]
-        missed = np.flatnonzero(rows < 0)
-        if len(missed):
-            at = self.contexts.lookup(keys[missed] >> np.uint64(8))
-            out[missed] = np.where(at >= 0, self.free[np.maximum(at, 0)], 0)
-        return np.add.reduceat(out, starts, dtype=np.float64) if len(starts) else np.zeros(0)
-
-
-def features(model: KneserNey, texts: pa.Array) -> np.ndarray:
-    """Of each whole text: the mean over its words of the length-normalised ratio, and its TOP largest."""
-    out = np.zeros((len(texts), 1 + TOP))
-    for first, offsets, data in text_blocks(texts, 0, lower=True):
-        keys, starts, rows = word_grams(offsets, data, model.order)
-        if not len(starts):
-            continue
-        sizes = np.diff(np.r_[starts, len(keys)])
-        ratios = model.word_ratios(keys, starts) / np.sqrt(sizes)
-        firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        own = first + rows[firsts]
-        out[own, 0] = np.add.reduceat(ratios, firsts) / np.diff(np.r_[firsts, len(rows)])
-        for t in range(1, TOP + 1):
-            highest = np.maximum.reduceat(ratios, firsts)
-            out[own, t] = np.maximum(highest, 0)
-            at = np.flatnonzero(ratios == np.repeat(highest, np.diff(np.r_[firsts, len(rows)])))
-            _, one = np.unique(rows[at], return_index=True)
-            ratios[at[one]] = -np.inf
-            ratios[firsts] = np.where(np.isneginf(ratios[firsts]), -1e9, ratios[firsts])
+
+class Bigrams:
+    """Different bigrams of some texts, with how often each occurs."""
+
+    def __init__(self, before: np.ndarray, words: np.ndarray):
+        self.keys, at, self.counts = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+        self.before, self.words = before[at], words[at]
+
+
+def freed(counts: np.ndarray, discount: float) -> float:
+    """The share of all counts that a discount takes away."""
+    return float(np.minimum(counts, discount).sum() / max(1, counts.sum()))
+
+
+def discount_for(counts: np.ndarray, share: float) -> float:
+    """The discount that frees this share."""
+    low, high = 0.0, float(counts.max(initial=1))
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if freed(counts, middle) < share else (low, middle)
+    return high
+
+
+def _totals(keys: np.ndarray, among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of values for each key of the sorted `among`."""
+    return np.bincount(np.searchsorted(among, keys), values, len(among))
+
+
+class KneserNey:
+    """Log ratios, toxic to ordinary, of every word after every word."""
+
+    def __init__(self, toxic: Bigrams, ordinary: Bigrams, discount: float | None = None, weight: float = 0.5, larger: float = 1.0):
+        """The base gets `weight`, or what a discount of the class with fewer counts frees for it; discounts of bigrams are
+        `larger` times those of words."""
+        both = (toxic, ordinary)
+        vocabulary = np.unique(np.concatenate([c.words for c in both]))
+        shared = _totals(np.concatenate([toxic.words, ordinary.words[~np.isin(ordinary.keys, toxic.keys)]]), vocabulary, None)
+        # the base: one more word stands for all that were never seen
+        spared = SHARED_DISCOUNT * len(vocabulary) / shared.sum()
+        base = (shared - SHARED_DISCOUNT) / shared.sum() + spared / (len(vocabulary) + 1)
+        follows = [_totals(c.words, vocabulary, None) for c in both]  # continuation counts
+        few = min(follows, key=lambda n: n.sum())
+        self.weight = weight = weight if discount is None else freed(few[few > 0], discount)
+        self.discounts = [discount_for(n[n > 0], weight) for n in follows]
+        alone = [np.maximum(n - d, 0) / n.sum() + weight * base for n, d in zip(follows, self.discounts, strict=True)]
+        single = np.log(alone[0] / alone[1])
+        # bigrams: what discounts leave of them, with the share that goes to the words alone raised to that of the other
+        # class; a context that has nothing left in one class tells nothing
+        contexts = np.unique(np.concatenate([c.before for c in both]))
+        left = [np.maximum(c.counts - d * larger, 0) for c, d in zip(both, self.discounts, strict=True)]
+        seen, rest = ([_totals(c.before, contexts, n) for c, n in zip(both, counts, strict=True)] for counts in ([c.counts for c in both], left))
+        free = np.max([1 - r / np.maximum(n, 1) for r, n in zip(rest, seen, strict=True)], axis=0)
+        kept = [(n > 0) & (free[np.searchsorted(contexts, c.before)] < 1) for c, n in zip(both, left, strict=True)]
+        keys, at = np.unique(np.concatenate([c.keys[k] for c, k in zip(both, kept, strict=True)]), return_index=True)
+        before, words = (np.concatenate([getattr(c, name)[k] for c, k in zip(both, kept, strict=True)])[at] for name in ("before", "words"))
+        place, word = np.searchsorted(contexts, before), np.searchsorted(vocabulary, words)
+        logs = []
+        for c, n, r, p in zip(both, left, rest, alone, strict=True):
+            own = np.minimum(np.searchsorted(c.keys, keys), len(c.keys) - 1)
+            count = np.where(c.keys[own] == keys, n[own], 0)
+            logs.append(np.log((1 - free[place]) * count / np.maximum(r[place], 1e-9) + free[place] * p[word]))
+        self.pairs, self.pair_ratio = HashTable(keys, 0.5), logs[0] - logs[1]
+        telling = np.abs(single) > 1e-12
+        self.words, self.word_ratio = HashTable(vocabulary[telling], 0.5), single[telling]
+        # a word after a context with other bigrams is left to the words alone, with the same share in both classes
+
+    def ratios(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """log P(word | before, toxic) - log P(word | before, ordinary)."""
+        out = np.zeros(len(words))
+        for table, values, keys in ((self.words, self.word_ratio, words), (self.pairs, self.pair_ratio, pair_keys(before, words))):
+            at = table.lookup(keys)
+            hit = at >= 0
+            out[hit] = values[at[hit]]
+        return out
+
+
+def differences(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each text: the difference of its log-likelihoods over its words, and the largest of a passage over PASSAGE."""
+    out = np.zeros((len(bounds) - 1, 2))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        sums = np.r_[0, np.cumsum(ratios)]
+        starts, sizes = bounds[some], np.diff(bounds)[some]
+        begins = np.maximum(np.arange(len(ratios)) + 1 - PASSAGE, np.repeat(starts, sizes))
+        out[some, 0] = (sums[starts + sizes] - sums[starts]) / sizes
+        out[some, 1] = np.maximum.reduceat(sums[1:] - sums[begins], starts) / PASSAGE
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic curve, both classes weighted alike."""
+def logistic(x: np.ndarray, y: np.ndarray, toxic: float, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights (intercept first) of a ridge logistic curve for classes of which `toxic` is the first one's share, and
+    its mean loss."""
     x = np.c_[np.ones(len(x)), x]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    weight = np.where(y > 0, toxic / max(1, (y > 0).sum()), (1 - toxic) / max(1, (y <= 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -149,36 +160,56 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    z = np.clip(x @ w, -30, 30)
+    return w, float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
 
 
 class Classifier:
-    def __init__(self, toxic: list[str], ordinary: list[str], order: int = ORDER):
+    def __init__(self, toxic: list[str], ordinary: list[str], share: float | None = None, discounts: tuple[tuple[float, float], ...] = DISCOUNTS):
+        """share: of toxic documents among all, if not as in the lists."""
         self.model: KneserNey | None = None
         if not toxic or not ordinary:
             return
-        grams = {c: [self._grams(texts[fold::2], order) for fold in (0, 1)] for c, texts in ((1, toxic), (0, ordinary))}
-        x, y = [], []
-        for fold in (0, 1):
-            part = KneserNey(grams[1][fold], grams[0][fold], order)
-            for c, texts in ((1, toxic), (0, ordinary)):
-                if other := texts[1 - fold :: 2]:
-                    x.append(features(part, pa.array(other, pa.large_string())))
-                    y.append(np.full(len(other), c))
-        self.model = KneserNey(np.concatenate(grams[1]), np.concatenate(grams[0]), order)
-        x = np.concatenate(x) if x else np.zeros((0, 1 + TOP))
-        self.scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(1 + TOP)
-        self.weights = logistic(x / self.scale, np.concatenate(y)) if len(x) else np.zeros(2 + TOP)
+        # words of each text, and its fold by its least bigram, which near copies share
+        known = [[(before[low:high], words[low:high]) for _, words, before, bounds in tokens(pa.array(texts, pa.large_string())) for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] for texts in (toxic, ordinary)]
+        fold = [[int(pair_keys(b, w).min() >> np.uint64(7)) & 1 if len(w) else 0 for b, w in texts] for texts in known]
+        share = len(toxic) / (len(toxic) + len(ordinary)) if share is None else share
+        best = None
+        split = [[[t for t, f in zip(texts, folds, strict=True) if f == part] for texts, folds in zip(known, fold, strict=True)] for part in (0, 1)]
+        counted = [[self._bigrams(texts) for texts in part] for part in split]
+        usable = [part for part in (0, 1) if all(len(c.keys) for c in counted[part])]
+        for discount, larger in discounts:
+            x, y, weight = [np.zeros((0, 2))], [np.zeros(0)], []
+            for part in usable:
+                model = KneserNey(*counted[part], discount, larger=larger)
+                weight.append(model.weight)
+                for c, others in enumerate(split[1 - part]):
+                    if others:
+                        bounds = np.r_[0, np.cumsum([len(w) for _, w in others])]
+                        x.append(differences(model.ratios(*(np.concatenate([t[k] for t in others]) for k in (0, 1))), bounds))
+                        y.append(np.full(len(others), 1 - c))
+            x, y = np.concatenate(x), np.concatenate(y)
+            scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(2)
+            curve, loss = logistic(x / scale, y, share) if len(x) else (np.array([-1.0, 1.0, 1.0]), 0.0)
+            if best is None or loss < best[0]:
+                best = loss, float(np.mean(weight or [0.5])), larger, scale, curve
+        _, weight, larger, self.scale, self.curve = best  # the same weight leaves differences as they were, whatever the counts
+        counted = [self._bigrams(texts) for texts in known]
+        if all(len(c.keys) for c in counted):
+            self.model = KneserNey(*counted, weight=weight, larger=larger)
 
     @staticmethod
-    def _grams(texts: list[str], order: int) -> np.ndarray:
-        found = [word_grams(o, d, order)[0] for _, o, d in text_blocks(pa.array(texts, pa.large_string()), 0, lower=True)]
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    def _bigrams(texts: list[tuple[np.ndarray, np.ndarray]]) -> Bigrams:
+        none = np.zeros(0, np.uint64)
+        return Bigrams(*(np.concatenate([none, *[t[k] for t in texts]]) for k in (0, 1)))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        z = np.c_[np.ones(len(texts)), features(self.model, texts) / self.scale] @ self.weights
+        x = np.zeros((len(texts), 2))
+        for first, words, before, bounds in tokens(texts):
+            x[first : first + len(bounds) - 1] = differences(self.model.ratios(before, words), bounds)
+        z = np.c_[np.ones(len(x)), x / self.scale] @ self.curve
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
@@ -186,21 +217,19 @@ def held_out(id_column) -> "F.Column":
     return id_hash_mod(id_column, 5) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_doc_bytes: int = SAMPLE_DOC_BYTES) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, passage: int = SAMPLE_PASSAGE, chars: int = SAMPLE_CHARS) -> Classifier:
     """Learn from a sample of labelled rows outside the held-out fold; its size does not depend on the corpus."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    counts = {int(r["c"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("c")).count().withColumnRenamed("count", "n").collect()}
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).where(~held_out(F.col("doc_id")))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Classifier([], [])
+    # labels are drawn before their texts are looked up, twice as many as are used
     scale = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(scale))
-    limit = F.when(F.col("toxic") > 0, F.lit(min(scale, sample_docs * scale // counts[1] + 1))).otherwise(F.lit(min(scale, sample_docs * scale // counts[0] + 1)))
-    drawn = known.where(draw < limit).limit(4 * sample_docs)  # about 2 x sample_docs rows of two numbers
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_doc_bytes).join(F.broadcast(drawn), "doc_id").select("toxic", "text").limit(8 * sample_docs)
-    found: dict[bool, list[str]] = {True: [], False: []}
-    for row in texts.toLocalIterator(prefetchPartitions=True):
-        found[row["toxic"] > 0].append(row["text"])
-    return Classifier(sorted(found[True]), sorted(found[False]))
+    limit = F.when(F.col("label") > 0, F.lit(min(scale, 2 * sample_docs * scale // counts[1] + 1))).otherwise(F.lit(min(scale, 2 * sample_docs * scale // counts[0] + 1)))
+    drawn = known.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(scale)) < limit)  # about 4 x sample_docs rows of two numbers
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(drawn.withColumnRenamed("doc_id", "id")), "id")
+    found = labelled_passages(rows, sample_docs, passage, chars, 2)
+    return Classifier(found.get(1, []), found.get(0, []), counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, classifier: Classifier, text_column: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopy.llm.common import labelled_passages
 from canopy.llm import bpe, chat, decontaminate, language_id, near_dedup, neighbours, pii, queries, sharding, token_histogram, toxicity
 from tests.conftest import rows_of
 
@@ -191,7 +192,7 @@ def test_code_lengths_are_those_of_the_definition():
 
     texts = ["abba", "cab", "", "zz", "abab abba" * 3]
     got, sizes = trees.code_lengths(pa.array(texts), piece=5)
-    assert np.allclose(got, [[bits(t, samples["a"]), bits(t, samples["b"])] for t in texts], rtol=1e-5) and sizes.tolist() == [len(t) for t in texts]
+    assert np.allclose(got, [[bits(t, samples["a"]), bits(t, samples["b"])] for t in texts], rtol=1e-12) and sizes.tolist() == [len(t) for t in texts]
 
 
 def test_language_cases(spark):
@@ -205,6 +206,16 @@ def test_language_cases(spark):
     assert language_id.identify(docs.limit(0), trees).count() == 0
 
 
+def test_languages_are_learned_from_long_texts_and_too_many_are_an_error(spark):
+    docs = docs_of(spark, [(i, w * 20000) for i, w in enumerate(["der die das ", "le la les ", "der die das ", "le la les "])]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("fr"))
+    rule = language_id.Training(keep=F.lit(True), passage=1000, chars=3000)
+    assert [r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs, rule)).orderBy("doc_id").collect()] == ["de", "fr", "de", "fr"]
+    with pytest.raises(ValueError, match="more than 1"):
+        language_id.fit(docs, language_id.Training(keep=F.lit(True), languages=1))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text")
+    assert labelled_passages(rows, 1, 100, 10**6, 9) == labelled_passages(rows.repartition(3).orderBy(F.desc("id")), 1, 100, 10**6, 9)
+
+
 # -- 5 near duplicates -------------------------------------------------------------------------------
 def naive_classes(rows):
     bags = {k: near_dedup.bag(t) if t else None for k, (_, t) in enumerate(rows)}
@@ -533,13 +544,64 @@ def test_toxicity_cases(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
 
 
-def test_top_ratios_are_the_largest():
-    model = toxicity.Classifier([t for _, t, y in synthetic(random.Random(8), 80) if y], [t for _, t, y in synthetic(random.Random(8), 80) if not y]).model
-    texts = ["vrkae stu vrkio ab", "ab", "", "vrkae vrkae vrkae vrkae", "a b c d e"]
-    got = toxicity.features(model, pa.array(texts))
-    for row, text in zip(got, texts, strict=True):
-        each = sorted((float(toxicity.features(model, pa.array([w]))[0, 1]) for w in text.split()), reverse=True)
-        assert np.allclose(row[1:], (each + [0] * toxicity.TOP)[: toxicity.TOP])
+@pytest.mark.parametrize("larger", [1.0, 2.0, np.inf])
+def test_kneser_ney_is_that_of_the_definition(larger):
+    """Both models by plain dictionaries; each is a distribution, and their log ratio is what the operator has."""
+    rng = random.Random(15)
+    draw = lambda weights, n: [" ".join(rng.choices("abcdef", weights, k=rng.randrange(1, 9))) for _ in range(n)]
+    texts = [draw([9, 4, 3, 1, 0, 0], 40), draw([3, 9, 1, 1, 1, 0], 70)]
+    discount = 1.5
+
+    def bigrams(lines):
+        out: dict = {}
+        for line in lines:
+            for v, w in zip(["", *line.split()], line.split(), strict=False):
+                out[v, w] = out.get((v, w), 0) + 1
+        return out
+
+    seen = [bigrams(t) for t in texts]
+    follows = [{w: sum(x == w for _, x in s) for w in "abcdef"} for s in seen]
+    shared = {w: sum(x == w for _, x in {**seen[0], **seen[1]}) for w in "abcde"}
+    total = sum(shared.values())
+    base = {w: (n - 0.75) / total + 0.75 * len(shared) / total / (len(shared) + 1) for w, n in shared.items()} | {"?": 0.75 * len(shared) / total / (len(shared) + 1)}
+    sizes = [sum(f.values()) for f in follows]
+    few = min((0, 1), key=lambda c: sizes[c])
+    weight = sum(min(n, discount) for n in follows[few].values()) / sizes[few]
+    vocabulary = [*"abcde", "?"]
+    got = toxicity.KneserNey(*(toxicity.Classifier._bigrams([(b, w) for _, w, b, _ in toxicity.tokens(pa.array(t, pa.large_string()))]) for t in texts), discount, larger=larger)
+    models = []
+    for c in (0, 1):
+        d = got.discounts[c]
+        assert sum(min(n, d) for n in follows[c].values()) / sizes[c] == pytest.approx(weight)
+        alone = {w: max(follows[c].get(w, 0) - d, 0) / sizes[c] + weight * base[w] for w in vocabulary}
+        assert sum(alone.values()) == pytest.approx(1)
+        models.append((d, alone))
+    for v in ["", *"abcdef"]:
+        left = [{w: max(s.get((v, w), 0) - d * larger, 0) for w in vocabulary} for s, (d, _) in zip(seen, models, strict=True)]
+        own = [sum(n for (x, _), n in s.items() if x == v) for s in seen]
+        free = max(1 - sum(x.values()) / n if n else 1 for x, n in zip(left, own, strict=True))
+        after = [{w: ((1 - free) * x[w] / sum(x.values()) if free < 1 else 0) + free * m[1][w] for w in vocabulary} for x, m in zip(left, models, strict=True)]
+        assert all(sum(p.values()) == pytest.approx(1) for p in after)
+        for w in vocabulary:
+            text = pa.array([f"{v} {w.replace('?', 'never')}"], pa.large_string())
+            _, words, before, _ = next(toxicity.tokens(text))
+            assert got.ratios(before, words)[-1] == pytest.approx(np.log(after[0][w] / after[1][w]), abs=1e-9)
+
+
+def test_differences_are_those_of_the_text_and_its_largest_passage():
+    ratios, bounds = np.array([1.0, -2, 3, 4, 0, -1, 5, -3]), np.array([0, 0, 6, 7, 8])
+    want = [[0, 0], [5 / 6, max(1, -1, 2, 6, 5, 6) / 4], [5, 5 / 4], [-3, -3 / 4]]
+    assert np.allclose(toxicity.differences(ratios, bounds), want)
+
+
+def test_one_toxic_passage_in_a_long_text(spark):
+    rows = synthetic(random.Random(16), 1200)
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    plain = " ".join(t for _, t, y in rows if not y)
+    toxic = next(t for _, t, y in rows if y)
+    got = toxicity.score(docs_of(spark, [(1, plain), (2, f"{plain} {toxic} {plain}")]), toxicity.fit(docs, labels)).orderBy("doc_id").collect()
+    assert [r["predicted"] for r in got] == [0, 1]
 
 
 # -- 10 BPE ------------------------------------------------------------------------------------------
