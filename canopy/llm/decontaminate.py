@@ -62,6 +62,10 @@ def _hashed(rows: DataFrame, lengths: list[int]) -> DataFrame:
     return _composed(rows, F.transform("w", lambda x: F.xxhash64(x)), lengths, lambda a, b: F.xxhash64(a, b), "hash")
 
 
+def _spelled(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    return _composed(rows, F.col("w"), lengths, lambda a, b: F.concat(a, F.lit(" "), b), "run")
+
+
 def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """win_hash, win_length, win_text and item_ids of each distinct window."""
     items = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"), words(F.col(text_column)).alias("w"))
@@ -69,7 +73,7 @@ def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_col
     lengths = [r["length"] for r in items.select("length").distinct().collect() if r["length"]]  # at most `window` rows
     runs = [items.where(F.lit(False)).select("item", "length", F.lit(0).cast("long").alias("win_hash"), F.lit("").alias("run"))]
     for n in lengths:
-        both = _composed(_hashed(items.where(F.col("length") == n), [n]), F.col("w"), [n], lambda a, b: F.concat(a, F.lit(" "), b), "run")
+        both = _spelled(_hashed(items.where(F.col("length") == n), [n]), [n])
         each = both.select("item", "length", F.arrays_zip(F.col(f"hash{n}").alias("win_hash"), F.col(f"run{n}").alias("run")).alias("runs"))
         runs.append(each.select("item", "length", F.explode_outer("runs").alias("r")).select("item", "length", "r.win_hash", "r.run"))
     grouped = reduce(DataFrame.unionByName, runs).groupBy("length", "run").agg(F.first("win_hash").alias("win_hash"), F.collect_set("item").alias("item_ids"))
@@ -120,8 +124,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: s
     matched = texts.join(keys, texts["doc_id"].eqNullSafe(keys["want_id"]) & (texts["doc_key"] == keys["want_key"]), "left_semi").dropDuplicates(["doc_id", "doc_key"])
     at = matches.withColumnsRenamed({"doc_id": "want_id", "doc_key": "want_key"})
     both = matched.join(at, matched["doc_id"].eqNullSafe(at["want_id"]) & (matched["doc_key"] == at["want_key"])).select("doc_id", "doc_key", words(F.col("text")).alias("w"), "found")
-    real = F.filter("found", lambda m: F.array_join(F.slice("w", m["start"] + 1, m["win_length"]), " ") == m["win_text"])
-    both = both.select("doc_id", "doc_key", real.alias("found")).where(F.size("found") > 0)
+    both = _spelled(both, sorted(sizes))
+
+    def there(m: Column) -> Column:
+        text: Column = F.lit(None).cast("string")
+        for n in sizes:
+            text = F.when(m["win_length"] == n, F.get(f"run{n}", m["start"])).otherwise(text)
+        return text == m["win_text"]
+
+    both = both.select("doc_id", "doc_key", F.filter("found", there).alias("found")).where(F.size("found") > 0)
     covered = F.flatten(F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["win_length"] - 1)))
     ids = F.flatten(F.transform("found", lambda m: m["item_ids"]))
     hit = both.select("doc_id", "doc_key", F.array_sort(F.array_distinct(covered)).alias("hits"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
