@@ -11,7 +11,8 @@ space, lower-cases and marks word ends. Words that are new to a worker are encod
 
 Cases: a null or empty text has no tokens and decodes to the empty text; a text in which the strings of
 special tokens occur gets their ids, as the library does; words of any length are encoded whole; rows
-are encoded one by one, so repeated rows repeat the answer; other columns pass through.
+are encoded one by one, so repeated rows repeat the answer; an empty table gives no rows; other columns pass through,
+and of those named like a result the new ones replace the old.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ class WordBpe:
         self._tokens, self._token_ids = HashTable(np.array(hashes, np.uint64)), np.array(ids, np.int64)
         self._lengths = sorted(set(lengths), reverse=True)
         self._known: dict[str, tuple[str, str]] = {}
+        self._counts: dict[str, int] = {}
         shown = [bytes(unletter[c] for c in (t.removesuffix(self.end) if i not in self.special.values() else "")) for i, t in sorted(self.names.items())]
         assert [*self.names] and sorted(self.names) == list(range(size))
         self._token_size = np.array([len(b) for b in shown], np.int64)
@@ -322,17 +324,22 @@ class WordBpe:
             return out
         return self.words(text)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """(number of tokens, ids joined by spaces, decoded text) of each whole text."""
+    @staticmethod
+    def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
         low = 0
         while low < len(texts):
             high, size = low, 0
             while high < len(texts) and (high == low or size < 1 << 20):
                 size += len(texts[high] or "")
                 high += 1
-            yield from self._encode_some(texts[low:high])
+            yield texts[low:high]
             low = high
 
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(number of tokens, ids joined by spaces, decoded text) of each whole text."""
+        for block in self._blocks(texts):
+            yield from self._encode_some(block)
+
     def _encode_some(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         collecting = gc.isenabled()
         gc.disable()  # millions of small strings and no cycles: the collector would only walk them
@@ -353,9 +360,19 @@ class WordBpe:
             if collecting:
                 gc.enable()
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        """The number of tokens of each whole text."""
-        return [n for n, _, _ in self.encode(texts)]
+    def count(self, texts: list[str | None]) -> Iterator[int]:
+        """The number of tokens of each whole text, by those of its words."""
+        for block in self._blocks(texts):
+            cut = [self.pieces(t) if t else [] for t in block]
+            if len(self._counts) > CACHE_WORDS:
+                self._counts = {}
+            known, long = self._counts, {}
+            new = [w for w in set().union(*cut) if w not in known]
+            plain = [w for w in new if w[0] != "\0" or w[1:] not in self.special]
+            for word, ids in zip(plain, self.encode_words(plain), strict=True):
+                (known if len(word) <= CACHE_WORD_CHARS else long)[word] = len(ids)
+            known = known | long | {w: 1 for w in set(new).difference(plain)} if long or len(plain) < len(new) else known
+            yield from (sum(map(known.__getitem__, words)) for words in cut)
 
 
 @lru_cache(maxsize=2)
@@ -415,7 +432,7 @@ def digests(docs: DataFrame, vocabulary: str, text_column: str = "text") -> Data
 
 def lengths(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
     """All columns of docs, with n_tokens."""
-    return _extend(docs, [("n_tokens", T.LongType())], lambda texts: [pa.array(encoder(vocabulary).count(texts), pa.int64())], text_column)
+    return _extend(docs, [("n_tokens", T.LongType())], lambda texts: [pa.array(list(encoder(vocabulary).count(texts)), pa.int64())], text_column)
 
 
 def decode(ids: list[int], vocabulary: str) -> str:

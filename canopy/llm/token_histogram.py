@@ -9,7 +9,8 @@ longer than L). Quantiles are the first length whose cumulative count reaches th
 The suffix sums are taken in blocks of BLOCK lengths: within blocks in parallel, and over the block
 totals (longest length / BLOCK rows) once.
 
-Cases: a null or empty text has length 0; an empty table gives no rows.
+Cases: a null or empty text has length 0; repeated rows count as often as they occur; texts of any length are encoded
+whole; an empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,5 +66,8 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
-    """One row: the tokens that remain of the whole corpus when documents are cut to any limit."""
-    return sums.agg(F.coalesce(F.sum(F.least(F.col("length"), F.lit(limit)) * F.col("n_docs")), F.lit(0)).alias("truncated_total"))
+    """One row: the tokens that remain of the whole corpus when documents are cut to any limit, from the suffix sums of
+    the least longer length: all tokens without those of longer documents, and `limit` for each of these."""
+    longer = F.when(F.col("length") > limit, F.struct("tokens_at_least", "docs_at_least"))
+    found = sums.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("all"), F.min_by(longer, F.when(F.col("length") > limit, F.col("length"))).alias("x"))
+    return found.select((F.col("all") + F.coalesce(F.col("x.docs_at_least") * F.lit(limit) - F.col("x.tokens_at_least"), F.lit(0))).alias("truncated_total"))
