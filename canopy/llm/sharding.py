@@ -1,14 +1,14 @@
 """Reproducible shuffling into shards by a Feistel permutation of global row numbers, DataFrame functions only.
 
 Rows get global numbers 0 to N-1 in an order that depends on their content alone: equal rows are first
-counted together, then numbered by (hash bucket, columns). A keyed Feistel network over the grid a x b,
+counted together, then numbered by (hash, columns), in buckets of the hash that many tasks share. A keyed Feistel network over the grid a x b,
 a = ceil(sqrt N) and b = ceil(N / a), permutes the numbers; a result of N or more walks its cycle until it
 falls below N. The permuted number p gives shard p mod S and slot p div S, so any row's place can be
 computed from its number, counts differ by one at most and slots have no gaps.
 
 Cases: an empty table gives no rows; equal rows get neighbouring numbers and so different places; nulls
-are values like others; the columns must be groupable (no maps), and of those named shard, slot or
-row_number the new ones replace the old.
+are values like others; very long texts are better hashed by the caller, as only what is passed is carried; the
+columns must be groupable (no maps), and of those named shard, slot or row_number the new ones replace the old.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.llm.common import checkpointed, unused
+
 SHARDS = 16
 ROUNDS = 6
 SEED = 20240229
-#: Rows are numbered in so many hash buckets; a bucket's rows are sorted by one task.
-BUCKETS = 4096
+#: Different rows that a hash bucket has at most on average (one task sorts it), and equal ones that are numbered in one go.
+BUCKET_ROWS, COPIES = 1 << 18, 1 << 16
 #: Steps of cycle walking; fewer than a x b - N are ever needed, and beyond 64 the chance is below 1e-100.
 WALK = 64
 
@@ -50,25 +52,33 @@ def permute(number: Column, total: int, seed: int = SEED) -> Column:
     return F.when(out < F.lit(total), out).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
 
 
-def number_rows(df: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """df with row_number (0 to N-1, by content), and N."""
+def number_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """df with row_number (0 to N-1, by the hash of the content), and N."""
     names = [c for c in df.columns if c != "row_number"]
-    equal = df.select(*names).groupBy(*names).agg(F.count("*").alias("__copies"))
-    equal = equal.withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
-    sizes = equal.groupBy("__bucket").agg(F.sum("__copies").alias("__size"))
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    begins = sizes.select("__bucket", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__begin"))
-    total = sizes.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).first()["n"]
-    inside = Window.partitionBy("__bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    rows = equal.withColumn("__before", F.coalesce(F.sum("__copies").over(inside), F.lit(0))).join(F.broadcast(begins), "__bucket")
-    first = F.col("__begin") + F.col("__before")
-    numbers = F.sequence(first, first + F.col("__copies") - 1)
-    return rows.select(*names, F.explode(numbers).alias("row_number")), int(total)
+    plain = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])  # so that no name can clash
+    columns = plain.columns
+    equal = checkpointed(plain.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64(*columns)))
+    bits = min(20, max(4, (max(1, equal.count()) // BUCKET_ROWS).bit_length()))
+    equal = equal.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    sizes = equal.groupBy("bucket").agg(F.sum("copies").alias("size"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    begins = sizes.select("bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("begin"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    # the high bits of the hash are the bucket, so the order does not depend on how many there are
+    inside = Window.partitionBy("bucket").orderBy("h", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    rows = equal.withColumn("before", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(begins), "bucket")
+    rows = rows.select(*columns, "copies", (F.col("begin") + F.col("before")).alias("first"))
+    few = rows.where(F.col("copies") <= COPIES).select(*columns, F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("row_number"))
+    blocks = F.sequence("first", F.col("first") + F.col("copies") - 1, F.lit(COPIES).cast("long"))
+    many = rows.where(F.col("copies") > COPIES).select(*columns, (F.col("first") + F.col("copies")).alias("end"), F.explode(blocks).alias("low"))
+    many = many.repartition("low").select(*columns, F.explode(F.sequence("low", F.least(F.col("low") + COPIES, F.col("end")) - 1)).alias("row_number"))
+    numbered = few.unionByName(many)
+    return numbered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "row_number"), int(total)
 
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """df with row_number, shard (int) and slot (long)."""
     numbered, total = number_rows(df.drop("row_number", "shard", "slot"))
-    placed = numbered.withColumn("__place", permute(F.col("row_number"), total, seed))
-    names = [c for c in numbered.columns]
-    return placed.select(*names, F.pmod("__place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("__place") / shards).cast("long").alias("slot"))
+    place = unused(numbered, "place")
+    placed = numbered.withColumn(place, permute(F.col("row_number"), total, seed))
+    return placed.select(*numbered.columns, F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(F.col(place) / shards).cast("long").alias("slot"))
