@@ -5,17 +5,19 @@ email; ip (four parts, each at most 255); card (13 to 19 digits, Luhn); phone (9
 Kinds that this method adds: iban (mod-97), secret (a named token, password or key), access_key (a cloud
 key id), and, where a base match fails because it runs on into its neighbour, card_run (an unbroken run of
 13 to 19 digits, Luhn) and phone_form (country code, area code in brackets, number). Every span has a score: its kind's prior, raised or lowered by words within
-CONTEXT characters before it. Base spans always stay; added ones need MIN_SCORE.
+CONTEXT characters before or after it. Base spans always stay; added ones need MIN_SCORE.
 
 Offsets are code points, the end exclusive. Cases: a null or empty text has no spans; texts of any length
 are searched whole, in time that grows with their length; rows are searched one by one, so repeated rows
-repeat the answer; other columns pass through.
+repeat the answer; an empty table gives no rows; other columns pass through, and of those named like a result the new
+ones replace the old.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,7 +34,7 @@ MIN_SCORE = 0.5
 #: What a kind is worth by itself, and the words near it that speak for or against it.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "secret": 0.8, "access_key": 0.9, "card_run": 0.7, "phone_form": 0.7}
 FOR = {
-    "email": ("mail", "contact", "write", "@"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "host", "server", "login"),
     "card": ("card", "visa", "credit", "payment", "pay"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
@@ -180,8 +182,18 @@ _FINDERS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
 _BEYOND = {"card_run": "card", "phone_form": "phone"}
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    near = {w.lower() for w in _WORDS.findall(text[max(0, start - CONTEXT) : start])}
+def _near(text: str, start: int, end: int) -> set[str]:
+    """Whole words within CONTEXT characters before and after a span."""
+    low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+    while low and low < start and text[low - 1].isalpha():
+        low += 1  # not a word that begins further off
+    while high < len(text) and high > end and text[high].isalpha():
+        high -= 1
+    return {w.lower() for w in [*_WORDS.findall(text, low, start), *_WORDS.findall(text, end, high)]}
+
+
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    near = _near(text, start, end)
     raised = any(w in near for w in FOR[kind])
     lowered = any(w in near for w in AGAINST[kind])
     return min(1.0, max(0.0, PRIOR[kind] + 0.1 * raised - 0.3 * lowered))
@@ -208,11 +220,12 @@ def find(text: str | None) -> list[Span]:
         wanted += ["card_run", "phone_form"] if "+" in text else ["card_run"]
     out: list[Span] = []
     for kind in wanted:
-        held = [s for s in out if s.kind == _BEYOND.get(kind)]
+        held = [(s.start, s.end) for s in out if s.kind == _BEYOND.get(kind)]
         for start, end in _FINDERS[kind](text):
-            if any(s.start < end and start < s.end for s in held):
+            at = bisect_left(held, (end, 0))  # spans of a kind come in order and do not overlap
+            if at and held[at - 1][1] > start:
                 continue
-            score = _score(text, kind, start)
+            score = _score(text, kind, start, end)
             if kind in BASE or score >= MIN_SCORE:
                 out.append(Span(kind, start, end, score))
     return out
@@ -252,18 +265,19 @@ def detect(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """All columns of docs, with counts of the base kinds, a digest of the base spans, and all spans joined."""
+    """All columns of docs, with counts of the base kinds, a digest of the base spans, all spans joined, and their number."""
 
     def make(texts: list[str | None]) -> list[pa.Array]:
-        counts, base_sha, spans = {k: [] for k in BASE}, [], []
+        counts, base_sha, spans, every = {k: [] for k in BASE}, [], [], []
         for found in map(find, texts):
             for kind in BASE:
                 counts[kind].append(sum(s.kind == kind for s in found))
             base_sha.append(hashlib.sha256(join([s for s in found if s.kind in BASE]).encode()).hexdigest())
             spans.append(join(found))
-        return [*(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(base_sha, pa.string()), pa.array(spans, pa.string())]
+            every.append(len(found))
+        return [*(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(base_sha, pa.string()), pa.array(spans, pa.string()), pa.array(every, pa.int64())]
 
-    added = [*((f"n_{k}", T.LongType()) for k in BASE), ("base_sha256", T.StringType()), ("spans", T.StringType())]
+    added = [*((f"n_{k}", T.LongType()) for k in BASE), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_spans", T.LongType())]
     return _map_texts(docs, text_column, added, make)
 
 
