@@ -5,7 +5,8 @@ that the largest inner product is the smallest distance, and a k-means tree is g
 of them: nodes split into up to BRANCHES clusters until a leaf stands for about LEAF_ROWS rows. Every row
 is then filed in a leaf. A query walks the tree with a priority queue, nearest centre first. How many
 leaves it visits is calibrated: for a bounded set of queries the true neighbours are found among all
-rows, and visits widen until TARGET of these neighbours lie in visited leaves (and k rows at least).
+rows, and visits widen until TARGET of these neighbours lie in visited leaves (and k rows at least). The share that
+is reached is returned with every row, as the run's measured recall.
 
 Leaves are visited in phases: the FIRST_VISITS nearest ones, then PHASE times as many, and so on. After each
 phase a query knows its k-th best score so far, and later leaves only hand on rows that reach it, so that
@@ -166,9 +167,10 @@ def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 def search(
     vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", target: float = TARGET, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query, nearest first."""
+    """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query, nearest first; and recall: the
+    share of the true neighbours of the calibrating queries that are found, the same in all rows."""
     spark = vectors.sparkSession
-    answer = "query_id bigint, rank int, vec_id bigint, score double"
+    answer = "query_id bigint, rank int, vec_id bigint, score double, recall double"
     points = clean(vectors, id_column, vector_column)
     equal = Window.partitionBy("h", "v").orderBy("vec_id")
     points = points.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).drop("copy")
@@ -181,11 +183,11 @@ def search(
     n, largest = facts["n"], float(np.sqrt(facts["s"]))
     scale = 1 << 30
     share = min(scale, SAMPLE_ROWS * scale // n + 1)
-    drawn = points.where(F.pmod(F.xxhash64(F.lit("tree"), "vec_id"), F.lit(scale)) < share).select("v").limit(2 * SAMPLE_ROWS).toArrow()
+    drawn = points.where(F.pmod(F.xxhash64(F.lit("tree"), "vec_id", "h"), F.lit(scale)) < share).select("v").limit(2 * SAMPLE_ROWS).toArrow()
     leaves = int(min(MAX_LEAVES, max(1, n // leaf_rows), max(1, SAMPLE_ROWS // 16)))
-    tree = Tree(matrix(drawn.column(0)) if drawn.num_rows else np.zeros((0, 1)), largest, leaves)
-    if not drawn.num_rows:
-        raise ValueError("the sample is empty")
+    if not drawn.num_rows:  # a handful of rows can all miss the draw
+        drawn = points.select("v").limit(SAMPLE_ROWS).toArrow()
+    tree = Tree(matrix(drawn.column(0)), largest, leaves)
     shared = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES centres and their ancestors
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +198,7 @@ def search(
     sizes = np.zeros(tree.leaves, np.int64)
     for row in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row per leaf
         sizes[row["leaf"]] = row["n"]
-    visits = calibrate(filed, asked, tree, sizes, k, target)
+    visits, recall = calibrate(filed, asked, tree, sizes, k, target)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +218,7 @@ def search(
         met = _scan_leaves(visits_now, filed, sizes, k).unionByName(found)
         found = checkpointed(met.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
         low, high = high, high * PHASE
-    return found.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score", F.lit(recall).alias("recall"))
 
 
 def _scan_leaves(visits: DataFrame, filed: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
@@ -245,11 +247,11 @@ def _scan_leaves(visits: DataFrame, filed: DataFrame, sizes: np.ndarray, k: int)
     return query_side.groupBy(*key).cogroup(point_side.groupBy(*key)).applyInArrow(scan, _OUT)
 
 
-def calibrate(filed: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray, k: int, target: float) -> int:
-    """How many leaves to visit so that `target` of the true neighbours of sample queries are in them."""
+def calibrate(filed: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray, k: int, target: float) -> tuple[int, float]:
+    """How many leaves to visit so that `target` of the true neighbours of sample queries are in them, and which share is."""
     probes = asked.orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id").limit(CALIBRATION_QUERIES).select("vec_id", "v").toArrow()
     if not probes.num_rows:
-        return 1
+        return 1, 1.0
     probe_ids, probe_vectors = probes["vec_id"].to_numpy(), matrix(probes["v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,4 +275,4 @@ def calibrate(filed: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray,
     visits = 1
     while visits < tree.leaves and len(places) and (places < visits).mean() < target:
         visits += 1
-    return visits
+    return visits, float((places < visits).mean()) if len(places) else 1.0
