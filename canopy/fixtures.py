@@ -132,3 +132,14 @@ READER = """type Reader interface {
 \tLog(format string, args ...any)
 \tCloser
 }"""
+
+#: Two trees whose packages and types have the same names.
+TREE_X = {
+    "go.mod": "module example.test/x\n",
+    "d/d.go": "package d\n\ntype Order int\n\ntype Store interface {\n\tSave(x, y int) (n, m int)\n\tOne() (err error)\n\tEach(f func(Order Order) bool, more ...Order)\n}\n",
+    "t/t.go": "package t\n\ntype T struct{}\n\nfunc (T) One() error { return nil }\n",
+}
+TREE_Y = {
+    "d/d.go": "package d\n\ntype Store interface{ Drop(n, m int) (a, b int) }\n",
+    "t/t.go": "package t\n\ntype T struct{}\n",
+}

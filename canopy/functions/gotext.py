@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 from canopy.functions.goscan import Decl, Field, Member, SourceFile, fragment, is_exported
+from canopy.functions.gotypes import results_string
 
 # -- errors -----------------------------------------------------------------------------------------
 #: The error codes and what they say.
@@ -193,8 +194,8 @@ class Param:
 class Method:
     name: str
     params: tuple[Param, ...]
-    results_src: str
-    n_results: int
+    results: tuple[Param, ...]
+    results_src: str = ""  # as the source has them
 
     def parameters(self) -> str:
         return "(" + ", ".join(f"{p.name or f'p{i}'} {'...' if p.variadic else ''}{p.type}" for i, p in enumerate(self.params)) + ")"
@@ -202,12 +203,17 @@ class Method:
     def arguments(self) -> str:
         return ", ".join((p.name or f"p{i}") + ("..." if p.variadic else "") for i, p in enumerate(self.params))
 
-    def tuple_type(self) -> str:
-        """The parameters as a type writes them, unnamed ones without a name."""
-        return "(" + ", ".join(f"{p.name + ' ' if p.name else ''}{'...' if p.variadic else ''}{p.type}" for p in self.params) + ")"
+    def tuple_type(self, dots: bool = True) -> str:
+        """The parameters as a type writes them, unnamed ones without a name; without dots the last of a variadic
+        list is the slice that it is inside the function."""
+        rest = "..." if dots else "[]"
+        return "(" + ", ".join(f"{p.name + ' ' if p.name else ''}{rest if p.variadic else ''}{p.type}" for p in self.params) + ")"
 
-    def results_tuple(self) -> str:
-        return self.results_src if self.results_src.startswith("(") else f"({self.results_src})"
+    def results_type(self, bare: bool = False) -> str:
+        """The results as a signature ends; `bare`: a single one without its name."""
+        if bare and len(self.results) == 1:
+            return self.results[0].type
+        return results_string([(p.name, p.type) for p in self.results])
 
 
 def params_of(fields: list[Field]) -> tuple[Param, ...]:
@@ -219,21 +225,24 @@ def width(fields: list[Field]) -> int:
 
 
 def method_of(m: Member) -> Method:
-    return Method(m.method or "", params_of(m.params), m.results_src, width(m.results))
+    return Method(m.method or "", params_of(m.params), params_of(m.results), m.results_src)
 
 
+#: The lines of a mock, a stub and a test skeleton.
 def mock_source(package: str, mock: str, methods: list[Method], iface_package: str, iface: str, typed: bool) -> str:
-    """A struct of function fields that satisfies an interface. `typed`: field types as a type checker
-    prints them, else as the source writes them."""
+    """A struct of function fields that satisfies an interface. `typed`: types as a type checker prints them, else as
+    the source writes them."""
     mock = base_name(mock)
     out = [f"package {package}\n\n", f"type {mock} struct {{\n"]
     for m in methods:
-        kind = f"func{m.tuple_type()}{' ' + m.results_src if m.results_src else ''}" if typed else f"func{m.parameters()} {m.results_src}"
+        ending = m.results_type()
+        kind = f"func{m.tuple_type()}{' ' + ending if ending else ''}" if typed else f"func{m.parameters()} {m.results_src}"
         out.append(f"\t{m.name}Func {kind}\n")
     out.append("}\n")
     for m in methods:
-        back = "return " if m.results_src else ""
-        out.append(f"\nfunc (m *{mock}) {m.name}{m.parameters()} {m.results_src} {{\n\tif m.{m.name}Func == nil {{\n")
+        back = "return " if m.results else ""
+        results = m.results_type(bare=True) if typed else m.results_src
+        out.append(f"\nfunc (m *{mock}) {m.name}{m.parameters()} {results} {{\n\tif m.{m.name}Func == nil {{\n")
         out.append(f'\t\tpanic("{mock}.{m.name}Func not set")\n\t}}\n\t{back}m.{m.name}Func({m.arguments()})\n}}\n')
     owner = iface if package == iface_package else f"{iface_package}.{iface}"
     out.append(f"\nvar _ {owner} = (*{mock})(nil)\n")
@@ -259,8 +268,9 @@ def mock_from_source(content: str, mock: str, package: str, iface_package: str)
 
 
 def stub(interface: str, receiver: str, m: Method) -> str:
-    """A method that is still to be written."""
-    return f'\n// {m.name} implements {interface}.\nfunc (r {receiver}) {m.name}{m.tuple_type()} {m.results_tuple()} {{\n\t// TODO: implement {m.name}\n\tpanic("not implemented")\n}}\n'
+    """A method that is still to be written, in formatted form."""
+    head = " ".join(filter(None, [f"func (r {receiver}) {m.name}{m.tuple_type(dots=False)}", m.results_type()]))
+    return f'\n// {m.name} implements {interface}.\n{head} {{\n\t// TODO: implement {m.name}\n\tpanic("not implemented")\n}}\n'
 
 
 def interface_source(name: str, methods: list[tuple[str, str]]) -> str:

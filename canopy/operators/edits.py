@@ -18,6 +18,7 @@ from canopy.functions import gotext as g
 from canopy.functions.edit_rules import Action, Outcome, Tree
 from canopy.plans import schemas
 from canopy.plans.corpus import Corpus
+from canopy.plans.lineage import checkpointed
 from canopy.sources.gotree import write_tree
 
 _RESULT_SCHEMA = "repo string, kind string, path string, content binary, files_modified int, warnings array<string>, messages array<string>, failed_seq int, error_code string, error_message string"
@@ -47,8 +48,7 @@ def _apply(corpus: Corpus, actions: DataFrame, edit: Edit) -> tuple[DataFrame, D
         done = {"repo": repo, "kind": "outcome"} | vars(out)
         return pa.Table.from_pylist([*made, done], schema=_RESULT_ARROW)
 
-    both = files.groupBy("repo").cogroup(actions.groupBy("repo")).applyInArrow(fold, _RESULT_SCHEMA)
-    both = both.persist()
+    both = checkpointed(files.groupBy("repo").cogroup(actions.groupBy("repo")).applyInArrow(fold, _RESULT_SCHEMA))
     changed = both.where("kind = 'file'").select("repo", "path", "content")
     outcomes = both.where("kind = 'outcome'").select("repo", "files_modified", "warnings", "messages", "failed_seq", "error_code", "error_message")
     return changed, outcomes

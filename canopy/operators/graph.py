@@ -85,13 +85,40 @@ def dependencies(corpus: Corpus, o: GraphOptions) -> DataFrame:
     return dependency_edges(corpus, o).groupBy("repo", "dir").agg(F.array_sort(F.collect_set("dep")).alias("deps"))
 
 
-def file_symbols(corpus: Corpus, o: GraphOptions) -> DataFrame:
-    """repo, dir, path, symbols of every file that shows any, in order of declaration."""
+def shown_symbols(o: GraphOptions) -> Column:
+    """The symbols that a parsed file shows; one that failed shows a warning."""
     shown = F.filter("decls", lambda d: d["exported"] | (F.lit(o.tests) & F.col("is_test")))
     texts = F.transform(shown, lambda d: c.graph_signature(F.col("content"), d))
     warning = F.array(F.concat(F.lit("WARNING: failed to parse: "), F.col("path"), F.lit(":"), F.col("parse_error")))
-    rows = scanned(corpus.parsed, o).select("repo", "dir", "path", F.when(F.col("parse_ok"), texts).otherwise(warning).alias("symbols"))
-    return rows.where(F.size("symbols") > 0)
+    return F.when(F.col("parse_ok"), texts).otherwise(warning)
+
+
+def file_symbols(corpus: Corpus, o: GraphOptions) -> DataFrame:
+    """repo, dir, path, symbols of every file that shows any, in order of declaration."""
+    return scanned(corpus.parsed, o).select("repo", "dir", "path", shown_symbols(o).alias("symbols")).where(F.size("symbols") > 0)
+
+
+def _packages(corpus: Corpus, o: GraphOptions) -> DataFrame:
+    """repo, dir, files, summary, deps of every directory with files, by one pass over what was scanned as far as needed."""
+    listed = "array<struct<path:string,symbols:array<string>>>"
+    if not (o.symbols or o.summary or o.deps):
+        return package_files(corpus.go_files, o).select("repo", "dir", F.lit(None).cast(listed).alias("files"), F.lit("").alias("summary"), F.lit(None).cast("array<string>").alias("deps"))
+    parsed = corpus.parsed if o.symbols else corpus.headers if o.deps else corpus.clauses
+    rows = scanned(parsed, o).withColumn("shown", shown_symbols(o) if o.symbols else F.lit(None).cast("array<string>"))
+    if o.deps:
+        rows = rows.join(F.broadcast(module_of(corpus, o.dir)), "repo", "left")  # one row a tree
+        own = F.when(F.col("imports_ok") & ~F.col("is_test"), F.transform("imports", lambda i: c.dependency(i["import_path"], F.col("module"))))
+        rows = rows.withColumn("own", F.filter(own, lambda d: d.isNotNull()))
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("array<string>"))
+    first = F.when(~F.col("is_test"), F.struct(F.col("name") != "doc.go", F.col("path")))
+    grouped = rows.groupBy("repo", "dir").agg(
+        F.array_sort(F.collect_list(F.when(F.size("shown") > 0, F.struct("path", F.col("shown").alias("symbols"))))).alias("files"),
+        F.min_by(F.when(F.col("clause_ok"), F.col("package_doc")).otherwise(F.lit("")), first).alias("doc"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("deps"),
+    )
+    summary = F.coalesce(c.package_summary(F.col("doc")), F.lit("")) if o.summary else F.lit("")
+    return grouped.select("repo", "dir", F.when(F.size("files") > 0, F.col("files")).cast(listed).alias("files"), summary.alias("summary"), F.when(F.size("deps") > 0, F.col("deps")).alias("deps"))
 
 
 def graph(corpus: Corpus, options: GraphOptions) -> DataFrame:
@@ -99,15 +126,14 @@ def graph(corpus: Corpus, options: GraphOptions) -> DataFrame:
     if options.module:
         corpus = corpus.module(options.module)
     o = options
+    if not options.module:
+        recursive = not o.symbols or o.recursive
+        pushed = {"dir": o.dir, "tests": str(o.tests).lower(), "recursive": str(recursive).lower()}
+        if recursive and not any("," in p for p in o.exclude):
+            pushed |= {"exclude": ",".join(o.exclude), "depth": str(o.depth)}
+        corpus = corpus.narrowed(**pushed)
     focused = F.lit(True) if not o.focus else (F.col("path") == o.focus) | F.startswith(F.col("path"), F.lit(o.focus + "/"))
-    rows = package_files(corpus.go_files, o)
-    if o.symbols:
-        listed = file_symbols(corpus, o).groupBy("repo", "dir").agg(F.array_sort(F.collect_list(F.struct("path", "symbols"))).alias("files"))
-        rows = rows.join(listed, ["repo", "dir"], "left")
-    else:
-        rows = rows.withColumn("files", F.lit(None).cast("array<struct<path:string,symbols:array<string>>>"))
-    rows = rows.join(summaries(corpus, o), ["repo", "dir"], "left") if o.summary else rows.withColumn("summary", F.lit(""))
-    rows = rows.join(dependencies(corpus, o), ["repo", "dir"], "left") if o.deps else rows.withColumn("deps", F.lit(None).cast("array<string>"))
+    rows = _packages(corpus, o)
     rows = rows.withColumnRenamed("dir", "path")
     rows = rows.select(
         "repo",

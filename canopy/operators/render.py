@@ -28,7 +28,8 @@ def graph_text(packages: DataFrame, o: GraphOptions, children: list[str] | None
     rows, shown = packages.orderBy("repo", "ord").collect(), o.implied()
     empty = f"No Go packages found in '{o.dir}'."
     if not shown.symbols:
-        return "".join(_head(r, o.deps) + "\n" for r in rows) if rows else empty + ("\n" if style == "terminal" else "")
+        hint = "\nHint: check that you're in the project root, or use '--dir <path>' to target a subdirectory.\n" if style == "terminal" else ""
+        return "".join(_head(r, o.deps) + "\n" for r in rows) if rows else empty + hint
     heads = (o.summary or o.deps) if style == "terminal" else (shown.summary or shown.deps)
     out: list[str] = []
     for row in rows:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from canopy.functions.goscan import Field, SourceFile, scan
-from canopy.functions.gotext import width
 from canopy.plans import schemas
 from canopy.sources import gotree
 
@@ -30,7 +29,7 @@ def parsed_row(repo: str, path: str, content: bytes, level: str = "full") -> dic
         row |= {
             "ord": i,
             "fields": [{k: getattr(f, k) for k in schemas.FIELD.fieldNames()} for f in d.fields],
-            "members": [{"method": m.method, "type_src": m.type_src, "params": _typed(m.params), "results_src": m.results_src, "n_results": width(m.results)} for m in d.members],
+            "members": [{"method": m.method, "type_src": m.type_src, "params": _typed(m.params), "results": _typed(m.results)} for m in d.members],
             "params": _typed(d.params),
             "results": _typed(d.results),
         }
@@ -89,7 +88,16 @@ class Corpus:
 
         gotree.register(spark)
         reader = spark.read.format("gotree").option("path", os.pathsep.join(roots.values())).option("repo", os.pathsep.join(roots))
-        return cls(reader.options(**options).load(), modules)
+        own = cls(reader.options(**options).load(), modules)
+        own.origin = (roots, options)
+        return own
+
+    def narrowed(self, **options: str) -> Corpus:
+        """The same trees, with options of the source that leave out files; only where they are read from it."""
+        if self.origin is None or self.cached:
+            return self
+        roots, own = self.origin
+        return Corpus.of_roots(self.spark, roots, self.modules, **(options | own))
 
     # -- tables -----------------------------------------------------------------------------------
     @cached_property
@@ -101,17 +109,28 @@ class Corpus:
         """One row per Go file with everything the scan found; the scan runs once while this is cached."""
         return _placed(parse(self.go_files))
 
+    @cached_property
+    def headers(self) -> DataFrame:
+        """As parsed, but what follows the imports is not scanned (and not found), unless `parsed` is kept anyway."""
+        return self.parsed if self.cached else _placed(parse(self.go_files, "imports"))
+
+    @cached_property
+    def clauses(self) -> DataFrame:
+        """As parsed, up to the package clause."""
+        return self.parsed if self.cached else _placed(parse(self.go_files, "package"))
+
     def cache(self) -> Corpus:
         self.parsed.persist()
+        self.cached = True
         return self
 
     @cached_property
     def pkg_clause(self) -> DataFrame:
-        return self.parsed.select("repo", "path", "dir", "name", "is_test", "package", F.col("package_doc").alias("pkg_doc"), F.col("clause_ok").alias("header_ok"))
+        return self.clauses.select("repo", "path", "dir", "name", "is_test", "package", F.col("package_doc").alias("pkg_doc"), F.col("clause_ok").alias("header_ok"))
 
     @cached_property
     def imports(self) -> DataFrame:
-        return self.parsed.where("imports_ok").select("repo", "path", "dir", "is_test", F.explode("imports").alias("i")).select("repo", "path", "dir", "is_test", "i.*")
+        return self.headers.where("imports_ok").select("repo", "path", "dir", "is_test", F.explode("imports").alias("i")).select("repo", "path", "dir", "is_test", "i.*")
 
     @cached_property
     def decls(self) -> DataFrame:
@@ -124,8 +143,8 @@ class Corpus:
     @cached_property
     def iface_members(self) -> DataFrame:
         rows = self.decls.where("d.type_kind = 'interface'")
-        return rows.select("repo", "path", F.col("d.ord").alias("decl_ord"), "package", F.col("d.name").alias("iface"), F.posexplode("d.members").alias("ord", "m")).select(
-            "repo", "path", "decl_ord", "package", "iface", "ord", "m.*"
+        return rows.select("repo", "path", "dir", F.col("d.ord").alias("decl_ord"), "package", F.col("d.name").alias("iface"), F.posexplode("d.members").alias("ord", "m")).select(
+            "repo", "path", "dir", "decl_ord", "package", "iface", "ord", "m.*"
         )
 
     @cached_property
@@ -134,6 +153,19 @@ class Corpus:
         line = F.regexp_extract(F.decode("content", "UTF-8"), r"(?m)^[ \t]*module[ \t]+(.*?)\s*$", 1)
         return self.files.where("name = 'go.mod'").select("repo", "dir", line.alias("module")).where("module <> ''")
 
+    def only(self, repo: str | None = None) -> Corpus:
+        """One tree: the one named, or the only one that there is."""
+        if repo is None:
+            names = [r["repo"] for r in self.files.select("repo").distinct().limit(2).collect()]
+            if len(names) > 1:
+                raise ValueError("the corpus holds several trees; name one")
+            repo = names[0] if names else ""
+        own = Corpus(self.files.where(F.col("repo") == repo), self.modules)
+        own.repo, own.cached = repo, self.cached
+        if self.cached:
+            own.parsed = self.parsed.where(F.col("repo") == repo)
+        return own
+
     def module(self, path: str) -> Corpus:
         """The tree that a module path stands for, by the modules table; an unknown one is an error."""
         row = self.modules.where(F.col("module_path") == path).limit(1).collect()
@@ -148,6 +180,9 @@ class Corpus:
         return own
 
     header: str = ""
+    repo: str = ""
+    cached: bool = False
+    origin: tuple[dict[str, str], dict[str, str]] | None = None
 
 
 __all__ = ["Corpus", "parse", "parsed_row"]

@@ -13,7 +13,7 @@ def _struct(**columns: T.DataType) -> T.StructType:
 
 TYPED = _struct(names=T.ArrayType(_S), type_src=_S, variadic=_B)
 FIELD = _struct(names=T.ArrayType(_S), type_src=_S, type_end=_I, tag_src=_S, tag_start=_I, tag_end=_I)
-MEMBER = _struct(method=_S, type_src=_S, params=T.ArrayType(TYPED), results_src=_S, n_results=_I)
+MEMBER = _struct(method=_S, type_src=_S, params=T.ArrayType(TYPED), results=T.ArrayType(TYPED))
 DECL = _struct(
     ord=_I, kind=_S, name=_S, receiver=_S, receiver_src=_S, receiver_var=_S, exported=_B, type_kind=_S, group_size=_I, doc=_S, spec_doc=_S,
     doc_start=_I, node_start=_I, node_end=_I, sym_start=_I, sym_end=_I, name_start=_I, line_start=_I, line_end=_I, body_start=_I, type_src=_S,
@@ -27,7 +27,7 @@ PARSED = _struct(
 )
 GRAPH_FILE = _struct(path=_S, symbols=T.ArrayType(_S))
 PARAM = _struct(name=_S, type=_S, variadic=_B)
-CATALOG = _struct(package=_S, iface=_S, ord=_I, method=_S, params=T.ArrayType(PARAM), results_src=_S, n_results=_I)
+CATALOG = _struct(package=_S, iface=_S, ord=_I, method=_S, params=T.ArrayType(PARAM), results=T.ArrayType(PARAM))
 ACTIONS = _struct(
     repo=_S, seq=_I, action=_S, file=_S, package=_S, identifier=_S, content=_S, mock_file=_S, mock_name=_S, doc=_S, strip_doc=_B
 )

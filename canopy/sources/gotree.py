@@ -7,7 +7,9 @@ gives repo, path (relative to the root), content. Listing prunes while it walks:
 that start with a dot (not the root) and, if asked for, excluded globs and depth. Files and directories
 that start with an underscore are kept, and so are files that start with a dot. Linked directories are not
 followed. Options: path (several roots: separated by the path separator), repo (names, likewise),
-recursive, tests, exclude (globs, comma-separated), depth, errors (fail or skip), batch (files a task).
+dir (only this directory of each tree, with the module files above it), recursive, tests, exclude (globs,
+comma-separated), depth (below dir), errors (fail or skip), batch (files a task, which also reads BATCH_BYTES at most
+unless one file is larger). Roots are listed side by side.
 
 The roots must be visible to the driver, which lists them, and to the executors, which read: a shared
 folder. Trees that are elsewhere enter as rows, through Corpus.of_files.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,26 +28,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from canopy.functions.globs import glob_match
 
+#: Bytes of the files of a task, and of a batch of rows on its way to the executor.
+BATCH_BYTES, ROWS_BYTES = 64 << 20, 4 << 20
 SCHEMA = "repo string, path string, content binary"
 MODULE_FILE = "go.mod"
 
 
 @dataclass
 class _Batch(InputPartition):
-    files: list[tuple[str, str, str]]  # repo, root, relative path
+    files: list[tuple[str, str, str]]  # repo, root, path in the tree
 
     def __init__(self, files):
         self.files = files
 
 
-def walk(root: str, recursive: bool = True, tests: bool = True, exclude: tuple[str, ...] = (), depth: int = 0, skip_errors: bool = False) -> Iterator[str]:
-    """Relative paths of the source files (and module files) under a root, pruned on the way."""
+def walk(root: str, recursive: bool = True, tests: bool = True, exclude: tuple[str, ...] = (), depth: int = 0, skip_errors: bool = False, name: str = "") -> Iterator[str]:
+    """Relative paths of the source files (and module files) under a root, pruned on the way. A root that is not to be
+    visited by its name gives none; `name` is the name it goes by, if not its own."""
 
     def failed(error: OSError) -> None:
         if not skip_errors:
             raise error
 
-    base = os.path.basename(os.path.abspath(root))
+    base = name or os.path.basename(os.path.abspath(root))
     if recursive and (base == "vendor" or any(glob_match(p, base) for p in exclude)):
         return
     for folder, folders, names in os.walk(root, onerror=failed):
@@ -70,17 +76,36 @@ class _Reader(DataSourceReader):
         repos = o["repo"].split(os.pathsep) if o.get("repo") else [os.path.basename(os.path.abspath(r)) for r in roots]
         flag = lambda name, default: o.get(name, default).lower() == "true"
         exclude = tuple(p for p in o.get("exclude", "").split(",") if p)
-        found = [
-            (repo, root, path)
-            for repo, root in zip(repos, roots, strict=True)
-            for path in walk(root, flag("recursive", "true"), flag("tests", "true"), exclude, int(o.get("depth", "0")), o.get("errors") == "skip")
-        ]
-        size = int(o.get("batch", "256"))
-        return [_Batch(found[i : i + size]) for i in range(0, len(found), size)] or [_Batch([])]
+        most, inner = int(o.get("batch", "256")), o.get("dir", ".")
+
+        def listed(repo: str, root: str) -> list[tuple[str, str, str, int]]:
+            top = os.path.join(root, inner) if inner != "." else root
+            below = (os.path.normpath(os.path.join(inner, p)) for p in walk(top, flag("recursive", "true"), flag("tests", "true"), exclude, int(o.get("depth", "0")), o.get("errors") == "skip", os.path.basename(inner)))
+            above = [os.path.join(*inner.split("/")[:k], MODULE_FILE) for k in range(inner.count("/") + 1)] if inner != "." else []
+            paths = [p for p in above if os.path.isfile(os.path.join(root, p))] + list(below)
+            return [(repo, root, p, _size(os.path.join(root, p))) for p in paths]
+
+        with ThreadPoolExecutor(16) as threads:
+            found = [row for rows in threads.map(listed, repos, roots, timeout=None) for row in rows]
+        out: list[_Batch] = []
+        held: list[tuple[str, str, str]] = []
+        total = 0
+        for *file, size in found:
+            if held and (len(held) >= most or total + size > BATCH_BYTES):
+                out.append(_Batch(held))
+                held, total = [], 0
+            held.append(tuple(file))
+            total += size
+        return [*out, _Batch(held)]
 
     def read(self, partition: _Batch) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("content", pa.binary())])
         rows: list[tuple[str, str, bytes]] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
+
         for repo, root, path in partition.files:
             try:
                 with open(os.path.join(root, path), "rb") as f:
@@ -88,7 +113,19 @@ class _Reader(DataSourceReader):
             except OSError:
                 if self.options.get("errors") != "skip":
                     raise
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
+                continue
+            held += len(rows[-1][2])
+            if held > ROWS_BYTES:
+                yield batch()
+                rows, held = [], 0
+        yield batch()
+
+
+def _size(path: str) -> int:
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return 0  # gone, or not to be read: reading says so
 
 
 class GoTree(DataSource):

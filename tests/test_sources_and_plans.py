@@ -8,6 +8,7 @@ from canopy import fixtures
 from canopy.functions import gotext as g
 from canopy.functions.edit_rules import Action, Tree
 from canopy.functions.globs import glob_match
+from canopy.functions.gotypes import type_string
 from canopy.operators import edits, interfaces, render, symbols
 from canopy.operators.graph import GraphOptions, graph
 from canopy.plans import schemas
@@ -119,7 +120,7 @@ def test_interface_actions_and_messages():
 
 def test_conflicting_signature_is_an_error(spark):
     corpus = Corpus.of_texts(spark, {"x": {"a.go": "package a\n\ntype T int\n\nfunc (t T) Now(x int) {}\n"}})
-    catalog = spark.createDataFrame([("clock", "Clock", 0, "Now", [], "int", 1)], schemas.CATALOG)
+    catalog = spark.createDataFrame([("clock", "Clock", 0, "Now", [], [("", "int", False)])], schemas.CATALOG)
     with pytest.raises(g.EngineError, match="Expected 0 params and 1 results, got 1 params and 0 results"):
         interfaces.implement(corpus, "clock.Clock", "T", "a.go", catalog)
     with pytest.raises(g.EngineError, match="not found"):
@@ -131,7 +132,60 @@ def test_conflicting_signature_is_an_error(spark):
 def test_embedded_interfaces_close_over_packages(spark):
     tree = {"a/a.go": "package a\n\ntype A interface {\n\tb.B\n\tX(t Own)\n}\n\ntype Own int\n", "b/b.go": "package b\n\ntype B interface {\n\tC\n\tY() *T\n}\n\ntype C interface{ Z() }\n\ntype T int\n"}
     _, _, methods = interfaces.resolve(Corpus.of_texts(spark, {"x": tree}), None, "a.A")
-    assert [(m.name, m.tuple_type(), m.results_src) for m in methods] == [("X", "(t a.Own)", ""), ("Y", "()", "*b.T"), ("Z", "()", "")]
+    assert [(m.name, m.tuple_type(), m.results_type()) for m in methods] == [("X", "(t a.Own)", ""), ("Y", "()", "*b.T"), ("Z", "()", "")]
+
+
+def test_types_are_printed_as_a_checker_does():
+    show = lambda source: type_string(source, "d", {"Own", "List"}, {"st": "store"})
+    for source, want in {
+        "Own": "d.Own", "*Own": "*d.Own", "[]Own": "[]d.Own", "[4]Own": "[4]d.Own", "map[Own]st.T": "map[d.Own]store.T", "chan<- Own": "chan<- d.Own", "<-chan Own": "<-chan d.Own",
+        "chan (<-chan Own)": "chan (<-chan d.Own)", "func(Own Own) Own": "func(Own d.Own) d.Own", "func(a, b Own, c ...st.T) (Own, error)": "func(a d.Own, b d.Own, c ...store.T) (d.Own, error)",
+        "func() (err error)": "func() (err error)", "struct { Own; A, B Own `j:\"x\"` }": 'struct{d.Own; A d.Own "j:\\"x\\""; B d.Own "j:\\"x\\""}', "interface { M(Own Own); Own }": "interface{M(Own d.Own); d.Own}",
+        "List[Own, st.T]": "d.List[d.Own,store.T]", "( Own )": "d.Own", "int": "int", "interface{}": "interface{}", "not a type ]": "not a type ]",
+    }.items():
+        assert show(source) == want, source
+
+
+def test_trees_and_packages_that_share_names_stay_apart(spark):
+    trees = {
+        "x": {"go.mod": "module m/x\n", "d/d.go": "package d\n\ntype Store interface{ Save() }\n", "e/d/d.go": "package d\n\ntype Store interface{ Other() }\n", "t/t.go": "package t\n\ntype T int\n"},
+        "y": {"d/d.go": "package d\n\ntype Store interface{ Drop() }\n", "t/t.go": "package t\n\ntype T int\n"},
+    }
+    corpus = Corpus.of_texts(spark, trees)
+    names = lambda name, repo: [m.name for m in interfaces.resolve(corpus, None, name, repo)[2]]
+    assert names("m/x/d.Store", "x") == ["Save"] and names("m/x/e/d.Store", "x") == ["Other"] and names("d.Store", "y") == ["Drop"]
+    with pytest.raises(g.EngineError, match="several packages"):
+        interfaces.resolve(corpus, None, "d.Store", "x")
+    with pytest.raises(ValueError, match="several trees"):
+        interfaces.resolve(corpus, None, "d.Store")
+    changed, found = interfaces.implement(corpus, "d.Store", "*T", "t/t.go", repo="y")
+    assert [(r["repo"], r["path"]) for r in changed.collect()] == [("y", "t/t.go")] and [r["name"] for r in found.collect()] == ["Drop"]
+    assert {r["home"] for r in interfaces.package_homes(corpus).collect()} == {"m/x/d", "m/x/e/d", "m/x/t", "d", "t"}
+
+
+def test_diamonds_give_each_method_once_and_circles_are_errors(spark):
+    tree = {"a/a.go": "package a\n\ntype A interface {\n\tB\n\tC\n}\n\ntype B interface{ D }\n\ntype C interface{ D }\n\ntype D interface{ Do() }\n"}
+    assert [m.name for m in interfaces.resolve(Corpus.of_texts(spark, {"x": tree}), None, "a.A")[2]] == ["Do"]
+    tree = {"a/a.go": "package a\n\ntype A interface{ B }\n\ntype B interface{ A }\n"}
+    with pytest.raises(g.EngineError, match="embeds itself"):
+        interfaces.resolve(Corpus.of_texts(spark, {"x": tree}), None, "a.A")
+
+
+def test_graph_options_reach_the_source(spark, root):
+    corpus = Corpus.of_roots(spark, {"r": str(root)})
+    o = GraphOptions(dir="pkg", deps=True, summary=True, exclude=("d*",))
+    assert [(r["path"], r["deps"]) for r in graph(corpus, o).collect()] == [("pkg/app", ["pkg/domain", "pkg/domain/store"])]
+    read = corpus.narrowed(dir="pkg", exclude="d*", tests="false").files
+    assert {r["path"] for r in read.collect()} == {"go.mod", "pkg/app/doc.go", "pkg/app/service.go"}
+    assert corpus.cache().narrowed(dir="pkg") is corpus
+    for o in (GraphOptions(symbols=True, recursive=True, summary=True, deps=True), GraphOptions(dir="pkg/domain", symbols=True, tests=True), GraphOptions(depth=2, exclude=("[_b]*",))):
+        assert graph(Corpus.of_roots(spark, {"r": str(root)}), o).collect() == graph(corpus, o).collect()
+
+
+def test_one_scan_of_the_files_a_graph(spark):
+    corpus = Corpus.of_texts(spark, {"shop": fixtures.SHOP})
+    plan = graph(corpus, GraphOptions(symbols=True, recursive=True, summary=True, deps=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
 
 
 def test_renderings(spark):
@@ -142,7 +196,7 @@ def test_renderings(spark):
     text = render.graph_text(graph(corpus, o), GraphOptions(focus="pkg/domain/store"), style="tool")
     assert "pkg/app\n\npkg/domain\n\npkg/domain/store — keeps orders" not in text and "  type Closer interface { Close }" in text
     empty = GraphOptions(dir="nowhere")
-    assert render.graph_text(graph(corpus, empty), empty) == "No Go packages found in 'nowhere'.\n"
+    assert render.graph_text(graph(corpus, empty), empty) == "No Go packages found in 'nowhere'.\nHint: check that you're in the project root, or use '--dir <path>' to target a subdirectory.\n"
     one = render.symbol_text(symbols.resolve(corpus, "NewOrder"), "NewOrder", body=True)
     assert one.startswith("Symbol: NewOrder\nFile: pkg/domain/order.go:15-17 (3 lines body)\nDoc:\nNewOrder makes an empty order.\n")
     many = Corpus.of_texts(spark, {"m": {"a.go": "package a\nfunc F() {}\n", "b/b.go": "package b\ntype F int\n"}})
