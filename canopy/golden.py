@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy import fixtures
+from canopy.functions import columns, gotext
 from canopy.functions.edit_rules import Action
-from canopy.operators import edits, interfaces, symbols
+from canopy.functions.gotext import EngineError
+from canopy.operators import edits, interfaces, render, symbols
 from canopy.operators.graph import GraphOptions, graph, sub_packages
 from canopy.plans import schemas
 from canopy.plans.corpus import Corpus
+from canopy.plans.lineage import ensure_checkpoint_dir
+from canopy.plans.plan_file import plan_frame
+from canopy.sources.gotree import write_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,11 +35,11 @@ def _quoted(value) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _golden(name: str, columns: list[str], expected: list[tuple]):
+def _golden(name: str, names: list[str], expected: list[tuple]):
     def register(make: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
-        QUERIES[f"golden_{name}"] = lambda spark, _: make(spark).select(*columns)
+        QUERIES[f"golden_{name}"] = lambda spark, _: make(spark).select(*names)
         rows = ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in expected)
-        ORACLE[f"golden_{name}"] = f"SELECT * FROM (VALUES {rows}) t({', '.join(columns)})"
+        ORACLE[f"golden_{name}"] = f"SELECT * FROM (VALUES {rows}) t({', '.join(names)})"
         return make
 
     return register
@@ -322,25 +327,25 @@ def _mock_typed(spark):
     return _text(interfaces.mock(_shop(spark), "store.Store", "*Fake", "pkg/app/fake.go")[0])
 
 
-CLOCK = [("example.test/clock", "Clock", 0, "Now", [], "int", 1), ("example.test/clock", "Clock", 1, "Sleep", [("d", "int", False)], "", 0)]
+CLOCK = [("example.test/clock", "Clock", 0, "Now", [], [("", "int", False)]), ("example.test/clock", "Clock", 1, "Sleep", [("d", "int", False), ("more", "string", True)], [])]
 
 
 @_golden(
     "implement",
     ["file", "name", "receiver", "signature", "doc"],
     [
-        ("pkg/domain/customer.go", "Now", "Customer", "func (r *Customer) Now() (int)", "Now implements clock.Clock."),
-        ("pkg/domain/customer.go", "Sleep", "Customer", "func (r *Customer) Sleep(d int) ()", "Sleep implements clock.Clock."),
+        ("pkg/domain/customer.go", "Now", "Customer", "func (r *Customer) Now() int", "Now implements clock.Clock."),
+        ("pkg/domain/customer.go", "Sleep", "Customer", "func (r *Customer) Sleep(d int, more []string)", "Sleep implements clock.Clock."),
     ],
 )
 def _implement(spark):
-    catalog = spark.createDataFrame([("clock", *row[1:]) for row in CLOCK], schemas.CATALOG)
+    catalog = spark.createDataFrame(CLOCK, schemas.CATALOG)
     return interfaces.implement(_shop(spark), "clock.Clock", "*Customer", "pkg/domain/customer.go", catalog)[1]
 
 
 @_golden("implement_done", ["file"], [])
 def _implement_done(spark):
-    catalog = spark.createDataFrame([("x", "Namer", 0, "Name", [], "string", 1)], schemas.CATALOG)
+    catalog = spark.createDataFrame([("x", "Namer", 0, "Name", [], [("", "string", False)])], schemas.CATALOG)
     return interfaces.implement(_shop(spark), "x.Namer", "Customer", "pkg/domain/customer.go", catalog)[1]
 
 
@@ -384,3 +389,242 @@ def _diff(spark):
 def _unresolved(spark):
     tree = {"a.go": 'package a\n\nimport "fmt"\n\ntype T struct{}\n\nfunc (t T) F(x T) { fmt.Println(x.Y, t.Z, os.Args); v := x; v.Do() }\n'}
     return interfaces.unresolved_selectors(Corpus.of_texts(spark, {"x": tree}), "a.go")
+
+
+# -- interfaces of several trees, and signatures as a type checker prints them -------------------------------
+BODY = '{\n\t// TODO: implement NAME\n\tpanic("not implemented")\n}\n'
+
+
+def _trees(spark: SparkSession) -> Corpus:
+    return Corpus.of_texts(spark, {"x": fixtures.TREE_X, "y": fixtures.TREE_Y})
+
+
+@_golden("implement_two_trees", ["repo", "path", "content"], [("y", "t/t.go", fixtures.TREE_Y["t/t.go"] + "\n// Drop implements d.Store.\nfunc (r *T) Drop(n int, m int) (a int, b int) " + BODY.replace("NAME", "Drop"))])
+def _implement_two_trees(spark):
+    return interfaces.implement(_trees(spark), "d.Store", "*T", "t/t.go", repo="y")[0].withColumn("content", F.decode("content", "UTF-8"))
+
+
+@_golden(
+    "implement_file",
+    ["path", "content"],
+    [
+        (
+            "t/t.go",
+            fixtures.TREE_X["t/t.go"]
+            + "\n// Each implements example.test/x/d.Store.\nfunc (r T) Each(f func(Order d.Order) bool, more []d.Order) " + BODY.replace("NAME", "Each")
+            + "\n// Save implements example.test/x/d.Store.\nfunc (r T) Save(x int, y int) (n int, m int) " + BODY.replace("NAME", "Save"),
+        )
+    ],
+)
+def _implement_file(spark):
+    return _text(interfaces.implement(_trees(spark), "example.test/x/d.Store", "T", "t/t.go", repo="x")[0])
+
+
+@_golden(
+    "mock_signatures",
+    ["path", "content"],
+    [
+        (
+            "fake/m.go",
+            "package fake\n\ntype M struct {\n\tEachFunc func(f func(Order d.Order) bool, more ...d.Order)\n\tOneFunc func() (err error)\n\tSaveFunc func(x int, y int) (n int, m int)\n}\n"
+            '\nfunc (m *M) Each(f func(Order d.Order) bool, more ...d.Order)  {\n\tif m.EachFunc == nil {\n\t\tpanic("M.EachFunc not set")\n\t}\n\tm.EachFunc(f, more...)\n}\n'
+            '\nfunc (m *M) One() error {\n\tif m.OneFunc == nil {\n\t\tpanic("M.OneFunc not set")\n\t}\n\treturn m.OneFunc()\n}\n'
+            '\nfunc (m *M) Save(x int, y int) (n int, m int) {\n\tif m.SaveFunc == nil {\n\t\tpanic("M.SaveFunc not set")\n\t}\n\treturn m.SaveFunc(x, y)\n}\n'
+            "\nvar _ d.Store = (*M)(nil)\n",
+        )
+    ],
+)
+def _mock_signatures(spark):
+    return _text(interfaces.mock(_trees(spark), "d.Store", "M", "fake/m.go", repo="x")[0])
+
+
+@_golden("interface_circle", ["code", "message"], [("INVALID_ACTION", "interface a.A embeds itself")])
+def _circle(spark):
+    tree = {"a/a.go": "package a\n\ntype A interface{ B }\n\ntype B interface{ A }\n"}
+    try:
+        interfaces.resolve(Corpus.of_texts(spark, {"x": tree}), None, "a.A")
+        failed = []
+    except EngineError as e:
+        failed = [(e.code, e.message)]
+    return spark.createDataFrame(failed, "code string, message string")
+
+
+@_golden("conflict", ["method", "want_params", "want_results", "params", "results"], [("Name", 1, 1, 0, 1), ("Run", 1, 0, 0, 0)])
+def _conflict(spark):
+    tree = {"a.go": "package a\n\ntype T int\n\nfunc (t T) Name() string { return \"\" }\nfunc (t *T) Run() {}\nfunc (t T) Stop() {}\n"}
+    need = spark.createDataFrame([("Name", 1, 1), ("Run", 1, 0), ("Stop", 0, 0), ("None", 0, 0)], "method string, want_params int, want_results int")
+    return interfaces.conflicts(need, interfaces._own_methods(Corpus.of_texts(spark, {"x": tree}).only(), "*T", "a.go"))
+
+
+# -- edits that succeed ------------------------------------------------------------------------------------
+@_golden("replace_file", ["path", "content"], [("a.go", "package a\n\nfunc Only() {}\n")])
+def _replace_file(spark):
+    return _text(_run(spark, Action("replace_file", "a.go", content="func Only() {}\n"))[0])
+
+
+@_golden("delete_func", ["path", "content"], [("a.go", fixtures.EDITS["a.go"].replace("// M does it.\nfunc (t *T) M() {\n\tprintln(1)\n}", ""))])
+def _delete_func(spark):
+    return _text(_run(spark, Action("delete_func", "a.go", identifier="T.M"))[0])
+
+
+@_golden("add_struct", ["path", "content"], [("a.go", fixtures.EDITS["a.go"] + "\ntype U struct{}\n\ntype V int\n")])
+def _add_struct(spark):
+    return _text(_run(spark, Action("add_struct", "a.go", content="type U struct{}\n\ntype V int"))[0])
+
+
+IFACE = {"p/a.go": "package p\n\n// R reads.\ntype R interface {\n\tOld()\n}\n\ntype S int\n"}
+MOCK_R = 'package mocks\n\ntype MockR struct {\n\tNewFunc func() int\n}\n\nfunc (m *MockR) New() int {\n\tif m.NewFunc == nil {\n\t\tpanic("MockR.NewFunc not set")\n\t}\n\treturn m.NewFunc()\n}\n\nvar _ p.R = (*MockR)(nil)\n'
+
+
+@_golden("update_interface", ["path", "content"], [("mocks/r.go", MOCK_R), ("p/a.go", "package p\n\n// R reads.\ntype R interface {\n\tNew() int\n}\n\ntype S int\n")])
+def _update_interface(spark):
+    return _text(edits.update_interface(Corpus.of_texts(spark, {"i": IFACE}), "p/a.go", "R", "type R interface {\n\tNew() int\n}", "mocks/r.go", "MockR", repo="i")[0])
+
+
+@_golden("update_interface_says", ["files_modified", "messages"], [(1, "SUCCESS: Updated R in a.go, regenerated Generated MockR (1 methods) in mocks/r.go")])
+def _update_interface_says(spark):
+    outcome = edits.update_interface(Corpus.of_texts(spark, {"i": IFACE}), "p/a.go", "R", "type R interface {\n\tNew() int\n}", "mocks/r.go", "MockR", repo="i")[1]
+    return outcome.withColumn("messages", F.array_join("messages", "\n"))
+
+
+@_golden("delete_interface", ["path", "content"], [("p/a.go", "package p\n\n\n\ntype S int\n")])
+def _delete_interface(spark):
+    return _text(edits.delete_interface(Corpus.of_texts(spark, {"i": IFACE}), "p/a.go", "R", repo="i")[0])
+
+
+@_golden("plan_file", OUTCOME, [(2, "", None, "", "")])
+def _plan_file(spark):
+    corpus = _edits(spark)
+    plan = "actions:\n- {action: add_func, file: a.go, content: 'func New() {}'}\n- {action: create_file, file: b.go, content: 'func B() {}'}\n- {action: delete_func, file: a.go, identifier: New}\n"
+    return _outcome(edits.execute_plan(corpus, plan_frame(corpus, plan, "a"))[1])
+
+
+@_golden("total_modified", ["n"], [(3,)])
+def _total_modified(spark):
+    first = _run(spark, Action("add_func", "a.go", content="func New() {}"), Action("create_file", "b.go", content="func B() {}"))[1]
+    second = _run(spark, Action("delete_func", "a.go", identifier="Free"))[1]
+    return edits.total_modified([first, second]).select(F.col("files_modified").cast("int").alias("n"))
+
+
+@_golden("field_counts", ["name", "params", "results"], [("F", 3, 2), ("G", 2, 0), ("H", 0, 1)])
+def _field_counts(spark):
+    tree = {"a.go": "package a\n\nfunc F(a, b int, c string) (int, error) { return 0, nil }\n\nfunc G(int, ...string) {}\n\nfunc H() (err error) { return }\n"}
+    d = F.col("d")
+    return Corpus.of_texts(spark, {"x": tree}).decls.select(d["name"].alias("name"), columns.field_count(d["params"]).alias("params"), columns.field_count(d["results"]).alias("results"))
+
+
+# -- text rules and renderings ------------------------------------------------------------------------------
+@_golden(
+    "text_rules",
+    ["rule", "given", "result"],
+    [
+        ("first type name", "// x\ntype T int", "T"), ("first type name", "func F() {}", "interface"), ("first identifier", "func (s *S) M() {}", "S.M"), ("first identifier", "type T int", "T"), ("first identifier", "x", "content"),
+        ("first quoted", 'function "F" already declared as "G"', "F"), ("hint", "NODE_NOT_FOUND", "look the symbol up to find its exact identifier"), ("hint", "NONE", ""),
+    ],
+)
+def _text_rules(spark):
+    rules = {"first type name": gotext.first_type_name, "first identifier": gotext.first_identifier, "first quoted": gotext.first_quoted, "hint": lambda code: EngineError(code).hint}
+    given = [("first type name", "// x\ntype T int"), ("first type name", "func F() {}"), *(("first identifier", t) for t in ("func (s *S) M() {}", "type T int", "x")), ("first quoted", 'function "F" already declared as "G"')]
+    return spark.createDataFrame([(rule, text, rules[rule](text)) for rule, text in [*given, ("hint", "NODE_NOT_FOUND"), ("hint", "NONE")]], "rule string, given string, result string")
+
+
+def _texts(spark: SparkSession, **texts: str) -> DataFrame:
+    return spark.createDataFrame(list(texts.items()), "kind string, text string")
+
+
+@_golden(
+    "graph_text",
+    ["kind", "text"],
+    [
+        ("plain", "pkg/domain → (none)\npkg/domain/store → pkg/domain\n"),
+        ("empty", "No Go packages found in 'nowhere'.\nHint: check that you're in the project root, or use '--dir <path>' to target a subdirectory.\n"),
+        ("symbols", "pkg/domain/store/store.go\n  type Store interface { Save; Load; Closer }\n  type Closer interface { Close }\n"),
+        ("none", "No Go files found in 'pkg'.\nHint: use '--dir <path>' to target a package directory, or '-r' to walk sub-packages.\n"),
+        ("children", "\nSub-packages (use -r to include): app, domain\n"),
+        ("tool", "_draft\n\nbroken\n\npkg/app\n\npkg/domain\n\npkg/domain/store\npkg/domain/store/store.go\n  type Store interface { Save; Load; Closer }\n  type Closer interface { Close }\n"),
+    ],
+)
+def _graph_text(spark):
+    shop = _shop(spark)
+    show = lambda o, **more: render.graph_text(graph(shop, o.implied()), o, **more)
+    return _texts(
+        spark,
+        plain=show(GraphOptions(dir="pkg/domain", summary=True, deps=True)),
+        empty=show(GraphOptions(dir="nowhere")),
+        symbols=show(GraphOptions(dir="pkg/domain/store", symbols=True)),
+        none=show(GraphOptions(dir="pkg", symbols=True)),
+        children=show(GraphOptions(dir="pkg", symbols=True), children=[r["name"] for r in sub_packages(shop, "pkg").collect()]),
+        tool=show(GraphOptions(focus="pkg/domain/store"), style="tool"),
+    )
+
+
+@_golden(
+    "symbol_text",
+    ["kind", "text"],
+    [
+        ("one", "Symbol: NewOrder\nFile: pkg/domain/order.go:15-17 (3 lines body)\nDoc:\nNewOrder makes an empty order.\nSignature:\nfunc NewOrder(id OrderID) *Order\n"),
+        ("many", "Found 2 matches for 'F'. Please refine your search:\n\nMatches (Functions):\n- F in a.go:2\n\nMatches (Structs):\n- F in b/b.go:2\n\nHint: refine with 'symbol query=F dir=.'.\n"),
+        ("none", "No symbols found matching 'Nope'.\n"),
+        ("report", "  Customer struct{} (lines 3-3)\n  func (c Customer) Name() string (lines 6-6)\n  Visitor = Customer (lines 8-8)\n"),
+    ],
+)
+def _symbol_text(spark):
+    shop, many = _shop(spark), Corpus.of_texts(spark, {"m": {"a.go": "package a\nfunc F() {}\n", "b/b.go": "package b\ntype F int\n"}})
+    return _texts(
+        spark,
+        one=render.symbol_text(symbols.resolve(shop, "NewOrder"), "NewOrder"),
+        many=render.symbol_text(symbols.resolve(many, "F"), "F"),
+        none=render.symbol_text(symbols.resolve(shop, "Nope"), "Nope"),
+        report=render.report_text(symbols.file_report(shop, "pkg/domain/customer.go")),
+    )
+
+
+@_golden(
+    "outcome_text",
+    ["kind", "text"],
+    [
+        ("done", 'WARNING: update_func: identifier "Gone" not found in a.go, treated as add_func\nSUCCESS: 1 file(s) modified\n'),
+        ("failed", "[NODE_NOT_FOUND] node not found\nHint: look the symbol up to find its exact identifier\n"),
+    ],
+)
+def _outcome_text(spark):
+    done, failed = Action("update_func", "a.go", identifier="Gone", content="func Gone() {}"), Action("delete_func", "a.go", identifier="Nope")
+    return _texts(spark, done=render.outcome_text(_run(spark, done)[1]), failed=render.outcome_text(_run(spark, failed)[1]))
+
+
+# -- trees on disk -------------------------------------------------------------------------------------------
+def _on_disk(spark: SparkSession) -> dict[str, str]:
+    """The shop as files below the folder that driver and executors share."""
+    root = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/golden-shop"
+    tree = {**fixtures.SHOP, "_under.go": "package x\n", ".dot.go": "package x\n", "readme.md": "no"}
+    write_tree(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in tree.items()], "path string, content binary").coalesce(1), root)
+    return {"disk": root}
+
+
+@_golden("source_files", ["repo", "path"], [("disk", p) for p in sorted([".dot.go", "_under.go", *(p for p in fixtures.SHOP if not p.startswith((".cache", "vendor")))])])
+def _source_files(spark):
+    return Corpus.of_roots(spark, _on_disk(spark), batch="3").files
+
+
+@_golden("source_directory", ["path"], [("pkg/app/doc.go",), ("pkg/app/service.go",)])
+def _source_directory(spark):
+    return Corpus.of_roots(spark, _on_disk(spark), dir="pkg/app", recursive="false").go_files
+
+
+@_golden("source_pruned", ["n", "path", "deps"], [(1, ".", None), (2, "_draft", None), (3, "pkg/domain", None)])
+def _source_pruned(spark):
+    rows = graph(Corpus.of_roots(spark, _on_disk(spark)), GraphOptions(deps=True, exclude=("a*", "b*"), depth=2))
+    return rows.select(F.col("ord").alias("n"), "path", F.array_join("deps", ",").alias("deps"))
+
+
+@_golden("source_symbols", ["file", "name", "signature"], [("pkg/domain/order.go", "NewOrder", "func NewOrder(id OrderID) *Order")])
+def _source_symbols(spark):
+    return symbols.find_symbols(Corpus.of_roots(spark, _on_disk(spark)), symbols.SymbolQuery("NewOrder"))
+
+
+@_golden("written_and_read", ["path", "content"], [("n/n.go", "package n\n\nfunc N() {}\n")])
+def _written_and_read(spark):
+    root = f"{_on_disk(spark)['disk']}-written"
+    changed, _ = edits.run_action(_edits(spark), Action("add_func", "n/n.go", package="n", content="func N() {}"), "a")
+    edits.settle(_edits(spark), changed, "write", root)
+    return _text(Corpus.of_roots(spark, {"w": root}).files)

@@ -61,9 +61,9 @@ def k_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that were not shipped in January 1996."""
-    shipped = _table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1996-01-01' and l_shipdate < timestamp_ntz'1996-02-01'").select(F.col("l_partkey").alias("p_partkey"))
-    return _table(spark, sf_dir, "part").join(shipped, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    """Customers that no event names as its user."""
+    seen = _table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
+    return _table(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def k_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +74,9 @@ def k_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two readings of a name, one after the other, duplicates kept."""
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return rows.where("c_custkey % 10 = 3").unionByName(rows.where("c_custkey % 15 = 3"))
+    """Two readings of a name, here as a segment or as a nation, one after the other, duplicates kept."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return rows.where("c_mktsegment = 'BUILDING'").unionByName(rows.where("c_nationkey = 3")).select("c_custkey", "c_name")
 
 
 def k_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +114,9 @@ ORACLE = {
         SELECT doc_id, md5(coalesce(string_agg(i || ': ' || line, chr(10) ORDER BY i) FILTER (WHERE regexp_matches(line, '[^\s\p{Z}]')), '')) AS code_md5,
           count(*) FILTER (WHERE regexp_matches(line, '[^\s\p{Z}]')) AS n_lines
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id""",
-    "k_missing": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-02-01')",
+    "k_missing": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)",
     "k_conflict": "SELECT o_orderkey, o_orderkey % 7 + 1 AS expected, got FROM orders JOIN (SELECT l_orderkey, count(*) AS got FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE got <> o_orderkey % 7 + 1",
-    "k_union": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 = 3 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 15 = 3",
+    "k_union": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3",
     "k_snake": r"""
         SELECT p_partkey, camel, lower(regexp_replace(regexp_replace(camel, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake
         FROM (SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || w[2:]), 'string_agg', '') AS camel FROM part)""",
@@ -126,5 +126,5 @@ ORACLE = {
     "k_signatures": """
         SELECT 'N' || c_nationkey AS name, CASE WHEN count(*) <= 5 THEN 'type N' || c_nationkey || ' struct { ' || string_agg(c_name || ' ' || c_mktsegment, '; ' ORDER BY c_name, c_mktsegment) || ' }'
           ELSE 'type N' || c_nationkey || ' struct {' || chr(10) || string_agg('    ' || c_name || ' ' || c_mktsegment, chr(10) ORDER BY c_name, c_mktsegment) || chr(10) || '}' END AS signature
-        FROM customer WHERE c_custkey <= 400 GROUP BY c_nationkey""",
+        FROM customer GROUP BY c_nationkey""",
 }
