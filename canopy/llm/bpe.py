@@ -112,15 +112,15 @@ class WordBpe:
                 lengths.append(len(raw))
         self._tokens, self._token_ids = HashTable(np.array(hashes, np.uint64)), np.array(ids, np.int64)
         self._lengths = sorted(set(lengths), reverse=True)
-        self._known: dict[str, tuple[str, str]] = {}
+        self._known: dict[str, str] = {}
         self._counts: dict[str, int] = {}
         shown = [bytes(unletter[c] for c in (t.removesuffix(self.end) if i not in self.special.values() else "")) for i, t in sorted(self.names.items())]
         assert [*self.names] and sorted(self.names) == list(range(size))
         self._token_size = np.array([len(b) for b in shown], np.int64)
         self._token_start = np.cumsum(self._token_size) - self._token_size
         self._token_bytes = np.frombuffer(b"".join(shown), np.uint8)
-        self._name = [self.names[i] for i in range(size)]
         self._digits = [str(i) for i in range(size)]
+        self._shown = {str(i): self.names[i] for i in range(size)}
 
     # -- words ------------------------------------------------------------------------------------
     def words(self, text: str) -> list[str]:
@@ -303,17 +303,22 @@ class WordBpe:
             out[w] = merged
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
-        """(ids as text, token strings) of each word, through the worker's memory."""
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """The ids of each word as text, through the worker's memory."""
         if len(self._known) > CACHE_WORDS:
             self._known = {}
-        known, digits, name = self._known, self._digits, self._name
+        known, digits = self._known, self._digits
         new = [w for w in words if w not in known]
-        long: dict[str, tuple[str, str]] = {}
+        long: dict[str, str] = {}
         for word, ids in zip(new, self.encode_words(new), strict=True):
-            (known if len(word) <= CACHE_WORD_CHARS else long)[word] = (" ".join([digits[i] for i in ids]), " ".join([name[i] for i in ids]))
+            (known if len(word) <= CACHE_WORD_CHARS else long)[word] = " ".join([digits[i] for i in ids])
         return known | long if long else known
 
+    def decode(self, ids: str) -> str:
+        """The text that ids, as text, stand for: the strings of all tokens, special ones too, joined as the vocabulary
+        file (which names no decoder) has it."""
+        return " ".join(map(self._shown.__getitem__, ids.split(" "))) if ids else ""
+
     # -- texts ------------------------------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
         """Words and special strings of a whole text, in order; special ones are looked up by themselves."""
@@ -346,15 +351,14 @@ class WordBpe:
         try:
             cut = [self.pieces(t) if t else [] for t in texts]
             words = set().union(*cut)
-            marked = {"\0" + name: (str(i), name) for name, i in self.special.items()} if any(w[0] == "\0" for w in words) else {}
+            marked = {"\0" + name: str(i) for name, i in self.special.items()} if any(w[0] == "\0" for w in words) else {}
             known = self.learn(words.difference(marked))
             if marked:
                 known = known | marked
             out = []
             for ws in cut:
-                got = [known[w] for w in ws]
-                ids = " ".join([g[0] for g in got])
-                out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([g[1] for g in got])))
+                ids = " ".join([known[w] for w in ws])
+                out.append((ids.count(" ") + 1 if ids else 0, ids, self.decode(ids)))
             return out
         finally:
             if collecting:
@@ -436,6 +440,6 @@ def lengths(docs: DataFrame, vocabulary: str, text_column: str = "text") -> Data
 
 
 def decode(ids: list[int], vocabulary: str) -> str:
-    """The token strings of the ids, joined as the vocabulary file (which names no decoder) has it."""
-    names = encoder(vocabulary).names
-    return " ".join(names[i] for i in ids if i in names)
+    """The text that a list of ids stands for; ids that the vocabulary does not have stand for nothing."""
+    own = encoder(vocabulary)
+    return own.decode(" ".join(str(i) for i in ids if i in own.names))
