@@ -24,10 +24,8 @@ from pyspark.sql import functions as F
 from canopy.llm.common import checkpointed, unused
 
 WINDOW = 10
-#: Bytes of windows, with their item ids, that are broadcast; more are shuffled, each to SALTS places.
+#: Bytes of windows, or of matches, with their item ids, that are broadcast; more are shuffled, windows to SALTS places each.
 BROADCAST_BYTES, SALTS = 64 << 20, 8
-#: Matches up to this number are broadcast to pick their documents; more are shuffled.
-BROADCAST_MATCHES = 200_000
 #: What separates words once A-Z are lower-cased.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,34 +106,34 @@ def _probed(rows: DataFrame, probes: DataFrame, lengths: list[int], small: bool,
     return met.select("doc_id", "doc_key", "n_words", "start", "win_length", "win_text", "item_ids")
 
 
+def _placed(runs: str, length: int) -> Column:
+    return F.transform(runs, lambda x, i: F.struct(i.alias("start"), F.lit(length).alias("win_length"), x.alias("win_text")))
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, window: int, clean: bool) -> tuple[DataFrame, DataFrame, bool]:
     """(doc_id, doc_key, n_words of every row if `clean`; doc_id, doc_key, hits, item_ids of each different document
     with hits; whether the latter are few enough to be broadcast)."""
     probes = checkpointed(benchmark_windows(benchmark, text_column=text_column, window=window))
-    size = F.sum(F.octet_length("win_text") + F.aggregate("item_ids", F.lit(0), lambda n, x: n + F.octet_length(x) + 8) + 40)
-    sizes = {r["win_length"]: r["n"] for r in probes.groupBy("win_length").agg(size.alias("n")).collect()}  # at most `window` rows
+    ids = F.aggregate("item_ids", F.lit(0), lambda n, x: n + F.octet_length(x) + 8)
+    sizes = {r["win_length"]: r["n"] for r in probes.groupBy("win_length").agg(F.sum(F.octet_length("win_text") + ids + 40).alias("n")).collect()}  # at most `window` rows
     texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("doc_key"), F.col(text_column).alias("text"))
     rows = texts.select("doc_id", "doc_key", words(F.col("text")).alias("w"))
     met = checkpointed(_probed(rows, probes, sorted(sizes), sum(sizes.values()) <= BROADCAST_BYTES, clean))
-    matches = met.where("start is not null").groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "win_length", "win_text", "item_ids")).alias("found"))
-    few = met.where("start is not null").count() <= BROADCAST_MATCHES
-    keys = matches.select(F.col("doc_id").alias("want_id"), F.col("doc_key").alias("want_key"))
-    keys = F.broadcast(keys) if few else keys
-    matched = texts.join(keys, texts["doc_id"].eqNullSafe(keys["want_id"]) & (texts["doc_key"] == keys["want_key"]), "left_semi").dropDuplicates(["doc_id", "doc_key"])
-    at = matches.withColumnsRenamed({"doc_id": "want_id", "doc_key": "want_key"})
-    both = matched.join(at, matched["doc_id"].eqNullSafe(at["want_id"]) & (matched["doc_key"] == at["want_key"])).select("doc_id", "doc_key", words(F.col("text")).alias("w"), "found")
-    both = _spelled(both, sorted(sizes))
-
-    def there(m: Column) -> Column:
-        text: Column = F.lit(None).cast("string")
-        for n in sizes:
-            text = F.when(m["win_length"] == n, F.get(f"run{n}", m["start"])).otherwise(text)
-        return text == m["win_text"]
-
-    both = both.select("doc_id", "doc_key", F.filter("found", there).alias("found")).where(F.size("found") > 0)
+    matches = met.where("start is not null").select(F.col("doc_id").alias("want_id"), F.col("doc_key").alias("want_key"), "start", "win_length", "win_text", "item_ids").distinct()
+    few = matches.agg(F.coalesce(F.sum(F.octet_length("win_text") + ids + 64), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_BYTES
+    share = F.broadcast if few else lambda df: df
+    # the documents with matches are read again, and their runs compared with the windows as text
+    keys = share(matches.select("want_id", "want_key").distinct())
+    matched = texts.join(keys, texts["doc_id"].eqNullSafe(keys["want_id"]) & (texts["doc_key"] == keys["want_key"]), "left_semi")
+    spelled = _spelled(matched.select("doc_id", "doc_key", words(F.col("text")).alias("w")), sorted(sizes))
+    runs = [_placed(f"run{n}", n) for n in sizes]
+    runs = F.concat(*runs) if runs else F.array().cast("array<struct<start:int,win_length:int,win_text:string>>")
+    spelled = spelled.select("doc_id", "doc_key", F.explode_outer(runs).alias("r")).select("doc_id", "doc_key", "r.*")
+    same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("doc_key") == F.col("want_key"))
+    real = spelled.join(share(matches.withColumnsRenamed({c: f"want_{c}" for c in ("start", "win_length", "win_text")})), same & (F.col("start") == F.col("want_start")) & (F.col("win_length") == F.col("want_win_length")) & (F.col("win_text") == F.col("want_win_text")))
+    found = real.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "win_length")).alias("found"), F.collect_set("item_ids").alias("ids"))
     covered = F.flatten(F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["win_length"] - 1)))
-    ids = F.flatten(F.transform("found", lambda m: m["item_ids"]))
-    hit = both.select("doc_id", "doc_key", F.array_sort(F.array_distinct(covered)).alias("hits"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
+    hit = found.select("doc_id", "doc_key", F.array_sort(F.array_distinct(covered)).alias("hits"), F.array_sort(F.array_distinct(F.flatten("ids"))).alias("item_ids"))
     return met.where("start is null").select("doc_id", "doc_key", F.col("n_words").cast("long").alias("n_words")), hit, few
 
 
