@@ -628,3 +628,23 @@ def _written_and_read(spark):
     changed, _ = edits.run_action(_edits(spark), Action("add_func", "n/n.go", package="n", content="func N() {}"), "a")
     edits.settle(_edits(spark), changed, "write", root)
     return _text(Corpus.of_roots(spark, {"w": root}).files)
+
+
+@_golden(
+    "written_in_layout",
+    ["path", "content"],
+    [
+        (
+            "fake/m.go",
+            "package fake\n\ntype M struct {\n\tEachFunc func(f func(Order d.Order) bool, more ...d.Order)\n\tOneFunc  func() (err error)\n\tSaveFunc func(x int, y int) (n int, m int)\n}\n"
+            '\nfunc (m *M) Each(f func(Order d.Order) bool, more ...d.Order) {\n\tif m.EachFunc == nil {\n\t\tpanic("M.EachFunc not set")\n\t}\n\tm.EachFunc(f, more...)\n}\n'
+            '\nfunc (m *M) One() error {\n\tif m.OneFunc == nil {\n\t\tpanic("M.OneFunc not set")\n\t}\n\treturn m.OneFunc()\n}\n'
+            '\nfunc (m *M) Save(x int, y int) (n int, m int) {\n\tif m.SaveFunc == nil {\n\t\tpanic("M.SaveFunc not set")\n\t}\n\treturn m.SaveFunc(x, y)\n}\n'
+            "\nvar _ d.Store = (*M)(nil)\n",
+        )
+    ],
+)
+def _written_in_layout(spark):
+    root = f"{_on_disk(spark)['disk']}-mock"
+    write_tree(interfaces.mock(_trees(spark), "d.Store", "M", "fake/m.go", repo="x")[0], root)
+    return _text(Corpus.of_roots(spark, {"w": root}).files)

@@ -76,11 +76,14 @@ def run_action(corpus: Corpus, action: Action, repo: str | None = None) -> tuple
 
 
 def actions_frame(corpus: Corpus, actions: list[Action], repo: str | None = None) -> DataFrame:
+    """The actions as rows: for one tree, or for every tree of the corpus."""
     rows = [tuple([repo, i] + [getattr(a, k) for k in schemas.ACTIONS.fieldNames()[2:]]) for i, a in enumerate(actions)]
-    frame = corpus.spark.createDataFrame(rows, schemas.ACTIONS)
-    if repo is None:  # for every tree of the corpus
-        frame = frame.drop("repo").join(corpus.files.select(F.concat("repo", F.lit("")).alias("repo")).distinct(), how="cross").select(*schemas.ACTIONS.fieldNames())  # trees x a plan's actions
-    return frame
+    if repo is not None or not rows:
+        return corpus.spark.createDataFrame(rows, schemas.ACTIONS)
+    names = [f for f in schemas.ACTIONS.fields if f.name != "repo"]
+    listed = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(names, row[1:], strict=True)]) for row in rows])
+    trees = corpus.files.select(F.concat("repo", F.lit("")).alias("repo")).distinct()  # a column of its own: plans meet the files again
+    return trees.select("repo", F.explode(listed).alias("a")).select("repo", "a.*")
 
 
 def _command(corpus: Corpus, path: str, repo: str | None, run: Callable[[Tree], str], other: str = "") -> tuple[DataFrame, DataFrame]:

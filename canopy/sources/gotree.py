@@ -27,6 +27,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from canopy.functions.globs import glob_match
+from canopy.functions.goformat import formatted
 
 #: Bytes of the files of a task, and of a batch of rows on its way to the executor.
 BATCH_BYTES, ROWS_BYTES = 64 << 20, 4 << 20
@@ -145,14 +146,15 @@ def register(spark: SparkSession) -> None:
 
 
 def write_tree(files, root: str) -> None:
-    """Write the changed files of an edit (path, content) below a shared root, one file per row."""
+    """Write the changed files of an edit (path, content) below a shared root, one file per row; Go files in
+    their formatter's layout."""
 
     def save(rows) -> None:
         for row in rows:
             target = os.path.join(root, row["path"])
             os.makedirs(os.path.dirname(target) or ".", mode=0o755, exist_ok=True)
             with open(f"{target}.part", "wb") as f:
-                f.write(bytes(row["content"]))
+                f.write(formatted(bytes(row["content"])) if row["path"].endswith(".go") else bytes(row["content"]))
             os.replace(f"{target}.part", target)  # a retried task overwrites with the same bytes
 
     files.select("path", "content").foreachPartition(save)

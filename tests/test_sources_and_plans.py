@@ -8,6 +8,7 @@ from canopy import fixtures
 from canopy.functions import gotext as g
 from canopy.functions.edit_rules import Action, Tree
 from canopy.functions.globs import glob_match
+from canopy.functions.goformat import formatted
 from canopy.functions.gotypes import type_string
 from canopy.operators import edits, interfaces, render, symbols
 from canopy.operators.graph import GraphOptions, graph
@@ -146,6 +147,22 @@ def test_types_are_printed_as_a_checker_does():
         assert show(source) == want, source
 
 
+def test_layout_of_written_source():
+    source = (
+        'package a\n\n\n\nimport (\n\t"testing"\n\t"github.com/x/assert"\n\tfoo "github.com/x/aaa"\n\t"context"\n)\n\n\ntype T struct {\n\tA int\n\tLong, B map[string]int `json:"x"`\n\tC string  `y:"z"`\n\n\tD   func() (int, error)\n'
+        "\tEmbedded\n\tE  int // note\n}\n\nfunc (m *T) Close()  {   \n\ts := `raw   \n\n\n x`\n\t// c\n\treturn\n}\n\n\n"
+    )
+    want = (
+        'package a\n\nimport (\n\t"context"\n\t"testing"\n\n\tfoo "github.com/x/aaa"\n\t"github.com/x/assert"\n)\n\ntype T struct {\n\tA       int\n\tLong, B map[string]int `json:"x"`\n\tC       string         `y:"z"`\n\n\tD func() (int, error)\n'
+        "\tEmbedded\n\tE  int // note\n}\n\nfunc (m *T) Close() {\n\ts := `raw   \n\n\n x`\n\t// c\n\treturn\n}\n"
+    )
+    assert formatted(source.encode()).decode() == want and formatted(want.encode()).decode() == want
+    for same in ("package a\n\nimport (\n\t// b\n\t\"b\"\n\t\"a\"\n)\n", "package a\n\nfunc (\n", "no go   \n\n\n"):
+        assert formatted(same.encode()).decode() == same
+    for text in fixtures.SHOP.values():
+        assert formatted(formatted(text.encode())) == formatted(text.encode())
+
+
 def test_trees_and_packages_that_share_names_stay_apart(spark):
     trees = {
         "x": {"go.mod": "module m/x\n", "d/d.go": "package d\n\ntype Store interface{ Save() }\n", "e/d/d.go": "package d\n\ntype Store interface{ Other() }\n", "t/t.go": "package t\n\ntype T int\n"},
