@@ -61,7 +61,7 @@ def labelled_passages(rows: DataFrame, docs: int, chars: int, total: int, most_l
     drawn = drawn.select("label", draw.alias("draw"), F.xxhash64("text").alias("key"), F.substr("text", start.cast("int"), F.lit(chars)).alias("text"))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw", "key"))).where(F.col("rank") <= each)
     out: dict[object, list[str]] = {}
-    for row in ranked.select("label", "rank", "text").orderBy("label", "rank").collect():  # at most `total` characters
+    for row in sorted(ranked.select("label", "rank", "text").collect(), key=lambda r: r["rank"]):  # at most `total` characters
         out.setdefault(row["label"], []).append(row["text"])
     return out
 
