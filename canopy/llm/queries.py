@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, chat, decontaminate, language_id, neighbours, near_dedup, packing, pii, sharding, token_histogram, toxicity
+from canopy.llm import bpe, chat, decontaminate, language_id, neighbours, near_dedup, packing, pii, sharding, spelling, token_histogram, toxicity
 from canopy.llm.common import documents
 
 
@@ -73,13 +73,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), bpe.default_vocabulary()).drop("text")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(documents(spark, sf_dir).select("doc_id", "text"), packing.default_vocabulary())
     packed = packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_near_duplicates, op6_sharding, op7_token_counts, op8_pii, op9_toxicity, op10_bpe, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_near_duplicates, op6_sharding, op7_token_counts, op8_pii, op9_toxicity, op10_bpe, op12_spelling_variants, op13_packing)}
 
 _OP1_SQL = r"""
 WITH rows AS (
