@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import bpe, chat, decontaminate, language_id, neighbours, near_dedup, packing, pii, sharding, spelling, token_histogram, toxicity
+from canopy.llm import bpe, chat, decontaminate, language_id, lexical_search, neighbours, near_dedup, packing, pii, sharding, spelling, token_histogram, toxicity
 from canopy.llm.common import documents
 
 
@@ -73,6 +73,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), bpe.default_vocabulary()).drop("text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.groups(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -84,7 +88,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_near_duplicates, op6_sharding, op7_token_counts, op8_pii, op9_toxicity, op10_bpe, op12_spelling_variants, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_near_duplicates, op6_sharding, op7_token_counts, op8_pii, op9_toxicity, op10_bpe, op11_lexical_search, op12_spelling_variants, op13_packing)}
 
 _OP1_SQL = r"""
 WITH rows AS (
@@ -127,4 +131,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN words_hit USING (k) LEFT JOIN items_hit USING (k)
 """
 
-ORACLE_SQL = {"op1_chat_formatting": _OP1_SQL, "op3_decontamination": _OP3_SQL}
+_OP11_SQL = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), sizes AS (
+  SELECT k, doc_id, len(w) AS n, w FROM doc_terms WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), postings AS (
+  SELECT k, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT k, doc_id, n, unnest(w) AS term FROM sizes) GROUP BY k, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), item_terms AS (
+  SELECT q, item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+  FROM (SELECT row_number() OVER () AS q, * FROM benchmark)
+), scored AS (
+  SELECT q, any_value(item_id) AS item_id, k, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM item_terms JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY q, k
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, k) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op11_lexical_search": _OP11_SQL, "op1_chat_formatting": _OP1_SQL, "op3_decontamination": _OP3_SQL}
