@@ -1,20 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Two models, one of toxic and one of ordinary documents, give every word a likelihood after the word before it.
-Each interpolates its own discounted bigrams with its own discounted continuation counts (the number of
-different words that a word was seen after), and these with a base that both share: the continuation
-counts of both classes together. The discounts are large (several counts, fitted), and as large a share of each
-class's counts in both, so that the base gets the same weight in both. So a word that neither class has often cancels out
-of the comparison, instead of telling which class happened to have it in its sample, and a rare expression counts
-only by what the two classes differ in.
-
-What is compared are the two log-likelihoods of the whole text, divided by its words, and those of each passage of
-PASSAGE words in it, divided by these: a text of 20,000 words with one toxic passage is as toxic as this passage, which
-vanishes in the mean. A logistic curve over the text's and the largest passage's difference, fitted on documents whose counts
-were not taken (two folds; near copies fall into the same one), gives a score between 0 and 1. The discounts with
-the least loss on these documents are taken.
-
-Cases: a null or wordless text scores as the curve does at no difference; with no labelled rows of one class every
+Two models, one of toxic and one of ordinary documents, give every word a probability: what a discount leaves of the
+class's own count of the word, after the word before it and by itself, and with what the discounts free, in
+that order, the continuation probability that both classes share (how many different words a word
+was seen after, in both together, itself discounted). So a rare expression is smoothed by the same shared counts in both
+models and tells nothing. A discount is a few counts plus a multiple of what the pooled counts of both classes
+let one expect in this class; so a frequent word tells only what it occurs more often than that, and that the classes were
+sampled from somewhat different languages or subjects does not add up over a long text.
+
+The score is a rising curve of one quantity alone: the difference of the two log-likelihoods of a text, divided by its
+words. A text of more than PASSAGE words is taken by passages of so many consecutive words, and the largest
+difference of them counts, as one toxic passage would vanish in the mean of 20,000 words. The curve is a
+logistic one whose slope is at least 0, fitted on documents that were not counted (two folds; near copies fall into the same
+one); of the discounts that are tried, those with the least loss on these documents are taken.
+
+Cases: a null or wordless text scores as a word does that was never seen; with no labelled rows of one class every
 score is 0; rows are scored one by one, so repeated rows repeat the answer; of several labels of one document the
 highest counts; texts of any length are scored whole; an empty table gives no rows; other columns pass through, and of
 those named score or predicted the new ones replace the old.
@@ -36,11 +36,11 @@ from canopy.llm.near_dedup import mix, word_hashes
 SAMPLE_DOCS = 3000
 #: Characters of such a passage (texts are scored whole), and of all together.
 SAMPLE_PASSAGE, SAMPLE_CHARS = 1 << 14, 1 << 26
-#: Words that are compared together.
-PASSAGE = 4
-#: What is tried: discounts of the words (in the class with fewer counts) and how much larger those of bigrams are; an
-#: infinite one leaves words alone. The discount of the shared base.
-DISCOUNTS, SHARED_DISCOUNT = ((1.0, np.inf), (2.0, np.inf), (4.0, np.inf), (8.0, np.inf), (4.0, 8.0)), 0.75
+#: Words of a long text that are compared together.
+PASSAGE = 200
+#: What is tried: counts that a discount of words takes at least, multiple of the expected count that it takes besides, and
+#: counts that one of bigrams takes at least (infinite: words alone). The discount of the shared base.
+DISCOUNTS, SHARED_DISCOUNT = ((2.0, 1.5, np.inf), (4.0, 1.5, np.inf), (8.0, 1.5, np.inf), (4.0, 2.0, np.inf), (4.0, 1.5, 8.0)), 0.75
 _BEGIN = np.uint64(0x5BD1E9955BD1E995)
 _LEFT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,7 +58,12 @@ def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * _LEFT + words)
 
 
-class Bigrams:
+def _totals(keys: np.ndarray, among: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Sum of values (or number) for each key of the sorted `among`, which holds them all."""
+    return np.bincount(np.searchsorted(among, keys), values, len(among)).astype(float)
+
+
+class Counts:
     """Different bigrams of some texts, with how often each occurs."""
 
     def __init__(self, before: np.ndarray, words: np.ndarray):
@@ -66,106 +71,99 @@ class Bigrams:
         self.before, self.words = before[at], words[at]
 
 
-def freed(counts: np.ndarray, discount: float) -> float:
-    """The share of all counts that a discount takes away."""
-    return float(np.minimum(counts, discount).sum() / max(1, counts.sum()))
-
-
-def discount_for(counts: np.ndarray, share: float) -> float:
-    """The discount that frees this share."""
-    low, high = 0.0, float(counts.max(initial=1))
-    for _ in range(50):
-        middle = (low + high) / 2
-        low, high = (middle, high) if freed(counts, middle) < share else (low, middle)
-    return high
-
-
-def _totals(keys: np.ndarray, among: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of values for each key of the sorted `among`."""
-    return np.bincount(np.searchsorted(among, keys), values, len(among))
+def _discounted(counts: list[np.ndarray], places: np.ndarray, n: int, least: float, multiple: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of the counts of each class, dealt to n contexts by places: what the discount leaves, and the share of each
+    context that it frees. An entry's discount is `least` counts and a multiple of what the context's count in this class
+    lets one expect by the counts of both together; a context without counts frees everything."""
+    sizes = [np.bincount(places, c, n) for c in counts]
+    share = sum(counts) / np.maximum(sum(sizes), 1)[places]
+    left = [np.maximum(c - least - multiple * share * size[places], 0) for c, size in zip(counts, sizes, strict=True)]
+    return [x / np.maximum(size, 1)[places] for x, size in zip(left, sizes, strict=True)], [1 - np.bincount(places, x, n) / np.maximum(size, 1) for x, size in zip(left, sizes, strict=True)]
 
 
 class KneserNey:
     """Log ratios, toxic to ordinary, of every word after every word."""
 
-    def __init__(self, toxic: Bigrams, ordinary: Bigrams, discount: float | None = None, weight: float = 0.5, larger: float = 1.0):
-        """The base gets `weight`, or what a discount of the class with fewer counts frees for it; discounts of bigrams are
-        `larger` times those of words."""
+    def __init__(self, toxic: Counts, ordinary: Counts, least: float, multiple: float, least_pairs: float = np.inf):
         both = (toxic, ordinary)
         vocabulary = np.unique(np.concatenate([c.words for c in both]))
-        shared = _totals(np.concatenate([toxic.words, ordinary.words[~np.isin(ordinary.keys, toxic.keys)]]), vocabulary, None)
-        # the base: one more word stands for all that were never seen
-        spared = SHARED_DISCOUNT * len(vocabulary) / shared.sum()
-        base = (shared - SHARED_DISCOUNT) / shared.sum() + spared / (len(vocabulary) + 1)
-        follows = [_totals(c.words, vocabulary, None) for c in both]  # continuation counts
-        few = min(follows, key=lambda n: n.sum())
-        self.weight = weight = weight if discount is None else freed(few[few > 0], discount)
-        self.discounts = [discount_for(n[n > 0], weight) for n in follows]
-        alone = [np.maximum(n - d, 0) / n.sum() + weight * base for n, d in zip(follows, self.discounts, strict=True)]
+        # the shared base: different words before each word in both classes; one more word stands for all never seen
+        follows = _totals(np.concatenate([toxic.words, ordinary.words[~np.isin(ordinary.keys, toxic.keys)]]), vocabulary)
+        spared = SHARED_DISCOUNT * len(vocabulary) / follows.sum()
+        base = (follows - SHARED_DISCOUNT) / follows.sum() + spared / (len(vocabulary) + 1)
+        counts = [_totals(c.words, vocabulary, c.counts) for c in both]
+        left, free = _discounted(counts, np.zeros(len(vocabulary), np.int64), 1, least, multiple)
+        alone = [x + f[0] * base for x, f in zip(left, free, strict=True)]
         single = np.log(alone[0] / alone[1])
-        # bigrams: what discounts leave of them, with the share that goes to the words alone raised to that of the other
-        # class; a context that has nothing left in one class tells nothing
-        contexts = np.unique(np.concatenate([c.before for c in both]))
-        left = [np.maximum(c.counts - d * larger, 0) for c, d in zip(both, self.discounts, strict=True)]
-        seen, rest = ([_totals(c.before, contexts, n) for c, n in zip(both, counts, strict=True)] for counts in ([c.counts for c in both], left))
-        free = np.max([1 - r / np.maximum(n, 1) for r, n in zip(rest, seen, strict=True)], axis=0)
-        kept = [(n > 0) & (free[np.searchsorted(contexts, c.before)] < 1) for c, n in zip(both, left, strict=True)]
-        keys, at = np.unique(np.concatenate([c.keys[k] for c, k in zip(both, kept, strict=True)]), return_index=True)
-        before, words = (np.concatenate([getattr(c, name)[k] for c, k in zip(both, kept, strict=True)])[at] for name in ("before", "words"))
-        place, word = np.searchsorted(contexts, before), np.searchsorted(vocabulary, words)
-        logs = []
-        for c, n, r, p in zip(both, left, rest, alone, strict=True):
-            own = np.minimum(np.searchsorted(c.keys, keys), len(c.keys) - 1)
-            count = np.where(c.keys[own] == keys, n[own], 0)
-            logs.append(np.log((1 - free[place]) * count / np.maximum(r[place], 1e-9) + free[place] * p[word]))
-        self.pairs, self.pair_ratio = HashTable(keys, 0.5), logs[0] - logs[1]
-        telling = np.abs(single) > 1e-12
-        self.words, self.word_ratio = HashTable(vocabulary[telling], 0.5), single[telling]
-        # a word after a context with other bigrams is left to the words alone, with the same share in both classes
+        self.unseen = float(np.log(free[0][0] / free[1][0]))  # the base alone, which is the same in both
+        telling = np.abs(single - self.unseen) > 1e-12
+        self.words, self.word_ratio = HashTable(vocabulary[telling], 0.5), single[telling] - self.unseen
+        self.pairs = self.contexts = None
+        if np.isfinite(least_pairs):
+            keys, at = np.unique(np.concatenate([c.keys for c in both]), return_index=True)
+            before, words = (np.concatenate([getattr(c, name) for c in both])[at] for name in ("before", "words"))
+            contexts, place = np.unique(before, return_inverse=True)
+            left, free = _discounted([_totals(c.keys, keys, c.counts) for c in both], place, len(contexts), least_pairs, multiple)
+            word = np.searchsorted(vocabulary, words)
+            ratio = np.log((left[0] + free[0][place] * alone[0][word]) / (left[1] + free[1][place] * alone[1][word]))
+            kept = (left[0] > 0) | (left[1] > 0)  # for other pairs only the shares differ, by context
+            own = np.log(free[0] / free[1])
+            self.pairs, self.pair_ratio = HashTable(keys[kept], 0.5), ratio[kept]
+            self.contexts, self.context_ratio = HashTable(contexts[own != 0], 0.5), own[own != 0]
 
     def ratios(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary)."""
-        out = np.zeros(len(words))
-        for table, values, keys in ((self.words, self.word_ratio, words), (self.pairs, self.pair_ratio, pair_keys(before, words))):
-            at = table.lookup(keys)
-            hit = at >= 0
-            out[hit] = values[at[hit]]
+        out = np.full(len(words), self.unseen)
+        at = self.words.lookup(words)
+        out[at >= 0] += self.word_ratio[at[at >= 0]]
+        if self.pairs is not None:
+            at = self.contexts.lookup(before)
+            out[at >= 0] += self.context_ratio[at[at >= 0]]
+            at = self.pairs.lookup(pair_keys(before, words))
+            out[at >= 0] = self.pair_ratio[at[at >= 0]]
         return out
 
 
-def differences(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Of each text: the difference of its log-likelihoods over its words, and the largest of a passage over PASSAGE."""
-    out = np.zeros((len(bounds) - 1, 2))
+def differences(ratios: np.ndarray, bounds: np.ndarray, empty: float, passage: int = PASSAGE) -> np.ndarray:
+    """Of each text: the difference of its log-likelihoods over its words; of a text of more than `passage` words the
+    largest such difference of so many consecutive ones. `empty` is that of a text without words."""
+    out = np.full(len(bounds) - 1, empty)
     some = np.flatnonzero(np.diff(bounds))
     if len(some):
         sums = np.r_[0, np.cumsum(ratios)]
         starts, sizes = bounds[some], np.diff(bounds)[some]
-        begins = np.maximum(np.arange(len(ratios)) + 1 - PASSAGE, np.repeat(starts, sizes))
-        out[some, 0] = (sums[starts + sizes] - sums[starts]) / sizes
-        out[some, 1] = np.maximum.reduceat(sums[1:] - sums[begins], starts) / PASSAGE
+        width = np.minimum(sizes, passage)
+        # by the last word of each passage; words before a whole passage ends count as nothing
+        ends = np.arange(len(ratios)) + 1
+        wide = np.repeat(width, sizes)
+        whole = ends - np.repeat(starts, sizes) >= wide
+        means = np.where(whole, (sums[ends] - sums[np.maximum(ends - wide, 0)]) / wide, -np.inf)
+        out[some] = np.maximum.reduceat(means, starts)
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, toxic: float, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights (intercept first) of a ridge logistic curve for classes of which `toxic` is the first one's share, and
-    its mean loss."""
-    x = np.c_[np.ones(len(x)), x]
+def logistic(x: np.ndarray, y: np.ndarray, toxic: float, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, float, float]:
+    """(intercept, slope of at least 0, mean loss) of a ridge logistic curve for classes of which `toxic` is the first
+    one's share."""
     weight = np.where(y > 0, toxic / max(1, (y > 0).sum()), (1 - toxic) / max(1, (y <= 0).sum()))
-    w = np.zeros(x.shape[1])
+    x = np.c_[np.ones(len(x)), x]
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (weight * (p - y)) + ridge * np.r_[0, w[1:]] / len(x)
-        bend = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)) / len(x) + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w -= np.clip(step, -2, 2)
+        bend = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + (ridge / len(x) + 1e-9) * np.eye(2)
+        step = np.clip(np.linalg.solve(bend, slope), -2, 2)
+        w -= step
         if np.abs(step).max() < 1e-6:
             break
+    if w[1] < 0:  # then the difference tells nothing, and the share alone is left
+        w = np.array([np.log(toxic / (1 - toxic)), 0.0])
     z = np.clip(x @ w, -30, 30)
-    return w, float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
+    return float(w[0]), float(w[1]), float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
 
 
 class Classifier:
-    def __init__(self, toxic: list[str], ordinary: list[str], share: float | None = None, discounts: tuple[tuple[float, float], ...] = DISCOUNTS):
+    def __init__(self, toxic: list[str], ordinary: list[str], share: float | None = None, discounts: tuple[tuple[float, float, float], ...] = DISCOUNTS):
         """share: of toxic documents among all, if not as in the lists."""
         self.model: KneserNey | None = None
         if not toxic or not ordinary:
@@ -174,43 +172,44 @@ class Classifier:
         known = [[(before[low:high], words[low:high]) for _, words, before, bounds in tokens(pa.array(texts, pa.large_string())) for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] for texts in (toxic, ordinary)]
         fold = [[int(pair_keys(b, w).min() >> np.uint64(7)) & 1 if len(w) else 0 for b, w in texts] for texts in known]
         share = len(toxic) / (len(toxic) + len(ordinary)) if share is None else share
-        best = None
         split = [[[t for t, f in zip(texts, folds, strict=True) if f == part] for texts, folds in zip(known, fold, strict=True)] for part in (0, 1)]
-        counted = [[self._bigrams(texts) for texts in part] for part in split]
+        counted = [[self._counts(texts) for texts in part] for part in split]
         usable = [part for part in (0, 1) if all(len(c.keys) for c in counted[part])]
-        for discount, larger in discounts:
-            x, y, weight = [np.zeros((0, 2))], [np.zeros(0)], []
+        best = None
+        for tried in discounts:
+            x, y = [np.zeros(0)], [np.zeros(0)]
             for part in usable:
-                model = KneserNey(*counted[part], discount, larger=larger)
-                weight.append(model.weight)
+                model = KneserNey(*counted[part], *tried)
                 for c, others in enumerate(split[1 - part]):
                     if others:
                         bounds = np.r_[0, np.cumsum([len(w) for _, w in others])]
-                        x.append(differences(model.ratios(*(np.concatenate([t[k] for t in others]) for k in (0, 1))), bounds))
+                        x.append(differences(model.ratios(*(np.concatenate([t[k] for t in others]) for k in (0, 1))), bounds, model.unseen))
                         y.append(np.full(len(others), 1 - c))
             x, y = np.concatenate(x), np.concatenate(y)
-            scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(2)
-            curve, loss = logistic(x / scale, y, share) if len(x) else (np.array([-1.0, 1.0, 1.0]), 0.0)
+            scale = max(float(x.std()), 1e-6) if len(x) else 1.0
+            intercept, slope, loss = logistic(x / scale, y, share) if len(x) else (-1.0, 1.0, 0.0)
             if best is None or loss < best[0]:
-                best = loss, float(np.mean(weight or [0.5])), larger, scale, curve
-        _, weight, larger, self.scale, self.curve = best  # the same weight leaves differences as they were, whatever the counts
-        counted = [self._bigrams(texts) for texts in known]
+                best = loss, tried, intercept, slope / scale
+        _, self.discounts, self.intercept, self.slope = best
+        counted = [self._counts(texts) for texts in known]
         if all(len(c.keys) for c in counted):
-            self.model = KneserNey(*counted, weight=weight, larger=larger)
+            self.model = KneserNey(*counted, *self.discounts)
 
     @staticmethod
-    def _bigrams(texts: list[tuple[np.ndarray, np.ndarray]]) -> Bigrams:
+    def _counts(texts: list[tuple[np.ndarray, np.ndarray]]) -> Counts:
         none = np.zeros(0, np.uint64)
-        return Bigrams(*(np.concatenate([none, *[t[k] for t in texts]]) for k in (0, 1)))
+        return Counts(*(np.concatenate([none, *[t[k] for t in texts]]) for k in (0, 1)))
+
+    def curve(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * difference, -700, 700)))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        x = np.zeros((len(texts), 2))
+        x = np.zeros(len(texts))
         for first, words, before, bounds in tokens(texts):
-            x[first : first + len(bounds) - 1] = differences(self.model.ratios(before, words), bounds)
-        z = np.c_[np.ones(len(x)), x / self.scale] @ self.curve
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            x[first : first + len(bounds) - 1] = differences(self.model.ratios(before, words), bounds, self.model.unseen)
+        return self.curve(x)
 
 
 def held_out(id_column) -> "F.Column":

@@ -546,13 +546,13 @@ def test_toxicity_cases(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("larger", [1.0, 2.0, np.inf])
-def test_kneser_ney_is_that_of_the_definition(larger):
+@pytest.mark.parametrize("pairs", [1.0, 2.0, np.inf])
+def test_kneser_ney_is_that_of_the_definition(pairs):
     """Both models by plain dictionaries; each is a distribution, and their log ratio is what the operator has."""
     rng = random.Random(15)
     draw = lambda weights, n: [" ".join(rng.choices("abcdef", weights, k=rng.randrange(1, 9))) for _ in range(n)]
     texts = [draw([9, 4, 3, 1, 0, 0], 40), draw([3, 9, 1, 1, 1, 0], 70)]
-    discount = 1.5
+    least, multiple = 1.5, 0.8
 
     def bigrams(lines):
         out: dict = {}
@@ -562,27 +562,27 @@ def test_kneser_ney_is_that_of_the_definition(larger):
         return out
 
     seen = [bigrams(t) for t in texts]
-    follows = [{w: sum(x == w for _, x in s) for w in "abcdef"} for s in seen]
     shared = {w: sum(x == w for _, x in {**seen[0], **seen[1]}) for w in "abcde"}
     total = sum(shared.values())
     base = {w: (n - 0.75) / total + 0.75 * len(shared) / total / (len(shared) + 1) for w, n in shared.items()} | {"?": 0.75 * len(shared) / total / (len(shared) + 1)}
-    sizes = [sum(f.values()) for f in follows]
-    few = min((0, 1), key=lambda c: sizes[c])
-    weight = sum(min(n, discount) for n in follows[few].values()) / sizes[few]
     vocabulary = [*"abcde", "?"]
-    got = toxicity.KneserNey(*(toxicity.Classifier._bigrams([(b, w) for _, w, b, _ in toxicity.tokens(pa.array(t, pa.large_string()))]) for t in texts), discount, larger=larger)
-    models = []
-    for c in (0, 1):
-        d = got.discounts[c]
-        assert sum(min(n, d) for n in follows[c].values()) / sizes[c] == pytest.approx(weight)
-        alone = {w: max(follows[c].get(w, 0) - d, 0) / sizes[c] + weight * base[w] for w in vocabulary}
-        assert sum(alone.values()) == pytest.approx(1)
-        models.append((d, alone))
+
+    def level(counts, others, floor, lower):
+        """Probabilities from counts {word: n} of a class, those of both classes, and the lower level."""
+        n, everything = sum(counts.values()), sum(others.values())
+        left = {w: max(counts.get(w, 0) - floor - multiple * n * others.get(w, 0) / everything, 0) for w in vocabulary} if n else {}
+        free = 1 - sum(left.values()) / n if n else 1
+        return {w: (left[w] / n if n else 0) + free * lower[w] for w in vocabulary}
+
+    words_of = [{w: sum(n for (_, x), n in s.items() if x == w) for w in "abcde"} for s in seen]
+    both = {w: words_of[0][w] + words_of[1][w] for w in "abcde"}
+    alone = [level(c, both, least, base) for c in words_of]
+    assert all(sum(p.values()) == pytest.approx(1) for p in alone)
+    got = toxicity.KneserNey(*(toxicity.Classifier._counts([(b, w) for _, w, b, _ in toxicity.tokens(pa.array(t, pa.large_string()))]) for t in texts), least, multiple, pairs)
     for v in ["", *"abcdef"]:
-        left = [{w: max(s.get((v, w), 0) - d * larger, 0) for w in vocabulary} for s, (d, _) in zip(seen, models, strict=True)]
-        own = [sum(n for (x, _), n in s.items() if x == v) for s in seen]
-        free = max(1 - sum(x.values()) / n if n else 1 for x, n in zip(left, own, strict=True))
-        after = [{w: ((1 - free) * x[w] / sum(x.values()) if free < 1 else 0) + free * m[1][w] for w in vocabulary} for x, m in zip(left, models, strict=True)]
+        own = [{w: n for (x, w), n in s.items() if x == v} for s in seen]
+        pooled = {w: own[0].get(w, 0) + own[1].get(w, 0) for w in vocabulary}
+        after = [level(c, pooled, pairs, lower) if pairs < np.inf else lower for c, lower in zip(own, alone, strict=True)]
         assert all(sum(p.values()) == pytest.approx(1) for p in after)
         for w in vocabulary:
             text = pa.array([f"{v} {w.replace('?', 'never')}"], pa.large_string())
@@ -590,10 +590,38 @@ def test_kneser_ney_is_that_of_the_definition(larger):
             assert got.ratios(before, words)[-1] == pytest.approx(np.log(after[0][w] / after[1][w]), abs=1e-9)
 
 
-def test_differences_are_those_of_the_text_and_its_largest_passage():
+def test_differences_are_those_of_texts_or_their_largest_passages():
     ratios, bounds = np.array([1.0, -2, 3, 4, 0, -1, 5, -3]), np.array([0, 0, 6, 7, 8])
-    want = [[0, 0], [5 / 6, max(1, -1, 2, 6, 5, 6) / 4], [5, 5 / 4], [-3, -3 / 4]]
-    assert np.allclose(toxicity.differences(ratios, bounds), want)
+    assert np.allclose(toxicity.differences(ratios, bounds, -0.5, 4), [-0.5, max(6, 5, 6) / 4, 5, -3])
+    assert np.allclose(toxicity.differences(ratios, bounds, -0.5), [-0.5, 5 / 6, 5, -3])
+
+
+def test_a_likelier_toxic_text_never_scores_lower():
+    """The score follows the one quantity: raising any word's ratio, or the difference, lowers no score."""
+    rng = np.random.default_rng(4)
+    rows = synthetic(random.Random(9), 600)
+    model = toxicity.Classifier([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    assert model.slope > 0 and (np.diff(model.curve(np.sort(rng.normal(size=200)))) >= 0).all()
+    bounds = np.r_[0, np.cumsum(rng.integers(0, 500, 30))]
+    ratios = rng.normal(size=bounds[-1])
+    for _ in range(20):
+        raised = ratios + rng.random(len(ratios)) * (rng.random(len(ratios)) < 0.2)
+        assert (toxicity.differences(raised, bounds, 0.0) >= toxicity.differences(ratios, bounds, 0.0) - 1e-12).all()
+    wrong = toxicity.Classifier([t for _, t, y in rows if y], [t for _, t, y in rows if not y], discounts=((1e9, 1.5, np.inf),))
+    assert wrong.slope >= 0
+    assert toxicity.logistic(np.array([3.0, 2, 1, 0]), np.array([0, 0, 1, 1]), 0.3)[1] == 0  # a falling curve is refused
+
+
+def test_toxicity_of_the_table_held_out(spark):
+    """Figures of the README on 0.1: recall, ordinary documents called toxic, accuracy on rows that were held out."""
+    folder = "/root/testdata/sf0.1"
+    scored = queries.op9_toxicity(spark, folder).where("held_out").toPandas()
+    labels = pd.read_parquet(f"{folder}/labels.parquet").dropna(subset=["toxic"])
+    rows = scored.merge(labels, on="doc_id")
+    toxic = rows.toxic > 0
+    assert len(rows) > 800 and rows.score.rank()[toxic].mean() > 0.9 * len(rows) - toxic.sum() / 2 + 1
+    assert (rows.predicted[toxic] == 1).mean() > 0.75 and (rows.predicted[~toxic] == 1).mean() < 0.03
+    assert (rows.predicted == rows.toxic).mean() > 0.95
 
 
 def test_one_toxic_passage_in_a_long_text(spark):
