@@ -11,7 +11,7 @@ sampled from somewhat different languages or subjects does not add up over a lon
 The score is a rising curve of one quantity alone: the difference of the two log-likelihoods of a text, divided by its
 words. A text of more than PASSAGE words is taken by passages of so many consecutive words, and the largest
 difference of them counts, as one toxic passage would vanish in the mean of 20,000 words. The curve is a
-logistic one whose slope is at least 0, fitted on documents that were not counted (two folds; near copies fall into the same
+logistic one whose slope is at least 0, fitted on documents that were not counted (FOLDS folds; near copies fall into the same
 one); of the discounts that are tried, those with the least loss on these documents are taken.
 
 Cases: a null or wordless text scores as a word does that was never seen; with no labelled rows of one class every
@@ -40,7 +40,8 @@ SAMPLE_PASSAGE, SAMPLE_CHARS = 1 << 14, 1 << 26
 PASSAGE = 200
 #: What is tried: counts that a discount of words takes at least, multiple of the expected count that it takes besides, and
 #: counts that one of bigrams takes at least (infinite: words alone). The discount of the shared base.
-DISCOUNTS, SHARED_DISCOUNT = ((2.0, 1.5, np.inf), (4.0, 1.5, np.inf), (8.0, 1.5, np.inf), (4.0, 2.0, np.inf), (4.0, 1.5, 8.0)), 0.75
+DISCOUNTS, SHARED_DISCOUNT = ((2.0, 1.5, np.inf), (4.0, 1.5, np.inf), (4.0, 2.0, np.inf), (4.0, 2.0, 8.0)), 0.75
+FOLDS = 4
 _BEGIN = np.uint64(0x5BD1E9955BD1E995)
 _LEFT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -66,10 +67,15 @@ def _totals(keys: np.ndarray, among: np.ndarray, values: np.ndarray | None = Non
 class Counts:
     """Different bigrams of some texts, with how often each occurs."""
 
-    def __init__(self, before: np.ndarray, words: np.ndarray):
-        self.keys, at, self.counts = np.unique(pair_keys(before, words), return_index=True, return_counts=True)
+    def __init__(self, before: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None):
+        self.keys, at, place = np.unique(pair_keys(before, words), return_index=True, return_inverse=True)
+        self.counts = np.bincount(place, counts, len(self.keys)).astype(np.int64)
         self.before, self.words = before[at], words[at]
 
+    @classmethod
+    def together(cls, parts: list[Counts]) -> Counts:
+        return cls(*(np.concatenate([getattr(c, name) for c in parts]) for name in ("before", "words", "counts")))
+
 
 def _discounted(counts: list[np.ndarray], places: np.ndarray, n: int, least: float, multiple: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of the counts of each class, dealt to n contexts by places: what the discount leaves, and the share of each
@@ -170,30 +176,31 @@ class Classifier:
             return
         # words of each text, and its fold by its least bigram, which near copies share
         known = [[(before[low:high], words[low:high]) for _, words, before, bounds in tokens(pa.array(texts, pa.large_string())) for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] for texts in (toxic, ordinary)]
-        fold = [[int(pair_keys(b, w).min() >> np.uint64(7)) & 1 if len(w) else 0 for b, w in texts] for texts in known]
+        fold = [[int(pair_keys(b, w).min() >> np.uint64(7)) % FOLDS if len(w) else 0 for b, w in texts] for texts in known]
         share = len(toxic) / (len(toxic) + len(ordinary)) if share is None else share
-        split = [[[t for t, f in zip(texts, folds, strict=True) if f == part] for texts, folds in zip(known, fold, strict=True)] for part in (0, 1)]
+        split = [[[t for t, f in zip(texts, folds, strict=True) if f == part] for texts, folds in zip(known, fold, strict=True)] for part in range(FOLDS)]
         counted = [[self._counts(texts) for texts in part] for part in split]
-        usable = [part for part in (0, 1) if all(len(c.keys) for c in counted[part])]
+        others = [[Counts.together([counted[p][c] for p in range(FOLDS) if p != part]) for c in (0, 1)] for part in range(FOLDS)]
+        usable = [part for part in range(FOLDS) if all(len(c.keys) for c in others[part])]
         best = None
         for tried in discounts:
             x, y = [np.zeros(0)], [np.zeros(0)]
             for part in usable:
-                model = KneserNey(*counted[part], *tried)
-                for c, others in enumerate(split[1 - part]):
-                    if others:
-                        bounds = np.r_[0, np.cumsum([len(w) for _, w in others])]
-                        x.append(differences(model.ratios(*(np.concatenate([t[k] for t in others]) for k in (0, 1))), bounds, model.unseen))
-                        y.append(np.full(len(others), 1 - c))
+                model = KneserNey(*others[part], *tried)
+                for c, texts in enumerate(split[part]):
+                    if texts:
+                        bounds = np.r_[0, np.cumsum([len(w) for _, w in texts])]
+                        x.append(differences(model.ratios(*(np.concatenate([t[k] for t in texts]) for k in (0, 1))), bounds, model.unseen))
+                        y.append(np.full(len(texts), 1 - c))
             x, y = np.concatenate(x), np.concatenate(y)
             scale = max(float(x.std()), 1e-6) if len(x) else 1.0
             intercept, slope, loss = logistic(x / scale, y, share) if len(x) else (-1.0, 1.0, 0.0)
             if best is None or loss < best[0]:
                 best = loss, tried, intercept, slope / scale
         _, self.discounts, self.intercept, self.slope = best
-        counted = [self._counts(texts) for texts in known]
-        if all(len(c.keys) for c in counted):
-            self.model = KneserNey(*counted, *self.discounts)
+        whole = [Counts.together([part[c] for part in counted]) for c in (0, 1)]
+        if all(len(c.keys) for c in whole):
+            self.model = KneserNey(*whole, *self.discounts)
 
     @staticmethod
     def _counts(texts: list[tuple[np.ndarray, np.ndarray]]) -> Counts:
