@@ -21,6 +21,7 @@ import gc
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -38,6 +39,11 @@ from canopy.llm.common import HashTable, small_batches
 CACHE_WORDS = 400_000
 #: Longer words skip the memory, so that its size stays bounded.
 CACHE_WORD_CHARS = 64
+#: Bytes of a word beyond which it is matched by itself, at all its places at once.
+LONG_WORD = 256
+#: The normaliser and pattern of the supported vocabularies. Others are refused.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The apostrophe endings that the vocabulary's pattern names, and the white space below U+0250.
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -63,15 +69,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _check_supported(spec: dict) -> None:
+    """An error for a vocabulary file with other rules than those that are built in here."""
+    model, cuts = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    odd = [name for name in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(name)]
+    odd += ["normalizer"] * (spec["normalizer"] != _NORMALIZER) + ["pre_tokenizer"] * (cuts != [split, level]) + ["decoder"] * bool(spec["decoder"])
+    odd += [t["content"] for t in spec["added_tokens"] if any(t[name] for name in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model["type"] != "BPE" or odd:
+        raise ValueError(f"the vocabulary has rules that are not supported: {', '.join(odd) or model['type']}")
+
+
 class WordBpe:
     """Encoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check_supported(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._hint = os.path.commonprefix([*self.special])
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names: dict[int, str] = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         letters = byte_letters()
@@ -146,6 +166,42 @@ class WordBpe:
 
     def propose(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest matches of all words: token ids one after the other, and each word's count."""
+        short = [i for i, r in enumerate(raws) if len(r) <= LONG_WORD]
+        if len(short) == len(raws):
+            return self._propose_together(raws)
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raws)
+        if short:
+            ids, counts = self._propose_together([raws[i] for i in short])
+            for i, own in zip(short, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                found[i] = own
+        for i, raw in enumerate(raws):
+            if len(raw) > LONG_WORD:
+                found[i] = self._propose_alone(raw)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _propose_alone(self, raw: bytes, block: int = 1 << 16) -> np.ndarray:
+        """The same for one long word: the longest match at every place, a block of places at a time, then the chain of
+        matches from the first place on."""
+        data = np.frombuffer(raw, np.uint8)
+        powers, unpowers = self._inverse_powers(len(data))
+        sums = np.r_[np.uint64(0), np.cumsum(self._byte_hash[data] * powers[: len(data)], dtype=np.uint64)]
+        got, taken = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64)
+        for low in range(0, len(data), block):
+            left = np.arange(low, min(low + block, len(data)))
+            for length in self._lengths:
+                at = left[left + length <= len(data)]
+                h = (sums[at + length] - sums[at]) * unpowers[at]
+                hit = self._tokens.lookup(np.where(at + length == len(data), h ^ self._mark, h))
+                ok = hit >= 0
+                got[at[ok]], taken[at[ok]] = self._token_ids[hit[ok]], length
+                left = left[got[left] < 0]
+        steps, chain, at = taken.tolist(), [], 0
+        while at < len(steps):
+            chain.append(at)
+            at += steps[at]
+        return got[chain]
+
+    def _propose_together(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(r) for r in raws], np.int64)
         data = np.frombuffer(b"".join(raws), np.uint8)
         powers, unpowers = self._inverse_powers(len(data))
@@ -322,7 +378,7 @@ class WordBpe:
     # -- texts ------------------------------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
         """Words and special strings of a whole text, in order; special ones are looked up by themselves."""
-        if self._cut and "<|" in text:
+        if self._cut and self._hint in text:
             out: list[str] = []
             for i, part in enumerate(self._cut.split(text)):
                 out += ["\0" + part] if i % 2 else self.words(part)

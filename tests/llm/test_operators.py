@@ -657,6 +657,31 @@ def test_bpe_equals_the_library(library, sf_dir):
         assert got == (len(e.ids), " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)), text
 
 
+def test_long_words_take_time_in_proportion(library):
+    rng = random.Random(8)
+    own = bpe.WordBpe(bpe.default_vocabulary())
+    pools = ["ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzäöüß", "a"]
+    words = ["".join(rng.choices(pool, k=n)) for pool in pools for n in (255, 256, 257, 1000, 70_000)]
+    for word, ids in zip(words, own.encode_words(words), strict=True):
+        assert ids == library.encode(word, add_special_tokens=False).ids
+    whole = "".join(rng.choices(pools[1], k=1_000_000))
+    began = time.time()
+    assert own.encode_words([whole])[0] == library.encode(whole, add_special_tokens=False).ids
+    assert time.time() - began < 60
+    assert np.array_equal(own._propose_alone(words[3].encode(), 7), own._propose_together([words[3].encode()])[0])
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.WordBpe(str(tmp_path / "other.json"))
+
+
 def test_compatibility_is_what_merging_gives():
     e, rng = bpe.encoder(bpe.default_vocabulary()), np.random.default_rng(10)
     ids = [i for i, n in e.names.items() if i not in e.special.values() and not n.endswith(e.end)]
