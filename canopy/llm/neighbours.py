@@ -5,20 +5,20 @@ that the largest inner product is the smallest distance, and a k-means tree is g
 of them: nodes split into up to BRANCHES clusters until a leaf stands for about LEAF_ROWS rows. Every row
 is then filed in a leaf. A query walks the tree with a priority queue, nearest centre first. How many
 leaves it visits is calibrated: for a bounded set of queries the true neighbours are found among all
-rows, and visits widen until TARGET of these neighbours lie in visited leaves (and k rows at least). The share that
-is reached is returned with every row, as the run's measured recall.
+rows, and visits widen until TARGET of the neighbours of one half of them lie in visited leaves (and k rows at least). The
+share that the other half reaches is returned with every row, as the run's measured recall.
 
 Leaves are visited in phases: the FIRST_VISITS nearest ones, then PHASE times as many, and so on. After each
 phase a query knows its k-th best score so far, and later leaves only hand on rows that reach it, so that
 rows on the way grow with the queries and not with the leaves that they visit.
 
 Leaves meet their queries in blocks of at most about POINT_BLOCK rows by QUERY_BLOCK queries, so that a
-leaf with a third of the rows, or of the queries, is spread over many tasks. Of rows with equal vectors
-only the k + 1 with the smallest ids can be in an answer, and only these are filed.
+leaf with a third of the rows, or of the queries, is spread over many tasks. Rows that repeat id and vector are one
+row; of the ids with equal vectors only the k + 1 smallest can be in an answer, and only these are filed.
 
 Cases: null ids, and vectors that are null, zero, or hold null or non-finite components, take no part; nor
-do vectors of another length than the most frequent one; a row is never its own neighbour, and rows that
-repeat an id are not either; repeated queries are answered once; fewer than k candidates give as many
+do vectors of another length than the most frequent one; a row is never its own neighbour, but rows that
+repeat its id with another vector can be; repeated queries are answered once; fewer than k candidates give as many
 neighbours; empty tables give no rows; ties go to the smaller id; other columns are not looked at.
 """
 
@@ -40,7 +40,9 @@ LEAF_ROWS = 512
 MAX_LEAVES = 4096
 #: So many rows, chosen by a hash of the id, teach the tree; 64 for each leaf wanted, at least.
 SAMPLE_ROWS = 1 << 16
-CALIBRATION_QUERIES = 96
+#: Bytes of the sample; of wide vectors fewer rows are taken.
+SAMPLE_BYTES = 1 << 26
+CALIBRATION_QUERIES = 128
 TARGET = 0.96
 POINT_BLOCK, QUERY_BLOCK = 8192, 4096
 FIRST_VISITS, PHASE = 4, 4
@@ -138,13 +140,15 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * (points @ centres.T)).argmin(axis=1)
 
 
-def best(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's row, rows of its k best points, their scores), ties to the smaller id."""
+def best(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's row, rows of its k best points, their scores), ties to the smaller id; own: of each query the row that it
+    is itself, or -1."""
     for low in range(0, len(queries), 256):
         rough = queries[low : low + 256] @ points.T
         for i, line in enumerate(rough):
             q = low + i
-            line[ids == own_ids[q]] = -np.inf
+            if own[q] >= 0:
+                line[own[q]] = -np.inf
             if len(line) > k:
                 least = np.partition(line, len(line) - k)[len(line) - k]
                 at = np.flatnonzero(line >= least - 1e-9 * (1 + abs(least))) if np.isfinite(least) else np.flatnonzero(np.isfinite(line))
@@ -155,6 +159,12 @@ def best(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own_ids: np.n
             yield q, at[order], scores[order]
 
 
+def own_rows(ids: np.ndarray, hashes: np.ndarray, query_ids: np.ndarray, query_hashes: np.ndarray) -> np.ndarray:
+    """Of each query the row with its id and vector, or -1."""
+    at = {x: i for i, x in enumerate(zip(ids.tolist(), hashes.tolist(), strict=True))}
+    return np.array([at.get(x, -1) for x in zip(query_ids.tolist(), query_hashes.tolist(), strict=True)], np.int64)
+
+
 def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """vec_id, v, h (hash of v) of the rows that take part."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
@@ -173,20 +183,20 @@ def search(
     answer = "query_id bigint, rank int, vec_id bigint, score double, recall double"
     points = clean(vectors, id_column, vector_column)
     equal = Window.partitionBy("h", "v").orderBy("vec_id")
-    points = points.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).drop("copy")
+    points = points.dropDuplicates(["vec_id", "h", "v"]).withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).drop("copy")
     asked = clean(queries, id_column, vector_column).dropDuplicates(["vec_id", "h", "v"])
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     points = checkpointed(points)
-    facts = points.agg(F.count("*").alias("n"), F.max(squares).alias("s")).first()
+    facts = points.agg(F.count("*").alias("n"), F.max(squares).alias("s"), F.max(F.size("v")).alias("width")).first()
     if not facts["n"]:
         return spark.createDataFrame([], answer)
     n, largest = facts["n"], float(np.sqrt(facts["s"]))
-    scale = 1 << 30
-    share = min(scale, SAMPLE_ROWS * scale // n + 1)
-    drawn = points.where(F.pmod(F.xxhash64(F.lit("tree"), "vec_id", "h"), F.lit(scale)) < share).select("v").limit(2 * SAMPLE_ROWS).toArrow()
-    leaves = int(min(MAX_LEAVES, max(1, n // leaf_rows), max(1, SAMPLE_ROWS // 16)))
+    scale, rows = 1 << 30, max(1024, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * facts["width"])))
+    share = min(scale, rows * scale // n + 1)
+    drawn = points.where(F.pmod(F.xxhash64(F.lit("tree"), "vec_id", "h"), F.lit(scale)) < share).select("v").limit(2 * rows).toArrow()
+    leaves = int(min(MAX_LEAVES, max(1, n // leaf_rows), max(1, rows // 16)))
     if not drawn.num_rows:  # a handful of rows can all miss the draw
-        drawn = points.select("v").limit(SAMPLE_ROWS).toArrow()
+        drawn = points.select("v").limit(rows).toArrow()
     tree = Tree(matrix(drawn.column(0)), largest, leaves)
     shared = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES centres and their ancestors
 
@@ -228,14 +238,15 @@ def _scan_leaves(visits: DataFrame, filed: DataFrame, sizes: np.ndarray, k: int)
     blocks = F.broadcast(blocks)  # one row per leaf
     query_block, point_block = F.pmod(F.xxhash64("query_id"), F.col("query_blocks")), F.pmod(F.xxhash64("vec_id"), F.col("point_blocks")).cast("int")
     query_side = visits.join(blocks, "leaf").select("query_id", "query_hash", "q", "floor", "leaf", query_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.col("point_blocks") - 1)).alias("pb"))
-    point_side = filed.join(blocks, "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("qb"), point_block.alias("pb"))
+    point_side = filed.join(blocks, "leaf").select("vec_id", "v", "h", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("qb"), point_block.alias("pb"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             ids, own, hashes = (t.to_numpy() for t in (right["vec_id"], left["query_id"], left["query_hash"]))
             floor = left["floor"].fill_null(-np.inf).to_numpy()
-            for q, at, scores in best(matrix(left["q"]), matrix(right["v"]), ids, own, k):
+            places = own_rows(ids, right["h"].to_numpy(), own, hashes)
+            for q, at, scores in best(matrix(left["q"]), matrix(right["v"]), ids, places, k):
                 good = scores >= floor[q]
                 at, scores = at[good], scores[good]
                 for column, part in zip(out, (np.full(len(at), own[q]), np.full(len(at), hashes[q]), ids[at], scores), strict=True):
@@ -248,17 +259,19 @@ def _scan_leaves(visits: DataFrame, filed: DataFrame, sizes: np.ndarray, k: int)
 
 
 def calibrate(filed: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray, k: int, target: float) -> tuple[int, float]:
-    """How many leaves to visit so that `target` of the true neighbours of sample queries are in them, and which share is."""
-    probes = asked.orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id").limit(CALIBRATION_QUERIES).select("vec_id", "v").toArrow()
+    """How many leaves to visit so that `target` of the true neighbours of every other sample query are in them, and which
+    share of those of the rest is."""
+    probes = asked.orderBy(F.xxhash64(F.lit("probe"), "vec_id", "h"), "vec_id").limit(CALIBRATION_QUERIES).select("vec_id", "v", "h").toArrow()
     if not probes.num_rows:
         return 1, 1.0
-    probe_ids, probe_vectors = probes["vec_id"].to_numpy(), matrix(probes["v"])
+    probe_ids, probe_hashes, probe_vectors = probes["vec_id"].to_numpy(), probes["h"].to_numpy(), matrix(probes["v"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:  # a running list of the k best per probe
-            ids, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for q, at, scores in best(probe_vectors, matrix(batch.column(1)), ids, probe_ids, k):
+            ids, leaf = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            places = own_rows(ids, batch.column(2).to_numpy(), probe_ids, probe_hashes)
+            for q, at, scores in best(probe_vectors, matrix(batch.column(1)), ids, places, k):
                 new = (scores, ids[at], leaf[at])
                 both = tuple(np.concatenate(p) for p in zip(held[q], new, strict=True)) if q in held else new
                 order = np.lexsort((both[1], -both[0]))[:k]
@@ -267,12 +280,13 @@ def calibrate(filed: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray,
             lists = [[np.full(len(s), q), s, i, leaf] for q, (s, i, leaf) in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*lists, strict=True)], names=["probe", "score", "vec_id", "leaf"])
 
-    true = filed.select("vec_id", "v", "leaf").mapInArrow(scan, "probe bigint, score double, vec_id bigint, leaf int")
+    true = filed.select("vec_id", "v", "h", "leaf").mapInArrow(scan, "probe bigint, score double, vec_id bigint, leaf int")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
     true_rows = true.withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "leaf").collect()  # at most CALIBRATION_QUERIES x k rows
     order = [{leaf: i for i, leaf in enumerate(tree.visit(v, tree.leaves, sizes, 0))} for v in probe_vectors]
-    places = np.array([order[r["probe"]][r["leaf"]] for r in true_rows])
+    places = np.array([(r["probe"] % 2, order[r["probe"]][r["leaf"]]) for r in true_rows]).reshape(-1, 2)
+    taught, held_out = (places[places[:, 0] == part, 1] for part in (0, 1))
     visits = 1
-    while visits < tree.leaves and len(places) and (places < visits).mean() < target:
+    while visits < tree.leaves and len(taught) and (taught < visits).mean() < target:
         visits += 1
-    return visits, float((places < visits).mean()) if len(places) else 1.0
+    return visits, float((held_out < visits).mean()) if len(held_out) else 1.0

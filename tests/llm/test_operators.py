@@ -85,6 +85,28 @@ def test_neighbours_cases(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 4, 0, 1, 2, 3]
 
 
+def test_neighbours_with_repeated_ids(spark):
+    """Thirty rows with one id and vector are one row; with another vector they are candidates like others."""
+    rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(1, 25)] + [(100, [0.5, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours.search(frame, frame.where("vec_id = 0"), 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 5.0) for i in range(1, 21)]
+    rows = [(0, [1.0, 0.0]), (0, [3.0, 0.0]), (1, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours.search(frame, frame.where("vec_id = 0"), 20).orderBy("score").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2.0), (0, 3.0), (0, 3.0), (1, 6.0)]
+
+
+def test_neighbours_of_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE_BYTES", 1)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 40))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = neighbours.search(frame, frame.where("vec_id % 100 = 0"), 5, leaf_rows=256).toPandas()
+    found = [len(set(g.vec_id) & set(brute(np.arange(3000), x, q, 5))) for q, g in got.groupby("query_id")]
+    assert np.mean(found) / 5 >= 0.9
+
+
 # -- 3 decontamination -------------------------------------------------------------------------------
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Kurz und gut"), (10, "kurz, und GUT"), (3, None), (4, "..."), (None, "lone")]
 TEXTS = [
