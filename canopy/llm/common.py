@@ -44,8 +44,9 @@ def id_hash_mod(id_column: Column, modulus: int) -> Column:
 
 def labelled_passages(rows: DataFrame, docs: int, chars: int, total: int, most_labels: int) -> dict[object, list[str]]:
     """A bounded sample of rows (id, label, text) to learn from: for each label the passages of `docs` rows, or of as many
-    fewer as keep all of them below `total` characters, chosen by a hash of the id whatever the order of the rows. A
-    passage is the text, or `chars` of it from a place that the hash chooses. More labels than most_labels are an error.
+    fewer as keep all of them below `total` characters, chosen by a hash of id and text whatever the order of the rows. A
+    passage is the text, or `chars` of it (of very many labels fewer) from a place that the hash chooses. More labels than
+    most_labels are an error.
     """
     rows = rows.where("label is not null and text is not null")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_labels + 1).collect()}
@@ -53,11 +54,12 @@ def labelled_passages(rows: DataFrame, docs: int, chars: int, total: int, most_l
         raise ValueError(f"more than {most_labels} different labels")
     if not counts:
         return {}
+    chars = max(1, min(chars, total // len(counts)))
     each = max(1, min(docs, total // (chars * len(counts))))
-    scale, draw = 1 << 30, F.xxhash64("id", F.lit("sample"))
-    share = F.create_map(*[x for label, n in counts.items() for x in (F.lit(label), F.lit(min(scale, 2 * each * scale // n + 1)))])
-    drawn = rows.where(F.pmod(draw, F.lit(scale)) < share[F.col("label")])
-    start = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    scale, draw = 1 << 30, F.xxhash64("id", "text", F.lit("sample"))
+    shares = rows.sparkSession.createDataFrame([(label, min(scale, 2 * each * scale // n + 1)) for label, n in counts.items()], rows.select("label", F.lit(0).alias("share")).schema)
+    drawn = rows.join(F.broadcast(shares), "label").where(F.pmod(draw, F.lit(scale)) < F.col("share"))  # at most most_labels rows
+    start = F.pmod(F.xxhash64("id", "text", F.lit("place")), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
     drawn = drawn.select("label", draw.alias("draw"), F.xxhash64("text").alias("key"), F.substr("text", start.cast("int"), F.lit(chars)).alias("text"))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw", "key"))).where(F.col("rank") <= each)
     out: dict[object, list[str]] = {}

@@ -6,9 +6,10 @@ longest context has seen costs -log2(count / (total + distinct)); one that it ha
 -log2(distinct / (total + distinct)) and is coded by the next shorter context, down to a uniform code
 over 256 bytes (escape method C, without exclusion). The shortest code names the language.
 
-The trees of all languages are laid over each other: one table per order holds, for every
-(context, byte) that any language has seen, the resolved cost under every language, so that scoring a
-byte is one probe in nearly all cases.
+The trees of up to GROUP languages are laid over each other: one table per order holds, for every
+(context, byte) that any of them has seen, the resolved cost under each, so that scoring a
+byte is one probe in nearly all cases. More languages make more such groups, so that the tables of 200 take
+the memory of a sample of the same size times GROUP.
 
 Cases: a null, empty or letterless text is `und` with score 0; with nothing to learn from, every text
 is; ties go to the language first in alphabetical order; rows are scored one by one, so repeated rows
@@ -34,8 +35,8 @@ ORDER = 4
 SAMPLE_DOCS = 500
 #: Characters of a passage (texts are scored whole), and of all passages together.
 PASSAGE, SAMPLE_CHARS = 1 << 14, 1 << 24
-#: More languages are an error: every cost is held for each of them.
-MOST_LANGUAGES = 32
+#: Languages that share tables. More than MOST_LANGUAGES different labels are an error, as those are no languages.
+GROUP, MOST_LANGUAGES = 16, 8192
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -43,9 +44,22 @@ _LETTER = regex.compile(r"\p{L}")
 class ContextTrees:
     """The frozen trees of all languages, and the exact code lengths under them."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.order = order
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, group: int = GROUP):
         self.languages = sorted(samples)
+        self.groups = [_Group({name: samples[name] for name in self.languages[low : low + group]}, order) for low in range(0, len(self.languages), group)]
+
+    def code_lengths(self, texts: pa.Array, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each whole text under each language, and its bytes."""
+        found = [g.code_lengths(texts, piece) for g in self.groups]
+        return np.concatenate([bits for bits, _ in found], axis=1), found[0][1]
+
+
+class _Group:
+    """The trees of some languages, laid over each other."""
+
+    def __init__(self, samples: dict[str, list[str]], order: int):
+        self.order = order
+        self.languages = [*samples]
         width = len(self.languages)
         grams = []
         for name in self.languages:

@@ -240,6 +240,26 @@ def test_languages_are_learned_from_long_texts_and_too_many_are_an_error(spark):
     assert labelled_passages(rows, 1, 100, 10**6, 9) == labelled_passages(rows.repartition(3).orderBy(F.desc("id")), 1, 100, 10**6, 9)
 
 
+def test_more_languages_than_share_tables(spark):
+    rng = random.Random(2)
+    alphabets = {f"l{k:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for k in range(40)}
+    rows = [(i, " ".join("".join(rng.choices(letters, k=6)) for _ in range(60)), name, "s", 0) for name, letters in alphabets.items() for i in range(4)]
+    docs = spark.createDataFrame([(None if i % 2 else n, *row[1:]) for n, (i, *row) in enumerate([(r[0], *r) for r in rows])], DOC)  # half of the ids are null
+    trees = language_id.fit(docs, language_id.Training(keep=F.lit(True)))
+    assert len(trees.groups) == 3 and len(trees.languages) == 40
+    got = language_id.identify(docs, trees).select("lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) == len(got)
+    texts = pa.array([r[1] for r in rows[:6]] + [None])
+    samples = {name: [r[1] for r in rows if r[2] == name] for name in alphabets}
+    assert np.allclose(language_id.ContextTrees(samples).code_lengths(texts)[0], language_id.ContextTrees(samples, group=40).code_lengths(texts)[0], rtol=1e-12)
+
+
+def test_rows_with_one_id_teach_their_language(spark):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(300)] + [(None, f"el gato y el perro {i}", "es") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language_id.fit(docs, language_id.Training(keep=F.lit(True), docs=20)).languages == ["en", "es"]
+
+
 # -- 5 near duplicates -------------------------------------------------------------------------------
 def naive_classes(rows):
     bags = {k: near_dedup.bag(t) if t else None for k, (_, t) in enumerate(rows)}
