@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import columns as c
+from canopy.operators.budget import within_budget
+from canopy.operators.ordered import joined, running_sums
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +37,10 @@ def k_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in order while their running bytes / 4 fit 30 % of the whole; the first always stays."""
-    sizes = _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    running = F.sum("bytes").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # one row per source
-    total = F.sum("bytes").over(Window.partitionBy(F.lit(1)))
-    rows = sizes.select("source", "bytes", running.alias("running"), total.alias("total"), F.row_number().over(Window.orderBy("source")).alias("rank"))
-    kept = rows.where((F.col("rank") == 1) | (F.floor(F.col("running") / 4) <= F.floor(F.col("total") * 3 / 40)))
-    return kept.select("source", "bytes", "running")
+    sizes = _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("tree", F.lit(""))
+    summed = running_sums(sizes, ["tree"], ["source"], {"running": F.col("bytes")})
+    kept = within_budget(sizes, F.floor(F.col("total0") * 3 / 40), [F.col("bytes")], "tree", "source").select("source")
+    return joined(summed, kept, ["source"], "left_semi").select("source", "bytes", "running")
 
 
 def k_deps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import columns as c
 from canopy.functions.globs import glob_match, glob_pattern
+from canopy.operators.budget import within_budget as limited
 from canopy.plans.corpus import Corpus
 
 
@@ -157,28 +158,15 @@ def graph(corpus: Corpus, options: GraphOptions) -> DataFrame:
 def within_budget(rows: DataFrame, budget: int) -> DataFrame:
     """Give up summaries, then dependencies, symbols, files, until a tree's bytes / 4 fit; then packages
     from the end, but never the first."""
-    tree = Window.partitionBy("repo")
     details = ((True, True, True, True), (False, True, True, True), (False, False, True, True), (False, False, False, True), (False, False, False, False))
-    rows = rows.withColumns({f"__cost{i}": F.floor(F.sum(c.package_bytes(*d)).over(tree) / 4) for i, d in enumerate(details)})
-    level: Column = F.lit(len(details))
-    for i in range(len(details) - 1, -1, -1):
-        level = F.when(F.col(f"__cost{i}") <= budget, F.lit(i)).otherwise(level)
-    order = tree.orderBy("path")
-    rows = rows.withColumns(
-        {
-            "__level": level,
-            "__rank": F.row_number().over(order),
-            "__running": F.floor(F.sum(F.octet_length("path")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / 4),
-        }
-    )
+    kept = limited(rows, budget, [c.package_bytes(*d) for d in details], "repo", "path")
     bare = F.transform("files", lambda f: F.struct(f["path"].alias("path"), F.lit(None).cast("array<string>").alias("symbols")))
-    kept = rows.where((F.col("__level") < len(details)) | (F.col("__rank") == 1) | (F.col("__running") <= budget))
     return kept.select(
         "repo",
         "path",
-        F.when(F.col("__level") < 3, F.col("files")).when(F.col("__level") == 3, bare).alias("files"),
-        F.when(F.col("__level") < 1, F.col("summary")).otherwise(F.lit("")).alias("summary"),
-        F.when(F.col("__level") < 2, F.col("deps")).alias("deps"),
+        F.when(F.col("level") < 3, F.col("files")).when(F.col("level") == 3, bare).alias("files"),
+        F.when(F.col("level") < 1, F.col("summary")).otherwise(F.lit("")).alias("summary"),
+        F.when(F.col("level") < 2, F.col("deps")).alias("deps"),
     )
 
 

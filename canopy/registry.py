@@ -1,4 +1,5 @@
-"""The library's own registered queries: golden ones (parity on fixture trees) and kernel ones (scale)."""
+"""The library's own registered queries: golden ones (parity on fixture trees), kernel ones (scale), and
+the operators over the given tables."""
 
 from __future__ import annotations
 
@@ -6,17 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy import golden, kernels
+from canopy import corpora, golden, kernels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**golden.QUERIES, **kernels.QUERIES}
+    return {**golden.QUERIES, **kernels.QUERIES, **corpora.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**golden.ORACLE, **kernels.ORACLE}
+    return {**golden.ORACLE, **kernels.ORACLE, **corpora.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories of the page tree with their files."""
-    return kernels.k_tree_group(spark, sf_dir)
+    """The page trees of all hosts, each within its budget of tokens."""
+    return corpora.t_budget_hosts(spark, sf_dir)
