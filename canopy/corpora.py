@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.operators import budget
+from canopy.operators import budget, splices
 
 QUERIES: dict[str, object] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,49 @@ def t_budget_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_budget_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hosts as one tree, cut at 30 % of its paths."""
     return _page_budget(page_paths(spark, sf_dir).withColumn("tree", F.lit("")), F.floor(F.col("total4") * 3 / 40))
+
+
+def document_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files of plans (source and language), and events as edits of them; a third of these name document 7."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("plan"), F.col("doc_id").alias("file"), F.col("text").alias("content"))
+    events = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")).alias("file"), F.col("event_id").alias("seq"), F.floor(F.col("value") % 20).alias("start"),
+        (F.col("user_id") % 7).alias("removed"), F.when(F.col("user_id") % 5 > 0, F.col("event_type")).alias("inserted"),
+    )
+    return docs, events.join(docs.select("plan", "file"), "file")
+
+
+_EDITS = """
+WITH files AS (SELECT concat_ws('/', source, lang) AS plan, doc_id AS file, text FROM documents),
+e AS (SELECT plan, file, text, event_id AS seq, CAST(floor(value % 20) AS BIGINT) AS start, user_id % 7 AS removed, CASE WHEN user_id % 5 > 0 THEN event_type ELSE '' END AS inserted
+  FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS file FROM events) JOIN files USING (file)),
+s AS (SELECT *, length(text) + coalesce(sum(length(inserted) - removed) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size FROM e),
+stops AS (SELECT plan, min(seq) AS stop FROM s WHERE start + removed > size GROUP BY plan),
+made AS (SELECT s.*, stop FROM s LEFT JOIN stops USING (plan) WHERE stop IS NULL OR seq < stop)"""
+
+
+@_query(
+    _EDITS
+    + """
+SELECT plan, file, md5(list_reduce(list_prepend(any_value(text), list(start || '|' || removed || '|' || inserted ORDER BY seq)),
+  lambda t, x: substring(t, 1, CAST(split_part(x, '|', 1) AS BIGINT)) || split_part(x, '|', 3) || substring(t, CAST(split_part(x, '|', 1) AS BIGINT) + CAST(split_part(x, '|', 2) AS BIGINT) + 1))) AS content_md5
+FROM made GROUP BY plan, file"""
+)
+def t_edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every changed document after all edits of its plan up to the first that cannot be made."""
+    changed, _ = splices.splice(*document_edits(spark, sf_dir))
+    return changed.select("plan", "file", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@_query(
+    _EDITS
+    + """, per_file AS (SELECT plan, file, count(*) AS n FROM made GROUP BY plan, file),
+done AS (SELECT plan, sum(n) AS n_edits, count(*) AS n_files, arg_max(file, n * 1000000000 + file) AS hot_file, max(n) AS hot_edits FROM per_file GROUP BY plan)
+SELECT plan, CAST(coalesce(n_edits, 0) AS BIGINT) AS n_edits, coalesce(n_files, 0) AS n_files, coalesce(hot_file, -1) AS hot_file, CAST(coalesce(hot_edits, 0) AS BIGINT) AS hot_edits,
+  coalesce(stop, -1) AS failed_seq, CASE WHEN stop IS NOT NULL THEN 'OUT_OF_RANGE' ELSE '' END AS error
+FROM (SELECT DISTINCT plan FROM e) LEFT JOIN done USING (plan) LEFT JOIN stops USING (plan)"""
+)
+def t_edit_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every plan has done, its file with most edits, and where it stopped."""
+    _, outcome = splices.splice(*document_edits(spark, sf_dir))
+    return outcome.withColumns({"hot_file": F.coalesce("hot_file", F.lit(-1)), "failed_seq": F.coalesce("failed_seq", F.lit(-1)), "error": F.coalesce("error", F.lit(""))})
