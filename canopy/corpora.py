@@ -5,10 +5,15 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators import budget, splices
+from canopy.plans.lineage import checkpointed, ensure_checkpoint_dir
+from canopy.sources import gotree
 
 QUERIES: dict[str, object] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +129,37 @@ def t_edit_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every plan has done, its file with most edits, and where it stopped."""
     _, outcome = splices.splice(*document_edits(spark, sf_dir))
     return outcome.withColumns({"hot_file": F.coalesce("hot_file", F.lit(-1)), "failed_seq": F.coalesce("failed_seq", F.lit(-1)), "error": F.coalesce("error", F.lit(""))})
+
+
+def _written_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder, shared by driver and executors, in which the documents are files by source and language."""
+    root = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/documents-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("d"), "doc_id", F.when(F.col("doc_id") % 10 == 3, "_test.go").otherwise(".go"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), name)
+    gotree.write_tree(table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")), root, "overwrite", layout=False)
+    return root
+
+
+def _read_back(spark: SparkSession, sf_dir: str, keep: Column) -> DataFrame:
+    root = _written_documents(spark, sf_dir)
+    rows = spark.read.format("gotree").option("path", root).option("repo", "docs").option("pushdown", "true").load().where(keep)
+    out = checkpointed(rows.select("path", "dir", "depth", "size", F.sha2("content", 256).alias("sha256")))
+    shutil.rmtree(root)
+    return out
+
+
+_FILES = """
+  SELECT dir || '/' || name AS path, dir, 2 AS depth, strlen(text) AS size, sha256(text) AS sha256, name FROM (
+    SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir, 'd' || doc_id || CASE WHEN doc_id % 10 = 3 THEN '_test.go' ELSE '.go' END AS name, coalesce(text, '') AS text FROM documents)"""
+
+
+@_query(f"SELECT path, dir, depth, size, sha256 FROM ({_FILES})")
+def t_written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as a tree, all or none, and read back."""
+    return _read_back(spark, sf_dir, F.lit(True))
+
+
+@_query(f"SELECT path, dir, depth, size, sha256 FROM ({_FILES}) WHERE starts_with(dir, 'src1') AND NOT ends_with(name, '_test.go') AND ends_with(name, '7.go')")
+def t_scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of them, by filters that the source takes over: other folders are not entered, other files not opened."""
+    return _read_back(spark, sf_dir, F.col("dir").startswith("src1") & ~F.col("is_test") & F.col("name").endswith("7.go") & (F.col("depth") <= 2))

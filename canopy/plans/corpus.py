@@ -55,6 +55,8 @@ def parse(files: DataFrame, level: str = "full") -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
+    if {"dir", "name", "is_test"} <= set(rows.columns):  # by the source, into which filters on them are pushed
+        return rows
     place = F.regexp_extract("path", r"^(?:(.*)/)?[^/]*$", 1)
     return rows.withColumns(
         {"dir": F.when(place == "", F.lit(".")).otherwise(place), "name": F.substring_index("path", "/", -1), "is_test": F.col("path").endswith("_test.go")}
@@ -64,10 +66,10 @@ def _placed(rows: DataFrame) -> DataFrame:
 class Corpus:
     """Many trees side by side; every table has `repo`, and paths are relative to the tree."""
 
-    def __init__(self, files: DataFrame, modules: DataFrame | None = None):
+    def __init__(self, files: DataFrame, modules: DataFrame | None = None, placed: bool = False):
         spark = files.sparkSession
         self.spark: SparkSession = spark
-        self.files = _placed(files.select("repo", "path", "content"))
+        self.files = _placed(files.select("repo", "path", "content", *(("dir", "name", "is_test") if placed else ())))
         self.modules = modules if modules is not None else spark.createDataFrame([], schemas.MODULES)
 
     # -- sources ----------------------------------------------------------------------------------
@@ -88,7 +90,7 @@ class Corpus:
 
         gotree.register(spark)
         reader = spark.read.format("gotree").option("path", os.pathsep.join(roots.values())).option("repo", os.pathsep.join(roots))
-        own = cls(reader.options(**options).load(), modules)
+        own = cls(reader.options(**options).load(), modules, placed=True)
         own.origin = (roots, options)
         return own
 
@@ -151,7 +153,11 @@ class Corpus:
     def module_paths(self) -> DataFrame:
         """repo, dir, module: what each module file declares."""
         line = F.regexp_extract(F.decode("content", "UTF-8"), r"(?m)^[ \t]*module[ \t]+(.*?)\s*$", 1)
-        return self.files.where("name = 'go.mod'").select("repo", "dir", line.alias("module")).where("module <> ''")
+        files = self.files
+        if self.origin is not None:  # a table of its own, of which the source opens module files alone
+            roots, options = self.origin
+            files = Corpus.of_roots(self.spark, roots, **(options | {"pushdown": "true"})).files
+        return files.where("name = 'go.mod'").select("repo", "dir", line.alias("module")).where("module <> ''")
 
     def only(self, repo: str | None = None) -> Corpus:
         """One tree: the one named, or the only one that there is."""

@@ -1,135 +1,380 @@
-"""A batch data source that lists and reads trees of Go source.
+"""A batch data source for trees of Go source: lists and reads them, and writes all of a DataFrame's files or none.
 
     register(spark)
     spark.read.format("gotree").option("path", root).load()
-
-gives repo, path (relative to the root), content. Listing prunes while it walks: `vendor`, directories
-that start with a dot (not the root) and, if asked for, excluded globs and depth. Files and directories
-that start with an underscore are kept, and so are files that start with a dot. Linked directories are not
-followed. Options: path (several roots: separated by the path separator), repo (names, likewise),
-dir (only this directory of each tree, with the module files above it), recursive, tests, exclude (globs,
-comma-separated), depth (below dir), errors (fail or skip), batch (files a task, which also reads BATCH_BYTES at most
-unless one file is larger). Roots are listed side by side.
-
-The roots must be visible to the driver, which lists them, and to the executors, which read: a shared
-folder. Trees that are elsewhere enter as rows, through Corpus.of_files.
+    changed.write.format("gotree").mode("append").option("path", root).save()
+
+Reading gives repo, path (relative to the root), dir (`.` for the root), name, is_test, depth (of dir), size, content.
+Listing prunes while it walks: `vendor`, directories that start with a dot (not the root) and, if asked for, excluded
+globs and depth. Files and directories that start with an underscore are kept, and so are files that start
+with a dot. Linked directories are not followed. Options: path (several roots: separated by the path
+separator), repo (names, likewise), dir (only this directory of each tree, with the module files above it), recursive, tests,
+exclude (globs, comma-separated), depth (below dir), errors (fail or skip), batch (files of one directory a task),
+content (false: null contents, nothing is read), pushdown.
+
+With pushdown=true filters on repo, path, dir, name, is_test and depth are pushed into the source: directories that cannot hold a match are not
+entered, files that do not match are not opened. The driver lists the upper directories only, level by level, until
+it has FOLDERS of them (it keeps their names, and numbers of files); tasks list what is below, and read it. (Spark keeps the pushed filters of a loaded table in one place for all its uses; so
+a plan that filters it in two ways has to load it twice, and the option is off unless asked for.)
+
+Writing takes path and content of a row (Go files in their formatter's layout; option layout=false: as they are). Every
+attempt of a task stages its files in a folder of its own beside the root, with a manifest of path, size and hash.
+Only when all tasks are done a commit record names the manifests of the attempts that count; then the files are
+moved to their places, or, in mode overwrite, a new tree is put together and takes the root's place. Without the record nothing is
+visible and an abort removes what was staged; with it, a commit that was interrupted is finished by whoever reads
+or writes the tree next. Of rows with one path any one is kept.
+
+The roots must be visible to the driver and to the executors: a shared folder. Trees that are elsewhere enter as rows,
+through Corpus.of_files.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-from collections.abc import Iterator
+import shutil
+import uuid
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import datasource as ds
 
 from canopy.functions.globs import glob_match
 from canopy.functions.goformat import formatted
 
-#: Bytes of the files of a task, and of a batch of rows on its way to the executor.
-BATCH_BYTES, ROWS_BYTES = 64 << 20, 4 << 20
-SCHEMA = "repo string, path string, content binary"
+#: Bytes of a batch of rows on its way to the executor; directories that the driver lists at least, if there are so many.
+ROWS_BYTES, FOLDERS = 4 << 20, 256
+SCHEMA = "repo string, path string, dir string, name string, is_test boolean, depth int, size long, content binary"
 MODULE_FILE = "go.mod"
+_COLUMNS = ("repo", "path", "dir", "name", "is_test", "depth")
 
 
 @dataclass
-class _Batch(InputPartition):
-    files: list[tuple[str, str, str]]  # repo, root, path in the tree
-
-    def __init__(self, files):
-        self.files = files
-
-
-def walk(root: str, recursive: bool = True, tests: bool = True, exclude: tuple[str, ...] = (), depth: int = 0, skip_errors: bool = False, name: str = "") -> Iterator[str]:
-    """Relative paths of the source files (and module files) under a root, pruned on the way. A root that is not to be
-    visited by its name gives none; `name` is the name it goes by, if not its own."""
-
-    def failed(error: OSError) -> None:
-        if not skip_errors:
-            raise error
-
-    base = name or os.path.basename(os.path.abspath(root))
-    if recursive and (base == "vendor" or any(glob_match(p, base) for p in exclude)):
-        return
-    for folder, folders, names in os.walk(root, onerror=failed):
-        rel = os.path.relpath(folder, root)
-        level = 0 if rel == "." else rel.count(os.sep) + 1
-        if not recursive:
-            folders[:] = []
-        folders[:] = sorted(
-            f for f in folders if f != "vendor" and not f.startswith(".") and not any(glob_match(p, f) for p in exclude) and not (depth and level + 1 > depth)
-        )
-        for name in sorted(names):
-            if name == MODULE_FILE or (name.endswith(".go") and (tests or not name.endswith("_test.go"))):
-                yield name if rel == "." else os.path.join(rel, name)
-
-
-class _Reader(DataSourceReader):
+class _Part(ds.InputPartition):
+    """Files of one folder (every `of`-th by hash), or of all that is below it too."""
+
+    repo: str
+    root: str
+    top: str  # the folder of the tree that options.dir names
+    folder: str  # in the tree
+    level: int  # below top
+    below: bool
+    part: int = 0
+    of: int = 1
+
+    def __post_init__(self):
+        self.value = self.folder
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What a walk keeps: options, and filters that were pushed."""
+
+    recursive: bool = True
+    tests: bool = True
+    exclude: tuple[str, ...] = ()
+    depth: int = 0
+    skip_errors: bool = False
+    filters: tuple[ds.Filter, ...] = ()
+
+    def enters(self, name: str, folder: str, level: int) -> bool:
+        """Whether a folder (of a level below the top) is listed."""
+        if name == "vendor" or name.startswith(".") or any(glob_match(p, name) for p in self.exclude) or (self.depth and level > self.depth):
+            return False
+        return all(_may_hold(f, folder) for f in self.filters)
+
+    def keeps(self, repo: str, path: str) -> bool:
+        name = path.rsplit("/", 1)[-1]
+        if name != MODULE_FILE and not (name.endswith(".go") and (self.tests or not name.endswith("_test.go"))):
+            return False
+        row = _described(repo, path)
+        return all(_holds(f, row) for f in self.filters)
+
+
+def _described(repo: str, path: str) -> dict:
+    folder, _, name = path.rpartition("/")
+    return {"repo": repo, "path": path, "dir": folder or ".", "name": name, "is_test": path.endswith("_test.go"), "depth": folder.count("/") + 1 if folder else 0}
+
+
+def _supported(f: ds.Filter) -> bool:
+    if isinstance(f, ds.Not):
+        return isinstance(f.child, ds.EqualTo | ds.In | ds.StringStartsWith | ds.StringEndsWith | ds.StringContains) and _supported(f.child)
+    known = ds.EqualTo | ds.EqualNullSafe | ds.In | ds.IsNotNull | ds.StringStartsWith | ds.StringEndsWith | ds.StringContains | ds.LessThan | ds.LessThanOrEqual | ds.GreaterThan | ds.GreaterThanOrEqual
+    return isinstance(f, known) and len(f.attribute) == 1 and f.attribute[0] in _COLUMNS and getattr(f, "value", 0) is not None and None not in (f.value if isinstance(f, ds.In) else ())
+
+
+def _holds(f: ds.Filter, row: dict) -> bool:
+    """A filter on a row without nulls."""
+    if isinstance(f, ds.Not):
+        return not _holds(f.child, row)
+    own = row[f.attribute[0]]
+    match f:
+        case ds.IsNotNull():
+            return True
+        case ds.EqualTo() | ds.EqualNullSafe():
+            return own == f.value
+        case ds.In():
+            return own in f.value
+        case ds.StringStartsWith():
+            return own.startswith(f.value)
+        case ds.StringEndsWith():
+            return own.endswith(f.value)
+        case ds.StringContains():
+            return f.value in own
+        case ds.LessThan():
+            return own < f.value
+        case ds.LessThanOrEqual():
+            return own <= f.value
+        case ds.GreaterThan():
+            return own > f.value
+    return own >= f.value
+
+
+def _may_hold(f: ds.Filter, folder: str) -> bool:
+    """Whether a folder, or one below it, can hold a file that a filter lets pass. Strings are compared as code
+    points here; only equality and beginnings decide, so order is of no matter."""
+    if isinstance(f, ds.Not):
+        return True
+    column, inner = f.attribute[0], folder + "/"
+    if column in ("dir", "path"):
+        match f:
+            case ds.EqualTo() | ds.EqualNullSafe():
+                return f.value == folder or f.value.startswith(inner)
+            case ds.In():
+                return any(v == folder or v.startswith(inner) for v in f.value)
+            case ds.StringStartsWith():
+                return inner.startswith(f.value) or folder.startswith(f.value) or f.value.startswith(inner)
+    if column == "depth":
+        level = folder.count("/") + 1
+        match f:
+            case ds.EqualTo() | ds.EqualNullSafe() | ds.LessThanOrEqual():
+                return level <= f.value
+            case ds.LessThan():
+                return level < f.value
+            case ds.In():
+                return any(level <= v for v in f.value)
+    return True
+
+
+def _joined(folder: str, name: str) -> str:
+    return name if folder == "." else f"{folder}/{name}"
+
+
+def _is_folder(entry: os.DirEntry) -> bool:
+    try:
+        return entry.is_dir()
+    except OSError:
+        return False  # a link that leads nowhere; reading says so
+
+
+def _listed(root: str, folder: str, rules: Rules) -> tuple[list[str], list[str]]:
+    """Names of the files and of the directories in a folder of a tree, sorted."""
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            entries = [(e.name, e.is_dir(follow_symlinks=False), _is_folder(e)) for e in found]
+    except OSError:
+        if not rules.skip_errors:
+            raise
+        return [], []
+    return sorted(n for n, _, folder_like in entries if not folder_like), sorted(n for n, own, _ in entries if own)
+
+
+def walk(root: str, folder: str, level: int, rules: Rules) -> Iterator[tuple[str, list[str]]]:
+    """(folder, names of its files) from a folder of a tree down, pruned on the way."""
+    names, folders = _listed(root, folder, rules)
+    yield folder, names
+    if rules.recursive:
+        for name in folders:
+            inner = _joined(folder, name)
+            if rules.enters(name, inner, level + 1):
+                yield from walk(root, inner, level + 1, rules)
+
+
+class _Reader(ds.DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
-
-    def partitions(self) -> list[_Batch]:
-        o = self.options
+        flag = lambda name, default: options.get(name, default).lower() == "true"
+        self.content = flag("content", "true")
+        exclude = tuple(p for p in options.get("exclude", "").split(",") if p)
+        self.rules = Rules(flag("recursive", "true"), flag("tests", "true"), exclude, int(options.get("depth", "0")), options.get("errors") == "skip")
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        if self.options.get("pushdown", "false").lower() != "true":
+            return filters
+        taken = [f for f in filters if _supported(f)]
+        self.rules = Rules(**{k: v for k, v in vars(self.rules).items() if k != "filters"}, filters=(*self.rules.filters, *taken))
+        return [f for f in filters if not _supported(f)]
+
+    def partitions(self) -> list[_Part]:
+        o, rules = self.options, self.rules
         roots = o["path"].split(os.pathsep)
         repos = o["repo"].split(os.pathsep) if o.get("repo") else [os.path.basename(os.path.abspath(r)) for r in roots]
-        flag = lambda name, default: o.get(name, default).lower() == "true"
-        exclude = tuple(p for p in o.get("exclude", "").split(",") if p)
-        most, inner = int(o.get("batch", "256")), o.get("dir", ".")
-
-        def listed(repo: str, root: str) -> list[tuple[str, str, str, int]]:
-            top = os.path.join(root, inner) if inner != "." else root
-            below = (os.path.normpath(os.path.join(inner, p)) for p in walk(top, flag("recursive", "true"), flag("tests", "true"), exclude, int(o.get("depth", "0")), o.get("errors") == "skip", os.path.basename(inner)))
-            above = [os.path.join(*inner.split("/")[:k], MODULE_FILE) for k in range(inner.count("/") + 1)] if inner != "." else []
-            paths = [p for p in above if os.path.isfile(os.path.join(root, p))] + list(below)
-            return [(repo, root, p, _size(os.path.join(root, p))) for p in paths]
-
+        top, most = os.path.normpath(o.get("dir", ".")), int(o.get("batch", "256"))
+        out: list[_Part] = []
+        frontier: list[_Part] = []
+        for repo, root in zip(repos, roots, strict=True):
+            recover(root)
+            if not all(_holds(f, {"repo": repo}) for f in rules.filters if not isinstance(f, ds.Not) and f.attribute == ("repo",)):
+                continue
+            base = os.path.basename(top) if top != "." else os.path.basename(os.path.abspath(root))
+            above = [os.path.join(*top.split("/")[:k], "") if k else "." for k in range(top.count("/") + 1)] if top != "." else []
+            out += [_Part(repo, root, top, os.path.normpath(f), 0, False, 0, 0) for f in above]  # module files only
+            if not (rules.recursive and (base == "vendor" or any(glob_match(p, base) for p in rules.exclude))):
+                frontier.append(_Part(repo, root, top, top, 0, True))
         with ThreadPoolExecutor(16) as threads:
-            found = [row for rows in threads.map(listed, repos, roots, timeout=None) for row in rows]
-        out: list[_Batch] = []
-        held: list[tuple[str, str, str]] = []
-        total = 0
-        for *file, size in found:
-            if held and (len(held) >= most or total + size > BATCH_BYTES):
-                out.append(_Batch(held))
-                held, total = [], 0
-            held.append(tuple(file))
-            total += size
-        return [*out, _Batch(held)]
-
-    def read(self, partition: _Batch) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("content", pa.binary())])
-        rows: list[tuple[str, str, bytes]] = []
-        held = 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
-
-        for repo, root, path in partition.files:
+            while frontier and len(frontier) < FOLDERS:  # one level of all trees at a time
+                level, frontier = frontier, []
+                for at, (names, folders) in zip(level, threads.map(lambda p: _listed(p.root, p.folder, rules), level), strict=True):
+                    parts = max(1, -(-len(names) // most))
+                    out += [_Part(at.repo, at.root, top, at.folder, at.level, False, k, parts) for k in range(parts)] if names else []
+                    inner = [(name, _joined(at.folder, name)) for name in folders] if rules.recursive else []
+                    frontier += [_Part(at.repo, at.root, top, folder, at.level + 1, True) for name, folder in inner if rules.enters(name, folder, at.level + 1)]
+        return [*out, *frontier] or [_Part("", "", ".", ".", 0, False, 0, -1)]
+
+    def _files(self, p: _Part) -> Iterator[str]:
+        if p.of < 0:
+            return
+        if p.of == 0:  # above the top: the module file
+            path = _joined(p.folder, MODULE_FILE)
+            if os.path.isfile(os.path.join(p.root, path)):
+                yield path
+            return
+        for folder, names in walk(p.root, p.folder, p.level, self.rules) if p.below else [(p.folder, _listed(p.root, p.folder, self.rules)[0])]:
+            yield from (_joined(folder, name) for name in names if p.of == 1 or crc32(name.encode(errors="surrogateescape")) % p.of == p.part)
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        kinds = {"repo": pa.string(), "path": pa.string(), "dir": pa.string(), "name": pa.string(), "is_test": pa.bool_(), "depth": pa.int32(), "size": pa.int64(), "content": pa.binary()}
+        schema, rows, held = pa.schema(list(kinds.items())), [], 0
+        for path in self._files(partition):
+            if not self.rules.keeps(partition.repo, path):
+                continue
             try:
-                with open(os.path.join(root, path), "rb") as f:
-                    rows.append((repo, path, f.read()))
+                full = os.path.join(partition.root, path)
+                content = None
+                if self.content:
+                    with open(full, "rb") as f:
+                        content = f.read()
+                size = len(content) if content is not None else os.path.getsize(full)
             except OSError:
-                if self.options.get("errors") != "skip":
+                if not self.rules.skip_errors:
                     raise
                 continue
-            held += len(rows[-1][2])
+            rows.append(_described(partition.repo, path) | {"size": size, "content": content})
+            held += 100 + (size if content is not None else 0)
             if held > ROWS_BYTES:
-                yield batch()
+                yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, held = [], 0
-        yield batch()
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _size(path: str) -> int:
-    try:
-        return os.path.getsize(path)
-    except OSError:
-        return 0  # gone, or not to be read: reading says so
-
-
-class GoTree(DataSource):
+# -- writing ---------------------------------------------------------------------------------------------------
+@dataclass
+class _Staged(ds.WriterCommitMessage):
+    manifest: str
+    files: int
+
+
+def _stages(root: str) -> tuple[str, str]:
+    """Folder and name prefix of what is staged for a root."""
+    full = os.path.abspath(root)
+    return os.path.dirname(full), f".{os.path.basename(full)}.staged-"
+
+
+class _Writer(ds.DataSourceArrowWriter):
+    def __init__(self, options: dict, columns: list[str], overwrite: bool):
+        for name in ("path", "content"):
+            if name not in columns:
+                raise ValueError(f"rows to write need a column {name}")
+        self.root, self.layout, self.overwrite = options["path"], options.get("layout", "true").lower() == "true", overwrite
+        parent, prefix = _stages(self.root)
+        self.stage = os.path.join(parent, prefix + uuid.uuid4().hex)
+        os.makedirs(self.stage)  # on the driver; tasks that outlive an abort do not make it again
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Staged:
+        own = os.path.join(self.stage, uuid.uuid4().hex)  # of this attempt
+        os.mkdir(own)
+        count = 0
+        with open(f"{own}.part", "w", encoding="utf-8") as manifest:
+            for batch in iterator:
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    if not path or os.path.isabs(path) or ".." in path.split("/"):
+                        raise ValueError(f"not a path inside a tree: {path!r}")
+                    data = content.encode() if isinstance(content, str) else content or b""
+                    data = formatted(data) if self.layout and path.endswith(".go") else data
+                    target = os.path.join(own, os.path.normpath(path))
+                    if os.path.isdir(own):
+                        os.makedirs(os.path.dirname(target), mode=0o755, exist_ok=True)
+                    with open(target, "wb") as f:
+                        f.write(data)
+                    manifest.write(json.dumps([os.path.normpath(path), len(data), hashlib.sha256(data).hexdigest()]) + "\n")
+                    count += 1
+            manifest.flush()
+            os.fsync(manifest.fileno())
+        os.replace(f"{own}.part", f"{own}.manifest")
+        return _Staged(f"{own}.manifest", count)
+
+    def commit(self, messages: list[_Staged | None]) -> None:
+        record = os.path.join(self.stage, "COMMIT")
+        with open(f"{record}.part", "w", encoding="utf-8") as f:
+            json.dump({"overwrite": self.overwrite, "manifests": [m.manifest for m in messages if m is not None]}, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(f"{record}.part", record)  # from here on the files belong to the tree
+        _publish(self.root, self.stage)
+
+    def abort(self, messages: list[_Staged | None]) -> None:
+        if not os.path.exists(os.path.join(self.stage, "COMMIT")):
+            shutil.rmtree(self.stage, ignore_errors=True)
+
+
+def _publish(root: str, stage: str) -> None:
+    """Move the files of a committed stage to their places; may be repeated after an interruption at any point."""
+    if not os.path.exists(os.path.join(stage, "COMMIT")):
+        return  # somebody else has finished it
+    with open(os.path.join(stage, "COMMIT"), encoding="utf-8") as f:
+        record = json.load(f)
+    target = os.path.join(stage, "tree") if record["overwrite"] else root
+    done = os.path.join(stage, "DONE")
+
+    def move(manifest: str) -> None:
+        with open(manifest, encoding="utf-8") as lines:  # not held
+            for line in lines:
+                path = json.loads(line)[0]
+                staged, final = os.path.join(manifest.removesuffix(".manifest"), path), os.path.join(target, path)
+                if os.path.exists(staged):  # else it was moved before
+                    os.makedirs(os.path.dirname(final), mode=0o755, exist_ok=True)
+                    with suppress(FileNotFoundError):  # by somebody else, just now
+                        os.replace(staged, final)
+
+    if not os.path.exists(done):
+        os.makedirs(target, exist_ok=True)
+        with ThreadPoolExecutor(16) as threads:
+            list(threads.map(move, record["manifests"]))
+        open(done, "w").close()
+    if record["overwrite"] and os.path.isdir(target):
+        old = os.path.join(stage, "old")
+        if os.path.isdir(root) and not os.path.isdir(old):
+            os.replace(root, old)
+        os.replace(target, root)
+    shutil.rmtree(stage, ignore_errors=True)
+
+
+def recover(root: str) -> None:
+    """Finish the commits to a tree that were interrupted."""
+    parent, prefix = _stages(root)
+    if os.path.isdir(parent):
+        for name in sorted(os.listdir(parent)):
+            if name.startswith(prefix) and os.path.exists(os.path.join(parent, name, "COMMIT")):
+                _publish(root, os.path.join(parent, name))
+
+
+class GoTree(ds.DataSource):
     @classmethod
     def name(cls) -> str:
         return "gotree"
@@ -137,24 +382,19 @@ class GoTree(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
+    def reader(self, schema) -> ds.DataSourceReader:
         return _Reader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> ds.DataSourceArrowWriter:
+        return _Writer(dict(self.options), schema.fieldNames(), overwrite)
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GoTree)
 
 
-def write_tree(files, root: str) -> None:
-    """Write the changed files of an edit (path, content) below a shared root, one file per row; Go files in
-    their formatter's layout."""
-
-    def save(rows) -> None:
-        for row in rows:
-            target = os.path.join(root, row["path"])
-            os.makedirs(os.path.dirname(target) or ".", mode=0o755, exist_ok=True)
-            with open(f"{target}.part", "wb") as f:
-                f.write(formatted(bytes(row["content"])) if row["path"].endswith(".go") else bytes(row["content"]))
-            os.replace(f"{target}.part", target)  # a retried task overwrites with the same bytes
-
-    files.select("path", "content").foreachPartition(save)
+def write_tree(files, root: str, mode: str = "append", layout: bool = True) -> None:
+    """Write files (path, content) below a shared root, all of them or none; Go files in their formatter's layout."""
+    register(files.sparkSession)
+    files.select("path", "content").write.format("gotree").mode(mode).option("path", root).option("layout", str(layout).lower()).save()
