@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.operators import budget, splices
+from canopy.operators import budget, layers, prefixes, splices, text_output
 from canopy.plans.lineage import checkpointed, ensure_checkpoint_dir
 from canopy.sources import gotree
 
@@ -163,3 +163,54 @@ def t_written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some of them, by filters that the source takes over: other folders are not entered, other files not opened."""
     return _read_back(spark, sf_dir, F.col("dir").startswith("src1") & ~F.col("is_test") & F.col("name").endswith("7.go") & (F.col("depth") <= 2))
+
+
+def _known_prefixes(pages: DataFrame) -> DataFrame:
+    """Some hosts, some of their folders, and some paths, as a table of prefixes."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    kinds = [("host", F.length("host") % 2 == 0), (folder, F.col("page_id") % 5 == 0), ("path", F.col("page_id") % 11 == 0)]
+    rows = None
+    for prefix, keep in kinds:
+        own = pages.where(keep).select(F.lit("").alias("tree"), (F.col(prefix) if isinstance(prefix, str) else prefix).alias("prefix")).distinct()
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.distinct().withColumn("value", F.md5("prefix"))
+
+
+@_query("""
+WITH p AS (SELECT page_id, path, split_part(path, '/', 1) AS host, regexp_replace(path, '/[^/]*$', '') AS folder FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)),
+known AS (SELECT host AS prefix FROM p WHERE length(host) % 2 = 0 UNION SELECT folder FROM p WHERE page_id % 5 = 0 UNION SELECT path FROM p WHERE page_id % 11 = 0),
+above AS (SELECT page_id, array_to_string(parts[1:i], '/') AS prefix, i FROM (SELECT page_id, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM p)),
+found AS (SELECT page_id, arg_max(prefix, i) AS prefix FROM above JOIN known USING (prefix) GROUP BY page_id)
+SELECT page_id, path, coalesce(prefix, '') AS prefix, coalesce(md5(prefix), '') AS value FROM p LEFT JOIN found USING (page_id)""")
+def t_nearest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest known ancestor of every page's path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    pages = pages.withColumns({"host": F.substring_index("path", "/", 1), "tree": F.lit("")})
+    found = prefixes.nearest(pages, _known_prefixes(pages), "tree", "path")
+    return found.select("page_id", "path", F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("value", F.lit("")).alias("value"))
+
+
+@_query("""
+WITH c AS (SELECT user_id AS k, event_id % 50 AS layer, value, event_type = 'error' AS gone FROM events WHERE event_id % 3 > 0),
+one AS (SELECT k, layer, max(CASE WHEN gone THEN NULL ELSE value END) AS value, bool_and(gone) AS gone FROM c GROUP BY k, layer),
+newest AS (SELECT k, arg_max(CASE WHEN gone THEN -1 ELSE value END, layer) AS value FROM one GROUP BY k)
+SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NULL THEN o_totalprice ELSE value END AS o_totalprice FROM orders FULL JOIN newest ON o_orderkey = k WHERE k IS NULL OR value >= 0""")
+def t_layered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders under fifty layers of changes and tombstones, made of events, in one aggregation."""
+    events = table(spark, sf_dir, "events").where("event_id % 3 > 0")
+    changes = events.select(F.col("user_id").alias("o_orderkey"), F.col("value").alias("o_totalprice"), (F.col("event_id") % 50).alias("version"), (F.col("event_type") == "error").alias("gone"))
+    return layers.merged(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), changes, ["o_orderkey"])
+
+
+@_query("""
+WITH p AS (SELECT DISTINCT split_part(path, '/', 1) AS host, path FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)),
+lines AS (SELECT host, '' AS path, host || ' (' || count(*) || ')' AS line FROM p GROUP BY host UNION ALL SELECT host, path, '- ' || path FROM p)
+SELECT row_number() OVER (ORDER BY host, path) || ': ' || line AS value FROM lines""")
+def t_page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of the pages as numbered text that all tasks write: hosts with their paths; read back."""
+    paths = page_paths(spark, sf_dir).select("host", "path").distinct()
+    heads = paths.groupBy("host").agg(F.count("*").alias("n")).select("host", F.lit("").alias("path"), F.array(F.concat("host", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("lines"))
+    rows = heads.unionByName(paths.select("host", "path", F.array(F.concat(F.lit("- "), "path")).alias("lines")))
+    folder = f"{ensure_checkpoint_dir(spark)}/page-map-{uuid.uuid4().hex}"
+    text_output.write_lines(text_output.numbered_lines(rows, ["host", "path"], F.col("lines")), folder, max(4, spark.sparkContext.defaultParallelism))
+    return spark.read.text(folder)

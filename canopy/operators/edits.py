@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import gotext as g
 from canopy.functions.edit_rules import Action, Outcome, Tree
+from canopy.operators.layers import Layers
 from canopy.plans import schemas
 from canopy.plans.corpus import Corpus
 from canopy.plans.lineage import checkpointed
@@ -150,11 +151,13 @@ def total_modified(outcomes: list[DataFrame]) -> DataFrame:
 
 
 def overlay(corpus: Corpus, changed: DataFrame) -> Corpus:
-    """The corpus as it reads with changed files laid over it."""
-    base = corpus.files.select("repo", "path", F.col("content").alias("old"))
-    new = changed.select("repo", "path", F.col("content").alias("new"))
-    rows = base.join(new, ["repo", "path"], "full").select("repo", "path", F.coalesce("new", "old").alias("content"))
-    return Corpus.of_files(rows, corpus.modules)
+    """The corpus as it reads with changed files laid over it. Overlays of overlays are layers of one base, so that
+    reading takes one aggregation, however many there are."""
+    layers = corpus.layers or Layers(corpus.files.select("repo", "path", "content"), ("repo", "path"))
+    layers = layers.add(changed)
+    own = Corpus.of_files(layers.read(), corpus.modules)
+    own.layers = layers
+    return own
 
 
 def unified_diff(corpus: Corpus, changed: DataFrame) -> DataFrame:

@@ -189,6 +189,7 @@ class Corpus:
     repo: str = ""
     cached: bool = False
     origin: tuple[dict[str, str], dict[str, str]] | None = None
+    layers: object = None  # operators.layers.Layers of a corpus that is an overlay
 
 
 __all__ = ["Corpus", "parse", "parsed_row"]
