@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.operators import budget, layers, prefixes, splices, text_output
+from canopy.operators import budget, glob_tables, layers, prefixes, splices, text_output
 from canopy.plans.lineage import checkpointed, ensure_checkpoint_dir
 from canopy.sources import gotree
 
@@ -214,3 +214,25 @@ def t_page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/page-map-{uuid.uuid4().hex}"
     text_output.write_lines(text_output.numbered_lines(rows, ["host", "path"], F.col("lines")), folder, max(4, spark.sparkContext.defaultParallelism))
     return spark.read.text(folder)
+
+
+def _globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of every part: a literal, an ending, a beginning, or with a class."""
+    key, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
+    kinds = [key.cast("string"), F.concat(F.lit("*"), key % 1000, F.lit(".html")), F.concat(F.substring("p_name", 1, 2), F.lit("*"))]
+    pattern = F.concat(F.lit("?"), key % 100, F.lit("[0-4]*"))
+    for i, kind in enumerate(kinds):
+        pattern = F.when(key % 4 == i, kind).otherwise(pattern)
+    return parts.select(pattern.alias("pattern"))
+
+
+@_query("""
+WITH g AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN '*' || (p_partkey % 1000) || '.html' WHEN 2 THEN substr(p_name, 1, 2) || '*' ELSE '?' || (p_partkey % 100) || '[0-4]*' END AS pattern FROM part),
+s AS (SELECT page_id, unnest(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) AS name FROM pages),
+m AS (SELECT name, pattern FROM (SELECT DISTINCT name FROM s) JOIN g ON name GLOB pattern),
+f AS (SELECT page_id, string_agg(pattern, ' ' ORDER BY pattern) AS patterns FROM (SELECT DISTINCT page_id, pattern FROM s JOIN m USING (name)) GROUP BY page_id)
+SELECT page_id, coalesce(patterns, '') AS patterns FROM pages LEFT JOIN f USING (page_id)""")
+def t_glob_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patterns, out of one for every part, that match a component of each page's path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return glob_tables.matching(pages, "path", _globs(spark, sf_dir)).select("page_id", F.array_join("patterns", " ").alias("patterns"))
