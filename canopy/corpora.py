@@ -10,8 +10,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from canopy.operators import budget, glob_tables, layers, prefixes, splices, text_output
+from canopy.operators import budget, glob_tables, layers, name_index, prefixes, splices, text_output
+from canopy.operators.memo import Memo
 from canopy.plans.lineage import checkpointed, ensure_checkpoint_dir
 from canopy.sources import gotree
 
@@ -236,3 +238,32 @@ def t_glob_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patterns, out of one for every part, that match a component of each page's path."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     return glob_tables.matching(pages, "path", _globs(spark, sf_dir)).select("page_id", F.array_join("patterns", " ").alias("patterns"))
+
+
+@_query("""
+SELECT kind, key, name FROM (SELECT 'part' AS kind, p_partkey AS key, p_name AS name FROM part UNION ALL SELECT 'customer', c_custkey, c_name FROM customer)
+WHERE name IN (SELECT c_name FROM customer WHERE c_custkey % 97 = 0) OR name IN (SELECT p_name FROM part WHERE p_partkey % 501 = 0)""")
+def t_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts and customers in a kept index, and a lookup of some of them."""
+    parts = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    customers = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    wanted = customers.where("key % 97 = 0").select("name").unionByName(parts.where("key % 501 = 0").select("name"))
+    index = name_index.build(parts.unionByName(customers))
+    found = checkpointed(index.lookup(wanted))
+    index.drop()
+    return found.select("kind", "key", "name")
+
+
+@_query(r"""
+SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS n_words, strlen(coalesce(text, '')) AS n_bytes,
+  (SELECT count(DISTINCT coalesce(text, '')) FROM documents WHERE doc_id % 100 > 0) AS first_computed,
+  (SELECT count(DISTINCT coalesce(text, '')) FROM documents WHERE doc_id % 100 = 0 AND coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 100 > 0)) AS then_computed
+FROM documents""")
+def t_memo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document by a memo: a run over 99 % of the documents, then one over all, which computes what is new."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = [F.size(F.split("content", "\n")).alias("n_lines"), F.size(F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0))).alias("n_words"), F.octet_length("content").alias("n_bytes")]
+    results = T.StructType([T.StructField(n, T.IntegerType()) for n in ("n_lines", "n_words", "n_bytes")])
+    memo = Memo(spark, lambda rows: rows.select("__hash", *counted), results)
+    memo.apply(docs.where("doc_id % 100 > 0"), "text")
+    return memo.apply(docs, "text").select("doc_id", *[F.col(n).cast("long").alias(n) for n in results.fieldNames()], F.lit(memo.computed[0]).cast("long").alias("first_computed"), F.lit(memo.computed[1]).cast("long").alias("then_computed"))
