@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import columns as c
+from canopy.operators import interfaces
 from canopy.operators.budget import within_budget
 from canopy.operators.ordered import joined, running_sums
 
@@ -61,16 +62,16 @@ def k_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that no event names as its user."""
-    seen = _table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
-    return _table(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers that no event names as its user, as methods that a type lacks."""
+    seen = _table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    return interfaces.lacking(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), seen, ["c_custkey"])
 
 
 def k_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose line count is not the expected one."""
-    have = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("got"))
-    need = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("expected"))
-    return need.join(have, "o_orderkey").where("got <> expected")
+    """Orders whose line count is not the expected one, as methods with another number of parameters."""
+    have = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("params")).withColumn("results", F.lit(0))
+    need = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("want_params"), F.lit(0).alias("want_results"))
+    return interfaces.conflicts(need, have, ["o_orderkey"]).select("o_orderkey", F.col("want_params").alias("expected"), F.col("params").alias("got"))
 
 
 def k_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +93,12 @@ def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer columns as struct parts: on one line up to five, else one a line (nations as structs)."""
-    parts = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.array("c_name").alias("names"), F.col("c_mktsegment").alias("type_src")))).alias("fields"))
-    rows = parts.select(F.struct(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("name"), "fields").alias("d"))
-    return rows.select(F.col("d.name").alias("name"), c.struct_signature(F.col("d")).alias("signature"))
+    """Customer columns as struct parts: on one line up to five, else one a line (a struct for each nation and 128
+    keys, so that none grows with the table)."""
+    block = F.floor(F.col("c_custkey") / 128).cast("string")
+    rows = _table(spark, sf_dir, "customer").withColumn("name", F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("B"), block))
+    parts = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.array("c_name").alias("names"), F.col("c_mktsegment").alias("type_src")))).alias("fields"))
+    return parts.select("name", c.struct_signature(F.struct("name", "fields")).alias("signature"))
 
 
 QUERIES = {f.__name__: f for f in (k_tree_group, k_focus, k_budget, k_deps, k_first_file, k_numbered, k_missing, k_conflict, k_union, k_snake, k_fold, k_signatures)}
@@ -124,7 +127,7 @@ ORACLE = {
         SELECT conv_id, list_reduce(list_concat([''], list(text ORDER BY turn, text)), lambda s, x: md5(s || x)) AS folded, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS joined
         FROM conversations GROUP BY conv_id""",
     "k_signatures": """
-        SELECT 'N' || c_nationkey AS name, CASE WHEN count(*) <= 5 THEN 'type N' || c_nationkey || ' struct { ' || string_agg(c_name || ' ' || c_mktsegment, '; ' ORDER BY c_name, c_mktsegment) || ' }'
-          ELSE 'type N' || c_nationkey || ' struct {' || chr(10) || string_agg('    ' || c_name || ' ' || c_mktsegment, chr(10) ORDER BY c_name, c_mktsegment) || chr(10) || '}' END AS signature
-        FROM customer GROUP BY c_nationkey""",
+        SELECT name, CASE WHEN count(*) <= 5 THEN 'type ' || name || ' struct { ' || string_agg(c_name || ' ' || c_mktsegment, '; ' ORDER BY c_name, c_mktsegment) || ' }'
+          ELSE 'type ' || name || ' struct {' || chr(10) || string_agg('    ' || c_name || ' ' || c_mktsegment, chr(10) ORDER BY c_name, c_mktsegment) || chr(10) || '}' END AS signature
+        FROM (SELECT *, 'N' || c_nationkey || 'B' || (c_custkey // 128) AS name FROM customer) GROUP BY name""",
 }

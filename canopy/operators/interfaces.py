@@ -9,7 +9,7 @@ one interface's methods.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +21,7 @@ from canopy.functions import columns as c
 from canopy.functions import gotext as g
 from canopy.functions.gotypes import type_string
 from canopy.operators.edits import overlay
+from canopy.operators.ordered import joined
 from canopy.operators.symbols import RESULT, results
 from canopy.plans import schemas
 from canopy.plans.corpus import Corpus
@@ -79,9 +80,10 @@ def embeddings(corpus: Corpus) -> DataFrame:
     return rows.select("home", "iface", target.alias("to_home"), F.element_at(parts, -1).alias("to_iface")).distinct()
 
 
-def method_sets(corpus: Corpus, catalog: DataFrame | None = None) -> DataFrame:
+def method_sets(corpus: Corpus, catalog: DataFrame | None = None, only: str | None = None) -> DataFrame:
     """home and schemas.CATALOG of one tree and the catalog, with the methods of embedded interfaces, sorted by name
-    (ord from 0). An interface that embeds itself, however far, is an error."""
+    (ord from 0); of all interfaces, or of those of one name, from which alone embedding is then followed. An interface
+    among them that embeds itself, however far, is an error."""
     own, edges = checkpointed(declared_methods(corpus)), checkpointed(embeddings(corpus))
     known = own
     if catalog is not None:
@@ -90,6 +92,8 @@ def method_sets(corpus: Corpus, catalog: DataFrame | None = None) -> DataFrame:
     # packages are compared by path, or by name where only that is known
     short = F.substring_index("at_home", "/", -1)
     first = known.select("home", "iface").unionByName(edges.select("home", "iface")).distinct()
+    if only is not None:
+        first = first.where(F.col("iface") == only)
     new = reach = checkpointed(first.withColumns({"at_home": F.col("home"), "at_iface": F.col("iface")}))
     step = edges.withColumnsRenamed({"home": "at_home", "iface": "at_iface"})
     while not new.isEmpty():  # as often as interfaces are nested
@@ -117,7 +121,7 @@ def resolve(corpus: Corpus, catalog: DataFrame | None, name: str, repo: str | No
     path, _, iface = name.rpartition(".")
     if not path:
         raise g.EngineError("NOT_FOUND", f"interface {name!r} must be given as package.Interface")
-    rows = method_sets(corpus, catalog).where((F.col("iface") == iface) & ((F.col("home") == path) | (F.col("package") == path))).orderBy("home", "ord").collect()
+    rows = method_sets(corpus, catalog, iface).where((F.col("iface") == iface) & ((F.col("home") == path) | (F.col("package") == path))).orderBy("home", "ord").collect()
     rows = [r for r in rows if r["home"] == path] or rows
     if len(homes := sorted({r["home"] for r in rows})) > 1:
         raise g.EngineError("INVALID_ACTION", f"interface {name} is declared in several packages: {', '.join(homes)}")
@@ -165,9 +169,15 @@ def _own_methods(corpus: Corpus, receiver: str, path: str) -> DataFrame:
     return have.select(d["name"].alias("method"), c.field_count(d["params"]).alias("params"), c.field_count(d["results"]).alias("results"))
 
 
-def conflicts(need: DataFrame, have: DataFrame) -> DataFrame:
-    """Of methods needed (method, want_params, want_results) those that are there with other numbers, in order."""
-    return need.join(have, "method").where("params <> want_params or results <> want_results").orderBy("method")
+def conflicts(need: DataFrame, have: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
+    """Of methods needed (keys, want_params, want_results) those that are there (keys, params, results) with other
+    numbers. Keys name a method: by itself, or with its tree, type and whatever else; nulls are values like others."""
+    return joined(need, have, keys).where("params <> want_params or results <> want_results")
+
+
+def lacking(need: DataFrame, have: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
+    """Rows of methods needed that are not there, by keys."""
+    return joined(need, have.select(*keys).distinct(), keys, "left_anti")
 
 
 def missing_methods(corpus: Corpus, interface: str, receiver: str, path: str, catalog: DataFrame | None = None, repo: str | None = None) -> list[g.Method]:
@@ -179,14 +189,14 @@ def missing_methods(corpus: Corpus, interface: str, receiver: str, path: str, ca
         return []
     need = corpus.spark.createDataFrame([(m.name, len(m.params), len(m.results)) for m in methods], "method string, want_params int, want_results int")
     have = _own_methods(corpus, receiver, path)
-    if conflict := conflicts(need, have).first():
+    if conflict := conflicts(need, have).orderBy("method").first():
         raise g.EngineError(
             "CONFLICT",
             f"conflict: method '{conflict['method']}' already exists on {g.base_name(receiver)} but signature mismatches! Expected {conflict['want_params']} params and "
             f"{conflict['want_results']} results, got {conflict['params']} params and {conflict['results']} results",
         )
-    lacking = {r["method"] for r in need.join(have, "method", "left_anti").select("method").collect()}
-    return [m for m in methods if m.name in lacking]
+    absent = {r["method"] for r in lacking(need, have).select("method").collect()}
+    return [m for m in methods if m.name in absent]
 
 
 def implement(corpus: Corpus, interface: str, receiver: str, path: str, catalog: DataFrame | None = None, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
