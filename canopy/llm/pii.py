@@ -265,19 +265,21 @@ def detect(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """All columns of docs, with counts of the base kinds, a digest of the base spans, all spans joined, and their number."""
+    """All columns of docs, with counts of the base kinds, a digest of the base spans, all spans joined, their number, and
+    their scores in the same order."""
 
     def make(texts: list[str | None]) -> list[pa.Array]:
-        counts, base_sha, spans, every = {k: [] for k in BASE}, [], [], []
+        counts, base_sha, spans, every, scores = {k: [] for k in BASE}, [], [], [], []
         for found in map(find, texts):
             for kind in BASE:
                 counts[kind].append(sum(s.kind == kind for s in found))
             base_sha.append(hashlib.sha256(join([s for s in found if s.kind in BASE]).encode()).hexdigest())
             spans.append(join(found))
             every.append(len(found))
-        return [*(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(base_sha, pa.string()), pa.array(spans, pa.string()), pa.array(every, pa.int64())]
+            scores.append(",".join(f"{s.score:.2f}" for s in found))
+        return [*(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(base_sha, pa.string()), pa.array(spans, pa.string()), pa.array(every, pa.int64()), pa.array(scores, pa.string())]
 
-    added = [*((f"n_{k}", T.LongType()) for k in BASE), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_spans", T.LongType())]
+    added = [*((f"n_{k}", T.LongType()) for k in BASE), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_spans", T.LongType()), ("scores", T.StringType())]
     return _map_texts(docs, text_column, added, make)
 
 

@@ -523,6 +523,15 @@ def test_added_kinds_scores_and_redaction():
     assert pii.mod97(iban.replace(" ", "")) and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_scores_are_returned_in_the_order_of_the_spans(spark):
+    text = "call me at +1 555 010 9999 or mail a@b.example; host 10.0.0.1"
+    row = pii.digests(docs_of(spark, [(1, text), (2, None)])).orderBy("doc_id").collect()
+    found = pii.find(text)
+    assert row[0]["scores"] == ",".join(f"{s.score:.2f}" for s in found) and row[0]["scores"].count(",") + 1 == row[0]["n_spans"] == len(found) == 3
+    assert row[0]["spans"] == pii.join(found) and row[1]["scores"] == ""
+    assert pii.find(text)[2].score > pii.find("nothing else, +1 555 010 9999")[0].score  # context raises it
+
+
 def test_secrets_of_any_length():
     value = "a1B2" * 100
     for text in (f'token="{value}" x', f"token={value}, x", f"see password={value}"):
