@@ -25,6 +25,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -153,15 +154,17 @@ def patterns(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, l
     return [pattern for _, group in sorted(open_packs.items(), reverse=True) for pattern in group]
 
 
-def slots(packs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, sequence of the first, offset) of every slot of the patterns."""
+def slots(packs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, packs, sequence of the first, offset) of every length of every pattern: equal
+    lengths stand side by side in a pattern, so ranks fill the first such slot of all packs, then the next."""
     out, used, sequence = [], defaultdict(int), 0
     for count, lengths in packs:
         offset = 0
-        for length in lengths:
-            out.append((length, used[length], used[length] + count, sequence, offset))
-            used[length] += count
-            offset += length
+        for length, equal in groupby(lengths):
+            n = len(list(equal))
+            out.append((length, used[length], used[length] + count * n, count, sequence, offset))
+            used[length] += count * n
+            offset += length * n
         sequence += count
     return out
 
@@ -171,7 +174,7 @@ def pack(cut: DataFrame, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS) ->
     spark = cut.sparkSession
     cut = cut.drop("sequence_id", "offset")
     names = cut.columns
-    key, bucket, buckets, rank, before, begin, end, first = (unused(cut, n) for n in ("key", "bucket", "buckets", "rank", "before", "begin", "end", "first"))
+    key, bucket, buckets, rank, before, begin, end, packs, first = (unused(cut, n) for n in ("key", "bucket", "buckets", "rank", "before", "begin", "end", "packs", "first"))
     cut = checkpointed(cut.withColumn(key, F.monotonically_increasing_id()))  # encoded once, and keys settled
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `limit` rows
     if any(not 0 < length <= limit for length in histogram):
@@ -185,9 +188,11 @@ def pack(cut: DataFrame, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS) ->
     inside = Window.partitionBy("length", bucket).orderBy(key)
     ranked = rows.withColumn(rank, F.row_number().over(inside)).join(F.broadcast(begins), ["length", bucket])
     ranked = ranked.withColumn(rank, F.col(rank) - 1 + F.col(before))
-    places = spark.createDataFrame(slots(patterns(histogram, limit)), f"length long, {begin} long, {end} long, {first} long, offset long")
+    places = spark.createDataFrame(slots(patterns(histogram, limit)), f"length long, {begin} long, {end} long, {packs} long, {first} long, offset long")
     placed = ranked.join(F.broadcast(places), "length").where((F.col(rank) >= F.col(begin)) & (F.col(rank) < F.col(end)))
-    return placed.select(*names, (F.col(first) + F.col(rank) - F.col(begin)).alias("sequence_id"), "offset")
+    at = F.col(rank) - F.col(begin)
+    slot = F.expr(f"({rank} - {begin}) div {packs}")
+    return placed.select(*names, (F.col(first) + at % F.col(packs)).alias("sequence_id"), (F.col("offset") + slot * F.col("length")).alias("offset"))
 
 
 def sequences(packed: DataFrame, limit: int = LIMIT, pad_id: int = 0) -> DataFrame:

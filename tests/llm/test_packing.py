@@ -79,7 +79,7 @@ def test_patterns_are_those_of_packs_one_at_a_time(seed):
     got = packing.patterns({n: pieces.count(n) for n in set(pieces)}, limit)
     assert sorted(x for count, lengths in got for x in [sum(lengths)] * count) == sorted(packs)
     assert sorted(x for count, lengths in got for x in lengths * count) == sorted(pieces)
-    taken = sorted((length, begin, end) for length, begin, end, _, _ in packing.slots(got))
+    taken = sorted((length, begin, end) for length, begin, end, *_ in packing.slots(got))
     for n in set(pieces):
         ranges = [(begin, end) for length, begin, end in taken if length == n]
         assert ranges[0][0] == 0 and ranges[-1][1] == pieces.count(n) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
@@ -118,3 +118,8 @@ def test_equal_documents_share_many_buckets(spark):
     rows = packing.pack(cut, bucket_rows=16).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 3000
     assert lawful(rows)[1] == 15000
+
+
+def test_many_short_documents_make_few_slots():
+    packs = packing.patterns({1: 10**9, 700: 5})
+    assert len(packing.slots(packs)) < 12 and sum(c * sum(p) for c, p in packs) == 10**9 + 3500
