@@ -1,6 +1,7 @@
 """Kernel queries: the relational kernels of the engine on stand-in columns of the driver's tables.
 
-They show how the kernels behave at scale; they say nothing about Go source, which those tables do not hold.
+They show how the kernels behave at scale; they say nothing about Go source, which those tables do not hold. The library's
+own operators over whole tables are in corpora.py.
 """
 
 from __future__ import annotations
