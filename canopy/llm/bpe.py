@@ -33,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from canopy.llm.common import HashTable, small_batches
+from canopy.llm.common import HashTable, small_batches, text_runs
 
-#: Words remembered per worker; beyond it the memory is emptied, which costs time only.
+#: Words whose counts a worker remembers; beyond it the memory is emptied, which costs time only.
 CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers, half of them at least the last used; and the characters that it encodes at a time.
+#: Workers outlive their tasks, and an executor keeps several beside its heap.
+RECENT_WORDS, BLOCK_CHARS = 100_000, 1 << 18
 #: Longer words skip the memory, so that its size stays bounded.
 CACHE_WORD_CHARS = 64
 #: Bytes of a word beyond which it is matched by itself, at all its places at once.
@@ -133,6 +136,7 @@ class WordBpe:
         self._tokens, self._token_ids = HashTable(np.array(hashes, np.uint64)), np.array(ids, np.int64)
         self._lengths = sorted(set(lengths), reverse=True)
         self._known: dict[str, str] = {}
+        self._older: dict[str, str] = {}
         self._counts: dict[str, int] = {}
         shown = [bytes(unletter[c] for c in (t.removesuffix(self.end) if i not in self.special.values() else "")) for i, t in sorted(self.names.items())]
         assert [*self.names] and sorted(self.names) == list(range(size))
@@ -360,11 +364,14 @@ class WordBpe:
         return out
 
     def learn(self, words: set[str]) -> dict[str, str]:
-        """The ids of each word as text, through the worker's memory."""
-        if len(self._known) > CACHE_WORDS:
-            self._known = {}
-        known, digits = self._known, self._digits
+        """The ids of each word as text, through the worker's memory: what is asked for again comes into its newer half, which
+        becomes the older half when it is full."""
+        if len(self._known) > RECENT_WORDS // 2:
+            self._known, self._older = {}, self._known
+        known, older, digits = self._known, self._older, self._digits
         new = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
         long: dict[str, str] = {}
         for word, ids in zip(new, self.encode_words(new), strict=True):
             (known if len(word) <= CACHE_WORD_CHARS else long)[word] = " ".join([digits[i] for i in ids])
@@ -390,7 +397,7 @@ class WordBpe:
         low = 0
         while low < len(texts):
             high, size = low, 0
-            while high < len(texts) and (high == low or size < 1 << 20):
+            while high < len(texts) and (high == low or size < BLOCK_CHARS):
                 size += len(texts[high] or "")
                 high += 1
             yield texts[low:high]
@@ -457,9 +464,8 @@ def _extend(docs: DataFrame, added: list[tuple[str, T.DataType]], make, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(2000, batch.num_rows))
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
+            for low, n in text_runs(batch.column(at), BLOCK_CHARS):  # ids and decoded texts take many times the texts' memory
+                part = batch.slice(low, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(at).to_pylist())], names=[*names, *new])
 
     return docs.select(*names).mapInArrow(run, schema)
@@ -470,7 +476,7 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataF
 
     def make(texts):
         rows = list(encoder(vocabulary).encode(texts))
-        ids = np.array(" ".join([r[1] for r in rows]).split(), dtype=np.int32)
+        ids = np.fromstring(" ".join([r[1] for r in rows if r[1]]), np.int32, sep=" ")
         counts = np.array([r[0] for r in rows], np.int64)
         offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
         return [pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array([r[2] for r in rows], pa.string())]

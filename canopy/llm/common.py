@@ -68,6 +68,18 @@ def labelled_passages(rows: DataFrame, docs: int, chars: int, total: int, most_l
     return out
 
 
+def text_runs(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of about `limit` bytes of a text column; a longer row makes a run by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first, n = 0, len(sizes)
+    while first < n:
+        base = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield first, last - first
+        first = last
+
+
 def text_blocks(texts: pa.Array, pad: int, limit: int = 1 << 18, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about `limit` bytes.
 
@@ -75,20 +87,14 @@ def text_blocks(texts: pa.Array, pad: int, limit: int = 1 << 18, lower: bool = F
     that stand for the start of the text. Nulls are empty texts. A longer row makes a run by itself.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    first, n = 0, len(sizes)
-    while first < n:
-        base = ends[first] - sizes[first]
-        last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        part = texts.slice(first, last - first)
+    for first, n in text_runs(texts, limit):
+        part = texts.slice(first, n)
         if lower:
             part = pc.utf8_lower(part)
         if pad:
             part = pc.binary_join_element_wise(pa.scalar("\0" * pad, pa.large_string()), part, pa.scalar("", pa.large_string()))
         offsets, data = arrow_bytes(part)
         yield first, offsets, data
-        first = last
 
 
 def arrow_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

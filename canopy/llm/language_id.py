@@ -105,7 +105,7 @@ class _Group:
         """Bits of each whole text under each language, and its bytes."""
         bits = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts), np.int64)
-        for first, offsets, data in text_blocks(texts, self.order):
+        for first, offsets, data in text_blocks(texts, self.order, 1 << 16):
             rows = len(offsets) - 1
             sizes[first : first + rows] = np.diff(offsets) - self.order
             for low in range(0, len(data), piece):  # a very long text is coded piece by piece
