@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,7 +145,7 @@ def _read_back(spark: SparkSession, sf_dir: str, keep: Column) -> DataFrame:
     root = _written_documents(spark, sf_dir)
     rows = spark.read.format("gotree").option("path", root).option("repo", "docs").option("pushdown", "true").load().where(keep)
     out = checkpointed(rows.select("path", "dir", "depth", "size", F.sha2("content", 256).alias("sha256")))
-    shutil.rmtree(root)
+    gotree.remove_tree(spark, root)
     return out
 
 

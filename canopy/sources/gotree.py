@@ -9,7 +9,7 @@ Listing prunes while it walks: `vendor`, directories that start with a dot (not
 globs and depth. Files and directories that start with an underscore are kept, and so are files that start
 with a dot. Linked directories are not followed. Options: path (several roots: separated by the path
 separator), repo (names, likewise), dir (only this directory of each tree, with the module files above it), recursive, tests,
-exclude (globs, comma-separated), depth (below dir), errors (fail or skip), batch (files of one directory a task),
+exclude (globs, comma-separated), depth (below dir), errors (fail or skip), batch (files of one directory a task; more, if that makes over SHARES tasks),
 content (false: null contents, nothing is read), pushdown.
 
 With pushdown=true filters on repo, path, dir, name, is_test and depth are pushed into the source: directories that cannot hold a match are not
@@ -20,7 +20,7 @@ a plan that filters it in two ways has to load it twice, and the option is off u
 Writing takes path and content of a row (Go files in their formatter's layout; option layout=false: as they are). Every
 attempt of a task stages its files in a folder of its own beside the root, with a manifest of path, size and hash.
 Only when all tasks are done a commit record names the manifests of the attempts that count; then the files are
-moved to their places, or, in mode overwrite, a new tree is put together and takes the root's place. Without the record nothing is
+moved to their places (by the tasks of another job in write_tree(), else by the driver), or, in mode overwrite, a new tree is put together and takes the root's place. Without the record nothing is
 visible and an abort removes what was staged; with it, a commit that was interrupted is finished by whoever reads
 or writes the tree next. Of rows with one path any one is kept.
 
@@ -50,6 +50,8 @@ from canopy.functions.goformat import formatted
 
 #: Bytes of a batch of rows on its way to the executor; directories that the driver lists at least, if there are so many.
 ROWS_BYTES, FOLDERS = 4 << 20, 256
+#: Files of one directory a task, and tasks of one directory at most: each of them lists the whole directory.
+BATCH, SHARES = 1024, 64
 SCHEMA = "repo string, path string, dir string, name string, is_test boolean, depth int, size long, content binary"
 MODULE_FILE = "go.mod"
 _COLUMNS = ("repo", "path", "dir", "name", "is_test", "depth")
@@ -185,6 +187,34 @@ def _listed(root: str, folder: str, rules: Rules) -> tuple[list[str], list[str]]
     return sorted(n for n, _, folder_like in entries if not folder_like), sorted(n for n, own, _ in entries if own)
 
 
+def _counted(root: str, folder: str, rules: Rules) -> tuple[int, list[str]]:
+    """Number of the files, and names of the directories in a folder of a tree, sorted: the driver holds no names of files."""
+    files, folders = 0, []
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    folders.append(e.name)
+                elif not _is_folder(e):
+                    files += 1
+    except OSError:
+        if not rules.skip_errors:
+            raise
+        return 0, []
+    return files, sorted(folders)
+
+
+def _share(p: _Part, rules: Rules) -> list[str]:
+    """Names of the files in a part's folder that are its own, sorted."""
+    try:
+        with os.scandir(os.path.join(p.root, p.folder)) as found:
+            return sorted(e.name for e in found if (p.of == 1 or crc32(e.name.encode(errors="surrogateescape")) % p.of == p.part) and not _is_folder(e))
+    except OSError:
+        if not rules.skip_errors:
+            raise
+        return []
+
+
 def walk(root: str, folder: str, level: int, rules: Rules) -> Iterator[tuple[str, list[str]]]:
     """(folder, names of its files) from a folder of a tree down, pruned on the way."""
     names, folders = _listed(root, folder, rules)
@@ -215,7 +245,7 @@ class _Reader(ds.DataSourceReader):
         o, rules = self.options, self.rules
         roots = o["path"].split(os.pathsep)
         repos = o["repo"].split(os.pathsep) if o.get("repo") else [os.path.basename(os.path.abspath(r)) for r in roots]
-        top, most = os.path.normpath(o.get("dir", ".")), int(o.get("batch", "256"))
+        top, most = os.path.normpath(o.get("dir", ".")), int(o.get("batch", BATCH))
         out: list[_Part] = []
         frontier: list[_Part] = []
         for repo, root in zip(repos, roots, strict=True):
@@ -230,9 +260,9 @@ class _Reader(ds.DataSourceReader):
         with ThreadPoolExecutor(16) as threads:
             while frontier and len(frontier) < FOLDERS:  # one level of all trees at a time
                 level, frontier = frontier, []
-                for at, (names, folders) in zip(level, threads.map(lambda p: _listed(p.root, p.folder, rules), level), strict=True):
-                    parts = max(1, -(-len(names) // most))
-                    out += [_Part(at.repo, at.root, top, at.folder, at.level, False, k, parts) for k in range(parts)] if names else []
+                for at, (files, folders) in zip(level, threads.map(lambda p: _counted(p.root, p.folder, rules), level), strict=True):
+                    parts = min(SHARES, -(-files // most))
+                    out += [_Part(at.repo, at.root, top, at.folder, at.level, False, k, parts) for k in range(parts)]
                     inner = [(name, _joined(at.folder, name)) for name in folders] if rules.recursive else []
                     frontier += [_Part(at.repo, at.root, top, folder, at.level + 1, True) for name, folder in inner if rules.enters(name, folder, at.level + 1)]
         return [*out, *frontier] or [_Part("", "", ".", ".", 0, False, 0, -1)]
@@ -245,8 +275,8 @@ class _Reader(ds.DataSourceReader):
             if os.path.isfile(os.path.join(p.root, path)):
                 yield path
             return
-        for folder, names in walk(p.root, p.folder, p.level, self.rules) if p.below else [(p.folder, _listed(p.root, p.folder, self.rules)[0])]:
-            yield from (_joined(folder, name) for name in names if p.of == 1 or crc32(name.encode(errors="surrogateescape")) % p.of == p.part)
+        for folder, names in walk(p.root, p.folder, p.level, self.rules) if p.below else [(p.folder, _share(p, self.rules))]:
+            yield from (_joined(folder, name) for name in names)
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         kinds = {"repo": pa.string(), "path": pa.string(), "dir": pa.string(), "name": pa.string(), "is_test": pa.bool_(), "depth": pa.int32(), "size": pa.int64(), "content": pa.binary()}
@@ -292,6 +322,7 @@ class _Writer(ds.DataSourceArrowWriter):
             if name not in columns:
                 raise ValueError(f"rows to write need a column {name}")
         self.root, self.layout, self.overwrite = options["path"], options.get("layout", "true").lower() == "true", overwrite
+        self.moves_later = options.get("moves") == "later"
         parent, prefix = _stages(self.root)
         self.stage = os.path.join(parent, prefix + uuid.uuid4().hex)
         os.makedirs(self.stage)  # on the driver; tasks that outlive an abort do not make it again
@@ -299,7 +330,7 @@ class _Writer(ds.DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Staged:
         own = os.path.join(self.stage, uuid.uuid4().hex)  # of this attempt
         os.mkdir(own)
-        count = 0
+        count, made = 0, set()
         with open(f"{own}.part", "w", encoding="utf-8") as manifest:
             for batch in iterator:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -308,8 +339,9 @@ class _Writer(ds.DataSourceArrowWriter):
                     data = content.encode() if isinstance(content, str) else content or b""
                     data = formatted(data) if self.layout and path.endswith(".go") else data
                     target = os.path.join(own, os.path.normpath(path))
-                    if os.path.isdir(own):
-                        os.makedirs(os.path.dirname(target), mode=0o755, exist_ok=True)
+                    if (folder := os.path.dirname(target)) not in made and os.path.isdir(own):
+                        os.makedirs(folder, mode=0o755, exist_ok=True)
+                        made.add(folder)
                     with open(target, "wb") as f:
                         f.write(data)
                     manifest.write(json.dumps([os.path.normpath(path), len(data), hashlib.sha256(data).hexdigest()]) + "\n")
@@ -326,36 +358,59 @@ class _Writer(ds.DataSourceArrowWriter):
             f.flush()
             os.fsync(f.fileno())
         os.replace(f"{record}.part", record)  # from here on the files belong to the tree
-        _publish(self.root, self.stage)
+        if not self.moves_later:
+            _publish(self.root, self.stage)
 
     def abort(self, messages: list[_Staged | None]) -> None:
         if not os.path.exists(os.path.join(self.stage, "COMMIT")):
             shutil.rmtree(self.stage, ignore_errors=True)
 
 
+def _target(root: str, stage: str, record: dict) -> str:
+    return os.path.join(stage, "tree") if record["overwrite"] else root
+
+
+def _move(manifest: str, target: str) -> None:
+    """Move the files of one attempt to their places; what was moved before, or is by somebody else just now, is left out."""
+    own, made = manifest.removesuffix(".manifest"), set()
+    if os.path.exists(f"{own}.moved"):
+        return
+    with open(manifest, encoding="utf-8") as lines:  # not held
+        for line in lines:
+            path = json.loads(line)[0]
+            staged, final = os.path.join(own, path), os.path.join(target, path)
+            if (folder := os.path.dirname(final)) not in made:
+                if not os.path.exists(staged):
+                    continue
+                os.makedirs(folder, mode=0o755, exist_ok=True)
+                made.add(folder)
+            with suppress(FileNotFoundError):
+                os.replace(staged, final)
+    open(f"{own}.moved", "w").close()
+    shutil.rmtree(own, ignore_errors=True)
+
+
+def _move_of_stage(root: str, stage: str, manifest: str) -> None:
+    """_move() by a task; nothing if somebody else has finished the stage."""
+    with suppress(FileNotFoundError):
+        with open(os.path.join(stage, "COMMIT"), encoding="utf-8") as f:
+            record = json.load(f)
+        if not os.path.exists(os.path.join(stage, "DONE")):
+            _move(manifest, _target(root, stage, record))
+
+
 def _publish(root: str, stage: str) -> None:
     """Move the files of a committed stage to their places; may be repeated after an interruption at any point."""
     if not os.path.exists(os.path.join(stage, "COMMIT")):
         return  # somebody else has finished it
     with open(os.path.join(stage, "COMMIT"), encoding="utf-8") as f:
         record = json.load(f)
-    target = os.path.join(stage, "tree") if record["overwrite"] else root
+    target = _target(root, stage, record)
     done = os.path.join(stage, "DONE")
-
-    def move(manifest: str) -> None:
-        with open(manifest, encoding="utf-8") as lines:  # not held
-            for line in lines:
-                path = json.loads(line)[0]
-                staged, final = os.path.join(manifest.removesuffix(".manifest"), path), os.path.join(target, path)
-                if os.path.exists(staged):  # else it was moved before
-                    os.makedirs(os.path.dirname(final), mode=0o755, exist_ok=True)
-                    with suppress(FileNotFoundError):  # by somebody else, just now
-                        os.replace(staged, final)
-
     if not os.path.exists(done):
         os.makedirs(target, exist_ok=True)
         with ThreadPoolExecutor(16) as threads:
-            list(threads.map(move, record["manifests"]))
+            list(threads.map(lambda m: _move(m, target), record["manifests"]))
         open(done, "w").close()
     if record["overwrite"] and os.path.isdir(target):
         old = os.path.join(stage, "old")
@@ -365,13 +420,17 @@ def _publish(root: str, stage: str) -> None:
     shutil.rmtree(stage, ignore_errors=True)
 
 
+def _committed(root: str) -> list[str]:
+    """Stages of a root that are committed, and not finished."""
+    parent, prefix = _stages(root)
+    names = sorted(os.listdir(parent)) if os.path.isdir(parent) else []
+    return [os.path.join(parent, n) for n in names if n.startswith(prefix) and os.path.exists(os.path.join(parent, n, "COMMIT"))]
+
+
 def recover(root: str) -> None:
     """Finish the commits to a tree that were interrupted."""
-    parent, prefix = _stages(root)
-    if os.path.isdir(parent):
-        for name in sorted(os.listdir(parent)):
-            if name.startswith(prefix) and os.path.exists(os.path.join(parent, name, "COMMIT")):
-                _publish(root, os.path.join(parent, name))
+    for stage in _committed(root):
+        _publish(root, stage)
 
 
 class GoTree(ds.DataSource):
@@ -397,4 +456,23 @@ def register(spark: SparkSession) -> None:
 def write_tree(files, root: str, mode: str = "append", layout: bool = True) -> None:
     """Write files (path, content) below a shared root, all of them or none; Go files in their formatter's layout."""
     register(files.sparkSession)
-    files.select("path", "content").write.format("gotree").mode(mode).option("path", root).option("layout", str(layout).lower()).save()
+    files.select("path", "content").write.format("gotree").mode(mode).option("path", root).option("layout", str(layout).lower()).option("moves", "later").save()
+    for stage in _committed(root):
+        with open(os.path.join(stage, "COMMIT"), encoding="utf-8") as f:
+            manifests = json.load(f)["manifests"]  # one of each task
+        if manifests:
+            files.sparkSession.sparkContext.parallelize(manifests, len(manifests)).foreach(lambda m, stage=stage: _move_of_stage(root, stage, m))
+        _publish(root, stage)
+
+
+def remove_tree(spark: SparkSession, root: str) -> None:
+    """Remove a tree: folders below the upper ones by tasks, the rest by the driver."""
+    frontier, rules = ["."], Rules(skip_errors=True)
+    while frontier and len(frontier) < FOLDERS:
+        inner = [_joined(folder, name) for folder in frontier for name in _counted(root, folder, rules)[1]]
+        if not inner:
+            break
+        frontier = inner
+    if frontier != ["."]:
+        spark.sparkContext.parallelize(frontier, len(frontier)).foreach(lambda folder: shutil.rmtree(os.path.join(root, folder), ignore_errors=True))
+    shutil.rmtree(root)
