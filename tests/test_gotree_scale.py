@@ -39,3 +39,14 @@ def test_moves_that_were_interrupted_are_finished(tmp_path):
     gotree._move_of_stage(root, writer.stage, done[1].manifest)  # one that comes too late
     assert sorted(os.path.relpath(os.path.join(d, n), root) for d, _, names in os.walk(root) for n in names) == ["a/x.go", "a/z.go", "b/y.go", "w.go"]
     assert os.listdir(tmp_path) == ["tree"]
+
+
+def test_a_large_directory_is_listed_few_times(tmp_path):
+    (tmp_path / "src1").mkdir()
+    for i in range(700):
+        (tmp_path / "src1" / f"f{i}.go").touch()
+    for batch in (None, "1"):
+        reader = gotree._Reader({"path": str(tmp_path), "repo": "r"} | ({"batch": batch} if batch else {}))
+        parts = reader.partitions()
+        assert len(parts) == (64 if batch else 1)  # each of them lists the directory
+        assert sorted(f for p in parts for f in reader._files(p)) == sorted(f"src1/f{i}.go" for i in range(700))
