@@ -18,9 +18,10 @@ it has FOLDERS of them (it keeps their names, and numbers of files); tasks list
 a plan that filters it in two ways has to load it twice, and the option is off unless asked for.)
 
 Writing takes path and content of a row (Go files in their formatter's layout; option layout=false: as they are). Every
-attempt of a task stages its files in a folder of its own beside the root, with a manifest of path, size and hash.
-Only when all tasks are done a commit record names the manifests of the attempts that count; then the files are
-moved to their places (by the tasks of another job in write_tree(), else by the driver), or, in mode overwrite, a new tree is put together and takes the root's place. Without the record nothing is
+attempt of a task stages its files beside the root, with a manifest of path, size and hash: in a folder of its own, or, in mode
+overwrite, one after the other in one file, its pack.
+Only when all tasks are done a commit record names the manifests of the attempts that count; then (by the tasks of another job in write_tree(), else by the driver) the files are
+moved to their places, or, in mode overwrite, a new tree is made of the packs and takes the root's place. Without the record nothing is
 visible and an abort removes what was staged; with it, a commit that was interrupted is finished by whoever reads
 or writes the tree next. Of rows with one path any one is kept.
 
@@ -34,11 +35,13 @@ import hashlib
 import json
 import os
 import shutil
+import stat
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import suppress
+from contextlib import nullcontext, suppress
 from dataclasses import dataclass
+from typing import TextIO
 from zlib import crc32
 
 import pyarrow as pa
@@ -331,7 +334,7 @@ class _Writer(ds.DataSourceArrowWriter):
         own = os.path.join(self.stage, uuid.uuid4().hex)  # of this attempt
         os.mkdir(own)
         count, made = 0, set()
-        with open(f"{own}.part", "w", encoding="utf-8") as manifest:
+        with open(f"{own}.part", "w+", encoding="utf-8") as manifest, open(f"{own}.pack", "wb") if self.overwrite else nullcontext() as pack:
             for batch in iterator:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                     if not path or os.path.isabs(path) or ".." in path.split("/"):
@@ -342,11 +345,17 @@ class _Writer(ds.DataSourceArrowWriter):
                     if (folder := os.path.dirname(target)) not in made and os.path.isdir(own):
                         os.makedirs(folder, mode=0o755, exist_ok=True)
                         made.add(folder)
-                    with open(target, "wb") as f:
-                        f.write(data)
+                    if pack is not None:
+                        _check_name(target)
+                        pack.write(data)
+                    else:
+                        with open(target, "wb") as f:
+                            f.write(data)
                     manifest.write(json.dumps([os.path.normpath(path), len(data), hashlib.sha256(data).hexdigest()]) + "\n")
                     count += 1
             manifest.flush()
+            if pack is not None:
+                _check_folders(manifest, own, made)
             os.fsync(manifest.fileno())
         os.replace(f"{own}.part", f"{own}.manifest")
         return _Staged(f"{own}.manifest", count)
@@ -366,6 +375,26 @@ class _Writer(ds.DataSourceArrowWriter):
             shutil.rmtree(self.stage, ignore_errors=True)
 
 
+def _check_name(target: str) -> None:
+    """Fail, before anything is committed, where a file of this name could not be made."""
+    with suppress(FileNotFoundError):
+        if stat.S_ISDIR(os.lstat(target).st_mode):
+            raise IsADirectoryError(target)
+
+
+def _check_folders(manifest: TextIO, own: str, made: set[str]) -> None:
+    """Fail where a file of an attempt is a folder of another one."""
+    folders = {own}
+    for folder in made:
+        while folder not in folders:
+            folders.add(folder)
+            folder = os.path.dirname(folder)
+    manifest.seek(0)
+    for line in manifest:  # not held
+        if (target := os.path.join(own, json.loads(line)[0])) in folders:
+            raise IsADirectoryError(target)
+
+
 def _target(root: str, stage: str, record: dict) -> str:
     return os.path.join(stage, "tree") if record["overwrite"] else root
 
@@ -375,6 +404,9 @@ def _move(manifest: str, target: str) -> None:
     own, made = manifest.removesuffix(".manifest"), set()
     if os.path.exists(f"{own}.moved"):
         return
+    if os.path.exists(f"{own}.pack"):
+        _unpack(manifest, target)
+        return
     with open(manifest, encoding="utf-8") as lines:  # not held
         for line in lines:
             path = json.loads(line)[0]
@@ -390,6 +422,45 @@ def _move(manifest: str, target: str) -> None:
     shutil.rmtree(own, ignore_errors=True)
 
 
+def _unpack(manifest: str, target: str) -> None:
+    """Make the files of one attempt's pack in a new tree, which nobody reads yet: a file gets its name when it is whole, and
+    the rename stays in its folder (those between folders wait for each other, all over a file system)."""
+    own, made = manifest.removesuffix(".manifest"), set()
+    mark, again = f".{os.path.basename(own)}.", os.path.exists(f"{own}.begun")
+    name = f"{mark}{uuid.uuid4().hex}"  # somebody else may do the same just now
+    try:
+        open(f"{own}.begun", "w").close()
+        with open(f"{own}.pack", "rb") as pack, open(manifest, encoding="utf-8") as lines:
+            for line in lines:
+                path, size, _ = json.loads(line)
+                final, data = os.path.join(target, path), pack.read(size)
+                if len(data) != size:
+                    raise OSError(f"{own}.pack is cut short")
+                if (folder := os.path.dirname(final)) not in made:
+                    if not os.path.exists(f"{own}.pack"):
+                        return  # somebody else has made them all
+                    os.makedirs(folder, mode=0o755, exist_ok=True)
+                    made.add(folder)
+                whole = os.path.join(folder, name)
+                with open(whole, "wb") as f:
+                    f.write(data)
+                with suppress(FileNotFoundError):  # removed by somebody else, after all files were made
+                    os.replace(whole, final)
+        for folder in made if again else ():  # what an interrupted run has left
+            for left in os.listdir(folder):
+                if left.startswith(mark):
+                    with suppress(FileNotFoundError):
+                        os.remove(os.path.join(folder, left))
+    except FileNotFoundError:
+        if os.path.exists(f"{own}.pack"):
+            raise
+        return
+    open(f"{own}.moved", "w").close()
+    with suppress(FileNotFoundError):
+        os.remove(f"{own}.pack")
+    shutil.rmtree(own, ignore_errors=True)
+
+
 def _move_of_stage(root: str, stage: str, manifest: str) -> None:
     """_move() by a task; nothing if somebody else has finished the stage."""
     with suppress(FileNotFoundError):

@@ -3,6 +3,7 @@
 import os
 
 import pyarrow as pa
+import pytest
 
 from canopy.sources import gotree
 
@@ -50,3 +51,60 @@ def test_a_large_directory_is_listed_few_times(tmp_path):
         parts = reader.partitions()
         assert len(parts) == (64 if batch else 1)  # each of them lists the directory
         assert sorted(f for p in parts for f in reader._files(p)) == sorted(f"src1/f{i}.go" for i in range(700))
+
+
+def _overwriter(root: str):
+    batch = lambda rows: iter([pa.RecordBatch.from_pydict({"path": list(rows), "content": list(rows.values())})])
+    writer = gotree._Writer({"path": root, "layout": "false", "moves": "later"}, ["path", "content"], True)
+    return writer, lambda rows: writer.write(batch(rows))
+
+
+def _contents(root: str) -> dict[str, bytes]:
+    found = [os.path.join(d, n) for d, _, names in os.walk(root) for n in names]
+    return {os.path.relpath(f, root): open(f, "rb").read() for f in found}
+
+
+def test_a_new_tree_is_made_of_packs(tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "tree"), {f"s{i % 3}/f{i}.go": b"x" * i for i in range(50)} | {"top.go": b"t"}
+    writer, write = _overwriter(root)
+    done = [write(rows)]
+    staged = [n for _, _, names in os.walk(writer.stage) for n in names]
+    assert sorted(n.partition(".")[2] for n in staged) == ["manifest", "pack"]  # two files, not one for each row
+    renames, real = [], os.replace
+    monkeypatch.setattr(os, "replace", lambda a, b: (renames.append((a, b)), real(a, b)))
+    writer.commit(done)
+    gotree._move_of_stage(root, writer.stage, done[0].manifest)
+    made = [(a, b) for a, b in renames if b.endswith(".go")]
+    assert len(made) == 51 and all(os.path.dirname(a) == os.path.dirname(b) for a, b in made)  # none waits for another folder's
+    assert not os.path.exists(done[0].manifest.replace(".manifest", ".pack"))
+    gotree.recover(root)
+    assert _contents(root) == rows and os.listdir(tmp_path) == ["tree"]
+
+
+def test_a_pack_that_was_interrupted_is_made_again(tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "tree"), {f"s{i % 3}/f{i}.go": str(i).encode() for i in range(9)}
+    writer, write = _overwriter(root)
+    done, real = [write(rows), write({"s0/other.go": b"o", "none.go": b""})], os.replace
+    writer.commit(done)
+
+    def stop(a, b):
+        if b.endswith("f5.go"):
+            raise OSError("killed here")
+        real(a, b)
+
+    monkeypatch.setattr(os, "replace", stop)
+    for _ in range(2):
+        with pytest.raises(OSError, match="killed"):
+            gotree._move_of_stage(root, writer.stage, done[0].manifest)
+    monkeypatch.setattr(os, "replace", real)
+    assert not os.path.exists(root)  # nothing is visible
+    gotree.recover(root)
+    gotree._move_of_stage(root, writer.stage, done[1].manifest)  # one that comes too late
+    assert _contents(root) == rows | {"s0/other.go": b"o", "none.go": b""} and os.listdir(tmp_path) == ["tree"]
+
+
+@pytest.mark.parametrize("rows", [{"a.go": b"", "a.go/b.go": b""}, {"a/b/c.go": b"", "a": b""}, {f"{'n' * 300}.go": b""}, {"a\0.go": b""}, {".": b""}])
+def test_what_no_tree_can_hold_fails_before_the_commit(tmp_path, rows):
+    _, write = _overwriter(str(tmp_path / "tree"))
+    with pytest.raises((OSError, ValueError)):
+        write(rows)
