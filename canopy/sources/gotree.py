@@ -55,6 +55,8 @@ from canopy.functions.goformat import formatted
 ROWS_BYTES, FOLDERS = 4 << 20, 256
 #: Files of one directory a task, and tasks of one directory at most: each of them lists the whole directory.
 BATCH, SHARES = 1024, 64
+#: Threads that list folders on the driver: they hand over Python's lock at every file, and more of them mostly wait for it.
+LISTERS = 2
 SCHEMA = "repo string, path string, dir string, name string, is_test boolean, depth int, size long, content binary"
 MODULE_FILE = "go.mod"
 _COLUMNS = ("repo", "path", "dir", "name", "is_test", "depth")
@@ -260,7 +262,7 @@ class _Reader(ds.DataSourceReader):
             out += [_Part(repo, root, top, os.path.normpath(f), 0, False, 0, 0) for f in above]  # module files only
             if not (rules.recursive and (base == "vendor" or any(glob_match(p, base) for p in rules.exclude))):
                 frontier.append(_Part(repo, root, top, top, 0, True))
-        with ThreadPoolExecutor(16) as threads:
+        with ThreadPoolExecutor(LISTERS) as threads:
             while frontier and len(frontier) < FOLDERS:  # one level of all trees at a time
                 level, frontier = frontier, []
                 for at, (files, folders) in zip(level, threads.map(lambda p: _counted(p.root, p.folder, rules), level), strict=True):

@@ -1,6 +1,7 @@
 """What the driver and each task do for trees of very many files."""
 
 import os
+import time
 
 import pyarrow as pa
 import pytest
@@ -108,3 +109,21 @@ def test_what_no_tree_can_hold_fails_before_the_commit(tmp_path, rows):
     _, write = _overwriter(str(tmp_path / "tree"))
     with pytest.raises((OSError, ValueError)):
         write(rows)
+
+
+def test_the_driver_lists_folders_by_few_threads(tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"src{i}").mkdir()
+        (tmp_path / f"src{i}" / "f.go").touch()
+    counted, inside, most = gotree._counted, [], []
+
+    def slowly(*args):
+        inside.append(1)
+        most.append(len(inside))
+        time.sleep(0.005)
+        inside.pop()
+        return counted(*args)
+
+    monkeypatch.setattr(gotree, "_counted", slowly)
+    assert len(gotree._Reader({"path": str(tmp_path), "repo": "r"}).partitions()) == 40
+    assert max(most) <= 2  # sixteen took ten times as long over large folders, as they wait for Python's lock
